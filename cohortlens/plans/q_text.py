@@ -1,0 +1,3 @@
+"""Queries: q_text."""
+
+from __future__ import annotations
