@@ -103,14 +103,15 @@ def unique_match_transfer(source: DataFrame, target: DataFrame, keys: Sequence[s
     keys = list(keys)
     # per-key counts as an aggregate (partial, skew-proof), not a window over a hot key
     n_t = target.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_targets"))
-    src = source.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order_col)).alias("_src_value"))
+    src = source.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order_col)).alias("_src_value"),
+                                    F.count(F.lit(1)).alias("_n_src"))
     j = target.join(n_t, on=keys, how="inner").join(src, on=keys, how="left")
-    has_src = F.col("_src_value").isNotNull()
+    has_src = F.col("_n_src").isNotNull()
     status = (F.when(~has_src, F.lit("none")).when(F.col("_n_targets") == 1, F.lit("updated"))
               .otherwise(F.lit("multiple")))
     return (j.withColumn("status", status)
              .withColumn(out, F.when(F.col("status") == "updated", F.col("_src_value")))
-             .drop("_n_targets", "_src_value"))
+             .drop("_n_targets", "_src_value", "_n_src"))
 
 
 def outer_merge_many(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -123,15 +124,15 @@ def outer_combine(left: DataFrame, right: DataFrame, key: str, left_cols: Sequen
     """Combine two per-key aggregates, a missing side counting as 0.
 
     Done as one ``groupBy`` over the union of both (one exchange) instead of a
-    full outer join of two separately shuffled inputs.
+    full outer join of two separately shuffled inputs.  Column types are kept.
     """
-    zero = F.lit(0).cast("double")
-    l = left.select(key, *[F.col(c).cast("double").alias(c) for c in left_cols],
-                    *[zero.alias(c) for c in right_cols])
-    r = right.select(key, *[zero.alias(c) for c in left_cols],
-                     *[F.col(c).cast("double").alias(c) for c in right_cols])
+    lt = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    rt = {f.name: f.dataType.simpleString() for f in right.schema.fields}
+    l = left.select(key, *left_cols, *[F.lit(None).cast(rt[c]).alias(c) for c in right_cols])
+    r = right.select(key, *[F.lit(None).cast(lt[c]).alias(c) for c in left_cols], *right_cols)
     u = l.unionByName(r)
-    return u.groupBy(key).agg(*[F.sum(F.coalesce(F.col(c), zero)).alias(c) for c in [*left_cols, *right_cols]])
+    return u.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0).cast(t)).alias(c)
+                                for c, t in [*((c, lt[c]) for c in left_cols), *((c, rt[c]) for c in right_cols)]])
 
 
 def users_with_post(activity: DataFrame, key: str = "author", kind: str = "kind") -> DataFrame:

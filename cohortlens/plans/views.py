@@ -42,3 +42,4 @@ def cposts(spark: SparkSession, sf: str) -> DataFrame:
 
 def creplies(spark: SparkSession, sf: str) -> DataFrame:
     return attach(treplies(spark, sf), cohorts(spark, sf))
+read_table = tb.read_table
