@@ -24,16 +24,16 @@ from .windows import clip_minmax, minmax_expr
 
 
 # ------------------------------------------------------------------ D8-D10: language scores
-def pos_score(text: Column | str, lex: Lexicon, w: PosScoreWeights = PosScoreWeights()) -> Column:
+def pos_score(text: Column | str, toks: Column, tg: Column, lex: Lexicon,
+              w: PosScoreWeights = PosScoreWeights()) -> Column:
     """-1.5 noun ratio + 1 first-person share of words + 2 keyword + 0.005 words.
     Blank text gets no score (null).  Zero weights are dropped from the expression."""
-    toks = T.tokens(text)
-    f = T.pos_ratios(text, lex)
-    terms = []
+    f = T.pos_ratios(toks, tg)
+    terms = [F.lit(0.0)]
     if w.noun_ratio:
         terms.append(F.lit(w.noun_ratio) * f["noun_ratio"])
     if w.first_person_singular_ratio:
-        terms.append(F.lit(w.first_person_singular_ratio) * T.first_person_share_of_words(text, lex))
+        terms.append(F.lit(w.first_person_singular_ratio) * T.first_person_share_of_words(toks, tg, lex))
     if w.keyword_score:
         terms.append(F.lit(w.keyword_score) * T.keyword_flag(text, lex.keywords).cast("double"))
     if w.text_length:
@@ -41,8 +41,7 @@ def pos_score(text: Column | str, lex: Lexicon, w: PosScoreWeights = PosScoreWei
     s = terms[0]
     for t in terms[1:]:
         s = s + t
-    blank = F.length(F.trim(F.coalesce(T._c(text), F.lit("")))) == 0
-    return F.when(~blank, s)
+    return F.when(~T.is_blank(text), s)
 
 
 def length_score(features: Mapping[str, Column], w: LengthScoreWeights = LengthScoreWeights()) -> Column:

@@ -6,6 +6,7 @@ fixture views and helper relations; :func:`oracle.with_ctes` inlines them.
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,22 @@ def query(name: str, ids: str, sql: str | None = None):
         QUERIES[name] = run
         SURVEY_IDS[name] = ids
         if sql is not None:
-            ORACLE[name] = with_ctes(sql)
+            ORACLE[name] = with_ctes(nudge_rounding(sql))
         return fn
     return deco
 
 
+# Doubles are reported at 6 decimals after a 1e-9 nudge: values that sit exactly
+# on a rounding tie (common with 2-decimal scores averaged over 2^k rows) then
+# round the same way even when two engines' sums differ in the last bit.
+NUDGE = 1e-9
+
+
+def nudge_rounding(sql: str) -> str:
+    """Oracle side of :func:`round_doubles`: ``round(x, 6)`` -> ``round(x + 1e-9, 6)``."""
+    return re.sub(r",\s*6\)", " + 1e-9, 6)", sql)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns (and arrays of them) for engine-independent comparison."""
     out = []
@@ -46,9 +58,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         t = f.dataType
         c = F.col(f"`{f.name}`")
         if isinstance(t, (DoubleType, FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double") + F.lit(NUDGE), digits)
         elif isinstance(t, ArrayType) and isinstance(t.elementType, (DoubleType, FloatType)):
-            c = F.transform(c, lambda x: F.round(x.cast("double"), digits))
+            c = F.transform(c, lambda x: F.round(x.cast("double") + F.lit(NUDGE), digits))
         out.append(c.alias(f.name))
     return df.select(*out)
 

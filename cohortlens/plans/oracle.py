@@ -76,6 +76,8 @@ group by author""",
     # Inner lookup of the cohort (null author never matches)
     "cposts": "select p.*, c.cohort from tposts p join cohorts c on p.author = c.author",
     "creplies": "select r.*, c.cohort from treplies r join cohorts c on r.author = c.author",
+    # posts with text: post ids that are also document ids
+    "xposts": "select p.*, d.title, d.selftext from cposts p join docs d on p.id = cast(d.id as varchar)",
 }
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")

@@ -43,3 +43,11 @@ def cposts(spark: SparkSession, sf: str) -> DataFrame:
 def creplies(spark: SparkSession, sf: str) -> DataFrame:
     return attach(treplies(spark, sf), cohorts(spark, sf))
 read_table = tb.read_table
+
+
+def xposts(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts with text: every post id that is also a document id takes the
+    document's title and selftext (cohort-tagged, as ``cposts``)."""
+    from pyspark.sql import functions as F
+    d = tb.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
+    return cposts(spark, sf).join(d, on="id", how="inner")
