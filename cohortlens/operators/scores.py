@@ -121,7 +121,7 @@ def time_score(rows: DataFrame, ts: TimeScore = TimeScore(), comm: str = "comm_s
 # ------------------------------------------------------------------ D14-D16: interaction scores
 def reply_interaction(replies: DataFrame, post_authors: DataFrame, w: InteractionWeights = InteractionWeights(),
                       keys: Sequence[str] = ("author", "community_grp", "month"), parent: str = "parent_id",
-                      order: Sequence[str] = ("created_utc", "score"), score: str = "score",
+                      order: Sequence[str] = ("created_utc", "score", "is_submitter"), score: str = "score",
                       rule: str = "write") -> DataFrame:
     """Per (author, group, month): Σ 3·s over replies + Σ 9·s over replies to
     a parent the author already met in that group-month (s after the zero rule).
@@ -138,7 +138,8 @@ def reply_interaction(replies: DataFrame, post_authors: DataFrame, w: Interactio
     r = replies.join(post_authors.select("author").distinct(), on="author", how="left_semi") \
         if post_authors is not None else replies
     r = r.withColumn("_s", s)
-    first = F.min_by(F.col("_s"), F.struct(*[F.col(c) for c in order]))
+    # the ordering must determine s: time, score, then the submitter flag (report rule)
+    first = F.min_by(F.col("_s"), F.struct(*[F.col(c) for c in order if c in r.columns]))
     per_parent = r.groupBy(*keys, parent).agg(F.sum("_s").alias("_sum"), first.alias("_first"))
     per_parent = per_parent.withColumn(
         "_v", F.lit(w.reply_weight) * F.col("_sum") + F.lit(w.repeat_multiplier) * (F.col("_sum") - F.col("_first")))

@@ -1,3 +1,110 @@
-"""Queries: q_reshape."""
+"""Queries: pivots, unpivots, matrices."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import reshape as RS
+from ..operators import scores as S
+from ..params import FIXTURE_GROUPS, FIXTURE_LEXICON as LEX
+from . import sqltext as Q
+from . import views as V
+from .catalog import query
+from .q_scores import D16_SQL
+
+GROUPS = list(FIXTURE_GROUPS.labels)
+# pivot value list for the per-user month table: every month of the fixture's
+# date range (1995-01 .. 2001-12), built by rule
+MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
+KIND_CODE = {"reply": "com", "post": "sub"}
+NAMES = [f"{g}-{k}-{m}" for m in MONTHS for g in GROUPS for k in ("com", "sub")]
+
+
+@query("pivot_matrix", "R1 A8", """
+with c as (select cohort, community_grp, avg(sentiment) m from creplies group by all),
+l as (select unnest(['SW', 'MH', 'Otr']) cohort)
+select l.cohort,
+  round(max(m) filter (where community_grp = 'SW'), 6) "SW",
+  round(max(m) filter (where community_grp = 'MH'), 6) "MH",
+  round(max(m) filter (where community_grp = 'Otr'), 6) "Otr"
+from l left join c on l.cohort = c.cohort group by l.cohort""")
+def pivot_matrix(spark, sf):
+    return RS.pivot_mean(V.creplies(spark, sf), "cohort", "community_grp", GROUPS, "sentiment", rows=GROUPS)
+
+
+@query("pivot_time", "R2 A9", """
+select cast(created_day as varchar) created_day,
+  round(avg(score) filter (where community_grp = 'SW'), 6) "SW",
+  round(avg(score) filter (where community_grp = 'MH'), 6) "MH",
+  round(avg(score) filter (where community_grp = 'Otr'), 6) "Otr"
+from tev group by created_day""")
+def pivot_time(spark, sf):
+    e = V.tev(spark, sf).withColumn("created_day", F.col("created_day").cast("string"))
+    return RS.pivot_mean(e, "created_day", "community_grp", GROUPS, "score")
+
+
+_FEATS = ["noun_ratio", "verb_ratio", "adverb_ratio"]
+
+
+@query("unpivot_mean", "R3 F8", f"""
+with x as (select *, {Q.tags('toks', LEX)} tags from (
+             select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xposts))),
+f as (select id, community_grp, {', '.join(f'{v} {k}' for k, v in Q.pos_ratio_cols('toks', 'tags').items())} from x),
+l as (unpivot f on {', '.join(_FEATS)} into name variable value value)
+select variable, community_grp, round(avg(value), 6) mean_value from l group by all""")
+def unpivot_mean(spark, sf):
+    x = T.with_text_arrays(V.xposts(spark, sf).withColumn("txt", T.post_text("title", "selftext")), "txt", LEX)
+    f = x.select("id", "community_grp",
+                 *[c.alias(k) for k, c in T.pos_ratios(F.col("_toks"), F.col("_tags")).items()])
+    return RS.unpivot_mean(f, ["id"], _FEATS, ["community_grp"])
+
+
+def _user_months(spark, sf):
+    users = V.cposts(spark, sf).select("author").distinct()
+    return S.user_month_scores(V.tposts(spark, sf), V.treplies(spark, sf), users, FIXTURE_GROUPS)
+
+
+def _named(df):
+    code = F.when(F.col("kind") == "reply", F.lit("com")).otherwise(F.lit("sub"))
+    return df.withColumn("name", F.concat_ws("-", "community_grp", code, "month"))
+
+
+def _wide(spark, sf):
+    return RS.wide(_named(_user_months(spark, sf)), "author", "name", NAMES, "graph")
+
+
+_WIDE_SQL = (f"{D16_SQL},\nnm as (select *, concat_ws('-', community_grp, case kind when 'reply' then 'com' "
+             f"else 'sub' end, month) name from d16)")
+
+
+@query("unpivot_names", "R4 F14", f"""
+{_WIDE_SQL}
+select grp, type, cast(month as varchar) as month, round(avg(value), 6) mean_value from (
+  select split_part(name, '-', 1) grp, split_part(name, '-', 2) type,
+         cast(try_strptime(regexp_extract(name, '(\\d{{4}}-\\d{{2}})', 1) || '-01', '%Y-%m-%d') as date) as month,
+         graph value from nm where month between '{MONTHS[0]}' and '{MONTHS[-1]}')
+where month is not null group by all""")
+def unpivot_names(spark, sf):
+    long = RS.unpivot_names(_wide(spark, sf), ["author"], NAMES)
+    return (long.groupBy("grp", "type", F.col("month").cast("string").alias("month"))
+            .agg(F.avg("value").alias("mean_value")))
+
+
+@query("wide_user_months", "R5 D16", f"""
+{_WIDE_SQL}
+select author, {', '.join(f'''round(sum(graph) filter (where name = '{n}'), 6) "{n}"''' for n in NAMES)}
+from nm group by author""")
+def wide_user_months(spark, sf):
+    return _wide(spark, sf)
+
+
+@query("matrix_avg", "R6 A8", """
+with a as (select cohort, community_grp, avg(sentiment_complex) post_mean from cposts group by all),
+b as (select cohort, community_grp, avg(sentiment) reply_mean from creplies group by all)
+select cohort, community_grp, round((post_mean + reply_mean) / 2, 6) "value"
+from a full outer join b using (cohort, community_grp)""")
+def matrix_avg(spark, sf):
+    a = V.cposts(spark, sf).groupBy("cohort", "community_grp").agg(F.avg("sentiment_complex").alias("post_mean"))
+    b = V.creplies(spark, sf).groupBy("cohort", "community_grp").agg(F.avg("sentiment").alias("reply_mean"))
+    return RS.cell_average(a, b, ["cohort", "community_grp"], "post_mean", "reply_mean")
