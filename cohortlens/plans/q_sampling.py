@@ -1,3 +1,40 @@
-"""Queries: q_sampling."""
+"""Queries: repeatable sampling (M1, M2)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import sampling as M
+from ..params import SAMPLE_PAIRS
+from . import views as V
+from .catalog import query
+
+SEED = "seed42"
+
+
+@query("sample_users", "M1 J1", f"""
+with r as (select author, row_number() over (partition by cohort
+             order by md5(concat_ws('|', coalesce(author, ''), '{SEED}')), coalesce(author, '')) rn from cohorts)
+select id, author, cohort from cposts where author in (select author from r where rn <= 100)""")
+def sample_users(spark, sf):
+    return M.sample_users(V.cohorts(spark, sf), V.cposts(spark, sf).select("id", "author", "cohort"), 100, SEED)
+
+
+_ORDER = ["link_id", "parent_id", "author", "partner", "created_utc", "score", "_s100"]
+
+
+@query("sample_pairs", "M2", f"""
+with x as (select *, cast(round(sentiment * 100) as bigint) _s100 from creplies),
+p as (select * from (values {', '.join(f"('{a}', '{b}')" for a, b in SAMPLE_PAIRS)}) t(cohort, community_grp)),
+j as (select x.* from x join p using (cohort, community_grp)),
+k as (select *, concat_ws('|', {', '.join(f"coalesce(cast({c} as varchar), '')" for c in _ORDER)}) t from j),
+r as (select *, row_number() over (partition by cohort, community_grp order by md5(concat_ws('|', t, '{SEED}')), t) rn
+      from k)
+select cohort, community_grp, link_id, parent_id, author, partner, created_utc, score, sentiment from r
+where rn <= 250""")
+def sample_pairs(spark, sf):
+    x = V.creplies(spark, sf).withColumn("_s100", F.round(F.col("sentiment") * 100).cast("bigint"))
+    pairs = spark.createDataFrame(list(SAMPLE_PAIRS), "cohort string, community_grp string")
+    s = M.sample_pairs(x, pairs, ["cohort", "community_grp"], _ORDER, 250, SEED)
+    return s.select("cohort", "community_grp", "link_id", "parent_id", "author", "partner", "created_utc", "score",
+                    "sentiment")
