@@ -1,3 +1,204 @@
-"""Queries: q_sources."""
+"""Queries: sources and sinks.
+
+Each query first writes its input files (derived from the test tables) under
+the session's shared ``spark.checkpoint.dir`` and then reads them back with the
+operator under test, so the oracle is the source view itself.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_dir
+from ..sources import files as FS
+from ..sources import sinks as SK
+from . import views as V
+from .catalog import query
+
+EV_DECLARED = "id string, author string, created_utc bigint, community string, score bigint, parent_id string"
+
+
+def _ev(spark, sf):
+    return V.ev(spark, sf).select("id", "author", "created_utc", "community", "score", "parent_id")
+
+
+@query("scan_ndjson_declared", "S1", """
+select id, author, created_utc, community, score, parent_id, null::varchar title from ev""")
+def scan_ndjson_declared(spark, sf):
+    d = scratch_dir(spark, "ndjson-declared")
+    SK.write_zstd_ndjson(_ev(spark, sf).repartition(4), d, window_log=20)
+    # declared schema: `title` is not in the files (null); no other key is read
+    return FS.read_ndjson(spark, f"{d}/*.json.zst", EV_DECLARED + ", title string")
+
+
+@query("scan_ndjson_discovered", "S2", """
+select id, author, created_utc, community, score, parent_id from ev where cast(id as bigint) % 97 <> 0""")
+def scan_ndjson_discovered(spark, sf):
+    d = scratch_dir(spark, "ndjson-discovered")
+    e = _ev(spark, sf)
+    line = F.when(F.col("id").cast("bigint") % 97 == 0, F.concat(F.lit("not json {"), F.col("id"))) \
+            .otherwise(F.to_json(F.struct(*e.columns)))
+    e.select(line.alias("value")).repartition(4).write.text(d)
+    r = FS.read_ndjson_discovered(spark, d)
+    return r.select("id", "author", "created_utc", "community", "score", "parent_id")
+
+
+@query("scan_ndjson_longwindow", "S3", f"""
+select id, author, created_utc, community, score, parent_id from ev""")
+def scan_ndjson_longwindow(spark, sf):
+    d = scratch_dir(spark, "ndjson-long")
+    SK.write_zstd_ndjson(_ev(spark, sf).repartition(4), d, window_log=31)
+    return FS.read_zstd_long_window(spark, d, EV_DECLARED, partitions=4)
+
+
+POST_COLS = ["id", "author", "created_utc", "community", "score", "num_comments", "sentiment_complex"]
+POST_SCHEMA = ("id string, author string, created_utc bigint, community string, score bigint, "
+               "num_comments bigint, sentiment_complex double")
+
+
+@query("scan_csv", "S4", f"select {', '.join(POST_COLS)} from posts")
+def scan_csv(spark, sf):
+    d = scratch_dir(spark, "csv")
+    V.posts(spark, sf).select(*POST_COLS).write.option("header", True).csv(d)
+    return FS.read_csv(spark, d, POST_SCHEMA)
+
+
+@query("scan_csv_quarantine", "S5", """
+select id, (cast(id as bigint) % 101 = 0 or cast(id as bigint) % 103 = 0) bad from posts""")
+def scan_csv_quarantine(spark, sf):
+    d = scratch_dir(spark, "csv-bad")
+    p = V.posts(spark, sf)
+    k = F.col("id").cast("bigint")
+    base = F.concat_ws(",", "id", F.coalesce("author", F.lit("")), "created_utc", "community")
+    line = (F.when(k % 101 == 0, base)                                                  # short row
+            .when(k % 103 == 0, F.concat_ws(",", base, "score", F.lit("extra")))        # long row
+            .otherwise(F.concat_ws(",", base, "score")))
+    p.select(line.alias("value")).write.text(d)
+    good, bad = FS.read_csv_quarantine(spark, d, "id string, author string, created_utc bigint, community string, "
+                                                 "score bigint")
+    return good.select("id", F.lit(False).alias("bad")).unionByName(
+        bad.select(F.coalesce("id", F.split_part("raw", F.lit(","), F.lit(1))).alias("id"), F.lit(True).alias("bad")))
+
+
+@query("scan_nul_filter", "S6", "select id, author from posts where cast(id as bigint) % 89 <> 0")
+def scan_nul_filter(spark, sf):
+    d = scratch_dir(spark, "nul")
+    p = V.posts(spark, sf)
+    k = F.col("id").cast("bigint")
+    line = F.concat_ws(",", "id", F.coalesce("author", F.lit("")), F.when(k % 89 == 0, F.lit("a\x00b"))
+                       .otherwise(F.lit("ok")))
+    p.select(line.alias("value")).repartition(3).write.text(d)
+    rows, _report = FS.read_lines_without_nul(spark, d, "id string, author string, flag string")
+    return rows.select("id", "author")
+
+
+ACT_SCHEMA = "author string, created_utc bigint, community string, score bigint"
+
+
+@query("scan_by_filename", "S7", """
+select 'post' kind, author, created_utc, community, score from posts
+union all select 'reply' kind, author, created_utc, community, score from replies""")
+def scan_by_filename(spark, sf):
+    d = scratch_dir(spark, "routed")
+    cols = ["author", "created_utc", "community", "score"]
+    V.posts(spark, sf).select(*cols).write.option("header", True).csv(f"{d}/_posts")
+    V.replies(spark, sf).select(*cols).write.option("header", True).csv(f"{d}/_replies")
+    _rename_parts(spark, f"{d}/_posts", f"{d}/data", "RS_")
+    _rename_parts(spark, f"{d}/_replies", f"{d}/data", "RC_")
+    return FS.read_routed(spark, f"{d}/data", {"post": ("RS_*.csv", ACT_SCHEMA), "reply": ("RC_*.csv", ACT_SCHEMA)})
+
+
+def _rename_parts(spark, src: str, dst: str, prefix: str) -> None:
+    """Give Spark part files archive-style names (metadata operations only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    sp, dp = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = sp.getFileSystem(conf)
+    fs.mkdirs(dp)
+    for i, st in enumerate(fs.listStatus(sp)):
+        name = st.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dp, f"{prefix}{i:05d}.csv"))
+
+
+DOC_SCHEMA = "id bigint, title string, selftext string"
+
+
+@query("sink_csv_quoted", "S8", "select id, title, selftext from docs")
+def sink_csv_quoted(spark, sf):
+    d = scratch_dir(spark, "quoted")
+    SK.write_csv_quoted(V.docs(spark, sf).select("id", "title", "selftext"), d)
+    return FS.read_csv(spark, d, DOC_SCHEMA, multiline=True, null_value=SK.NULL_MARK)
+
+
+@query("sink_rolling", "S9", "select id, author, score from posts")
+def sink_rolling(spark, sf):
+    d = scratch_dir(spark, "rolling")
+    SK.write_rolling(V.posts(spark, sf).select("id", "author", "score"), d, max_records=1000)
+    return FS.read_csv(spark, d, "id string, author string, score bigint", multiline=True)
+
+
+@query("sink_merge_parts", "S10", "select id, community, num_comments from posts")
+def sink_merge_parts(spark, sf):
+    d = scratch_dir(spark, "parts")
+    (V.posts(spark, sf).select("id", "community", "num_comments").repartition(7)
+     .write.option("header", True).csv(d))
+    # every part carries its header; the reader drops each of them
+    return FS.read_csv(spark, d, "id string, community string, num_comments bigint")
+
+
+@query("sink_append", "S11", "select link_id, parent_id, author, score, month from replies")
+def sink_append(spark, sf):
+    d = scratch_dir(spark, "append")
+    r = V.replies(spark, sf).select("link_id", "parent_id", "author", "score", "month")
+    SK.append_partitioned(r.filter(F.col("month") < "1998-01"), d)
+    SK.append_partitioned(r.filter(F.col("month") >= "1998-01"), d)
+    return spark.read.parquet(d).select("link_id", "parent_id", "author", "score", "month")
+
+
+@query("sink_replace", "S12 F3", "select id, community, community_grp from tposts")
+def sink_replace(spark, sf):
+    from ..functions.tags import community_group
+    from ..params import FIXTURE_GROUPS
+    t = scratch_dir(spark, "replace")
+    SK.replace_versioned(V.posts(spark, sf).select("id", "community"), t)
+    cur = SK.read_versioned(spark, t)
+    SK.replace_versioned(cur.withColumn("community_grp", community_group("community", FIXTURE_GROUPS)), t)
+    return SK.read_versioned(spark, t)
+
+
+@query("sink_upsert", "S13", """
+with old as (select id, author, sentiment_complex from posts),
+new as (select link_id id, null::varchar author, avg(sentiment) sentiment_complex from replies
+         where cast(link_id as bigint) % 3 = 0 group by link_id
+        union all
+        select concat('ev', id) id, author, null::double sentiment_complex from ev)
+select coalesce(n.id, o.id) id, coalesce(n.author, o.author) author,
+       round(coalesce(n.sentiment_complex, o.sentiment_complex), 6) sentiment_complex
+from old o full outer join new n on o.id = n.id""")
+def sink_upsert(spark, sf):
+    old = V.posts(spark, sf).select("id", "author", "sentiment_complex")
+    upd = (V.replies(spark, sf).filter(F.col("link_id").cast("bigint") % 3 == 0).groupBy(F.col("link_id").alias("id"))
+           .agg(F.avg("sentiment").alias("sentiment_complex")))
+    ins = V.ev(spark, sf).select(F.concat(F.lit("ev"), "id").alias("id"), "author",
+                                 F.lit(None).cast("double").alias("sentiment_complex"))
+    new = upd.unionByName(ins, allowMissingColumns=True)
+    return SK.upsert(old, new, "id")
+
+
+@query("set_fields", "S14", """
+with v as (select link_id id, avg(sentiment) s from replies group by link_id)
+select p.id, p.author, round(coalesce(p.sentiment_complex, v.s), 6) sentiment_complex
+from posts p left join v on p.id = v.id""")
+def set_fields(spark, sf):
+    p = V.posts(spark, sf).select("id", "author", "sentiment_complex")
+    v = V.replies(spark, sf).groupBy(F.col("link_id").alias("id")).agg(F.avg("sentiment").alias("sentiment_complex"))
+    return SK.set_fields(p, v, "id", ["sentiment_complex"], overwrite=False)
+
+
+@query("sink_layout", "S15 P8", """
+select link_id, author, score, month from replies where month = '1997-06'""")
+def sink_layout(spark, sf):
+    d = scratch_dir(spark, "layout")
+    SK.write_layout(V.replies(spark, sf).select("link_id", "author", "score", "month"), d)
+    return spark.read.parquet(d).filter(F.col("month") == "1997-06").select("link_id", "author", "score", "month")
