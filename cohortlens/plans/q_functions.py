@@ -28,7 +28,8 @@ select id, {select} from dt"""
 
 
 # epoch -> UTC day / month; 0, '' and unparsable values stay untagged
-_EPOCH_SQL = "case when try_cast(cast(created_utc as varchar) as bigint) <> 0 then to_timestamp(created_utc) end"
+_EPOCH_SQL = ("case when try_cast(cast(created_utc as varchar) as bigint) <> 0 "
+              "then epoch_ms(try_cast(cast(created_utc as varchar) as bigint) * 1000) end")
 
 
 @query("tag_day", "F1", f"select id, strftime({_EPOCH_SQL}, '%Y-%m-%d') as created_day from posts")
