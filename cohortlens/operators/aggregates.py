@@ -100,16 +100,29 @@ def daily_counts(df: DataFrame, key: str = "author", day: str = "created_day") -
     return df.groupBy(key, day).agg(F.count(F.lit(1)).alias("activity_count"))
 
 
+def distinct_of_labels(col: str, labels) -> Column:
+    """Exact distinct count over a small fixed label set as ``bit_count`` of an
+    OR-ed bitmask: an ordinary partial aggregate (a second ``count_distinct``
+    in the same ``groupBy`` would make Spark expand every row per distinct
+    column).  Nulls and values outside ``labels`` are not counted."""
+    expr = F.lit(0)
+    for i, lab in enumerate(labels):
+        expr = F.when(F.col(col) == lab, F.lit(1 << i)).otherwise(expr)
+    return F.bit_count(F.bit_or(expr)).cast("bigint")
+
+
 def monthly_contacts(df: DataFrame, key: str = "author", month: str = "month", partner: str | None = "partner",
-                     grp: str = "community_grp", cohort: str = "cohort") -> DataFrame:
+                     grp: str = "community_grp", cohort: str = "cohort", grp_labels=None) -> DataFrame:
     """Per (author, month): interactions, distinct partners, distinct groups,
     and the cohort (``min`` — the study's ``$first`` is order-dependent).
-    Absent partner column -> 0 partners."""
+    Absent partner column -> 0 partners.  With ``grp_labels`` (the fixed group
+    labels) the distinct group count is a bitmask aggregate."""
     p = F.count_distinct(F.col(partner)) if partner else F.lit(0).cast("bigint")
+    g = distinct_of_labels(grp, grp_labels) if grp_labels else F.count_distinct(F.col(grp))
     return df.groupBy(key, month).agg(
         F.count(F.lit(1)).alias("interactions"),
         p.alias("partners"),
-        F.count_distinct(F.col(grp)).alias("groups"),
+        g.alias("groups"),
         F.min(F.col(cohort)).alias(cohort))
 
 

@@ -124,7 +124,7 @@ def monthly_contacts(spark, sf):
     p = V.cposts(spark, sf).select("author", "month", F.lit(None).cast("string").alias("partner"),
                                    "community_grp", "cohort")
     r = V.creplies(spark, sf).select("author", "month", "partner", "community_grp", "cohort")
-    return A.monthly_contacts(p.unionByName(r))
+    return A.monthly_contacts(p.unionByName(r), grp_labels=FIXTURE_GROUPS.labels)
 
 
 @query("user_rollup", "A12 D5", f"""
