@@ -112,18 +112,23 @@ def distinct_of_labels(col: str, labels) -> Column:
 
 
 def monthly_contacts(df: DataFrame, key: str = "author", month: str = "month", partner: str | None = "partner",
-                     grp: str = "community_grp", cohort: str = "cohort", grp_labels=None) -> DataFrame:
+                     grp: str = "community_grp", cohort: str = "cohort", grp_labels=None,
+                     cohorts: DataFrame | None = None) -> DataFrame:
     """Per (author, month): interactions, distinct partners, distinct groups,
     and the cohort (``min`` — the study's ``$first`` is order-dependent).
     Absent partner column -> 0 partners.  With ``grp_labels`` (the fixed group
-    labels) the distinct group count is a bitmask aggregate."""
+    labels) the distinct group count is a bitmask aggregate.  With ``cohorts``
+    the rows need no cohort column: the cohort is joined onto the aggregated
+    (author, month) rows instead of onto every input row."""
     p = F.count_distinct(F.col(partner)) if partner else F.lit(0).cast("bigint")
     g = distinct_of_labels(grp, grp_labels) if grp_labels else F.count_distinct(F.col(grp))
-    return df.groupBy(key, month).agg(
-        F.count(F.lit(1)).alias("interactions"),
-        p.alias("partners"),
-        g.alias("groups"),
-        F.min(F.col(cohort)).alias(cohort))
+    aggs = [F.count(F.lit(1)).alias("interactions"), p.alias("partners"), g.alias("groups")]
+    if cohorts is None:
+        aggs.append(F.min(F.col(cohort)).alias(cohort))
+    out = df.groupBy(key, month).agg(*aggs)
+    if cohorts is not None:
+        out = out.join(cohorts.select(key, cohort), on=key, how="inner")
+    return out
 
 
 def user_rollup(df: DataFrame, key: str, text: str, score: Column) -> DataFrame:

@@ -74,7 +74,8 @@ def activity_score(rows: DataFrame, key: str = "author", day: str = "created_day
 
 # ------------------------------------------------------------------ D12: communication score
 def comm_scores(posts: DataFrame, replies: DataFrame, groups: Groups, w: CommWeights = CommWeights(),
-                partner: str | None = "partner", grp: str = "community_grp", cohort: str = "cohort") -> DataFrame:
+                partner: str | None = "partner", grp: str = "community_grp", cohort: str = "cohort",
+                cohorts: DataFrame | None = None) -> DataFrame:
     """For each community group g, over posts and replies of g (Q5: both
     sides filtered), per (author, month): interactions + 2 distinct partners
     + 3 distinct groups; then W5 (clip at the 0.9 quantile, min-max) within g.
@@ -82,16 +83,24 @@ def comm_scores(posts: DataFrame, replies: DataFrame, groups: Groups, w: CommWei
     One pass for all groups: ``g`` is simply part of the grouping key, and the
     per-group quantile is a 3-row aggregate joined back.
     Returns (community_grp, author, month, cohort, comm_score, normalized_score).
+
+    With ``cohorts`` (author -> cohort) the inputs need no cohort column: rows
+    are aggregated first and the cohort is joined onto the much smaller
+    (group, author, month) result (authors without a cohort drop out, as with
+    a row-level lookup).
     """
-    cols = ["author", "month", grp, cohort]
+    cols = ["author", "month", grp] + ([] if cohorts is not None else [cohort])
     p = posts.select(*cols, F.lit(None).cast("string").alias("_partner"))
     r = replies.select(*cols, (F.col(partner) if partner else F.lit(None).cast("string")).alias("_partner"))
     u = p.unionByName(r).filter(F.col(grp).isin(list(groups.labels)))
-    g = u.groupBy(grp, "author", "month").agg(
-        F.count(F.lit(1)).alias("interactions"),
-        F.count_distinct("_partner").alias("partners"),
-        F.lit(1).cast("bigint").alias("groups"),   # one group per key: the key includes it
-        F.min(cohort).alias(cohort))
+    aggs = [F.count(F.lit(1)).alias("interactions"),
+            F.count_distinct("_partner").alias("partners"),
+            F.lit(1).cast("bigint").alias("groups")]   # one group per key: the key includes it
+    if cohorts is None:
+        aggs.append(F.min(cohort).alias(cohort))
+    g = u.groupBy(grp, "author", "month").agg(*aggs)
+    if cohorts is not None:
+        g = g.join(cohorts.select("author", cohort), on="author", how="inner")
     g = g.withColumn("comm_score", (F.lit(w.interactions) * F.col("interactions")
                                     + F.lit(w.partners) * F.col("partners")
                                     + F.lit(w.groups) * F.col("groups")).cast("double"))

@@ -121,10 +121,9 @@ select author, month, count(*) interactions, count(distinct partner) partners,
        count(distinct community_grp) "groups", min(cohort) cohort
 from k group by author, month""")
 def monthly_contacts(spark, sf):
-    p = V.cposts(spark, sf).select("author", "month", F.lit(None).cast("string").alias("partner"),
-                                   "community_grp", "cohort")
-    r = V.creplies(spark, sf).select("author", "month", "partner", "community_grp", "cohort")
-    return A.monthly_contacts(p.unionByName(r), grp_labels=FIXTURE_GROUPS.labels)
+    p = V.tposts(spark, sf).select("author", "month", F.lit(None).cast("string").alias("partner"), "community_grp")
+    r = V.treplies(spark, sf).select("author", "month", "partner", "community_grp")
+    return A.monthly_contacts(p.unionByName(r), grp_labels=FIXTURE_GROUPS.labels, cohorts=V.cohorts(spark, sf))
 
 
 @query("user_rollup", "A12 D5", f"""

@@ -61,7 +61,7 @@ def unpivot_mean(spark, sf):
 
 
 def _user_months(spark, sf):
-    users = V.cposts(spark, sf).select("author").distinct()
+    users = V.known(V.tposts(spark, sf)).select("author").distinct()   # = authors of cposts
     return S.user_month_scores(V.tposts(spark, sf), V.treplies(spark, sf), users, FIXTURE_GROUPS)
 
 

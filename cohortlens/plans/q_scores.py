@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scores as S
 from ..params import RankWeights
 from . import views as V
+from ..session import materialize
 from .catalog import query
 
 RANK = RankWeights()          # study defaults: N = 500, lowest first
@@ -86,22 +87,39 @@ d16 as (select am.author, am.month, cells.community_grp, cells.kind, coalesce(x.
          and x.kind = cells.kind)"""
 
 
-def _d11(spark, sf):
-    p = S.activity_score(V.posts(spark, sf)).withColumn("kind", F.lit("post"))
-    r = S.activity_score(V.replies(spark, sf)).withColumn("kind", F.lit("reply"))
+def _tagged(spark, sf, shared: bool = False):
+    """Group-tagged posts and replies.  ``shared``: a composite plan reads them
+    in several branches, so they are written once under the checkpoint folder
+    (lineage cut; each branch reads files, not the upstream joins)."""
+    tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
+    if shared:
+        tp, tr = materialize(tp, "tposts"), materialize(tr, "treplies")
+    return tp, tr
+
+
+def _d11(spark, sf, tp=None, tr=None):
+    tp = V.posts(spark, sf) if tp is None else tp
+    tr = V.replies(spark, sf) if tr is None else tr
+    p = S.activity_score(tp).withColumn("kind", F.lit("post"))
+    r = S.activity_score(tr).withColumn("kind", F.lit("reply"))
     return p.unionByName(r)
 
 
-def _d12(spark, sf):
-    return S.comm_scores(V.cposts(spark, sf), V.creplies(spark, sf), FIXTURE_GROUPS)
+def _d12(spark, sf, tp=None, tr=None):
+    if tp is None:
+        tp, tr = _tagged(spark, sf)
+    # aggregate first, attach the cohort to the (group, author, month) result
+    return S.comm_scores(tp, tr, FIXTURE_GROUPS, cohorts=V.cohorts_of(tp, tr))
 
 
-def _d14(spark, sf):
-    return S.reply_interaction(V.treplies(spark, sf), V.tposts(spark, sf).select("author"))
+def _d14(spark, sf, tp=None, tr=None):
+    if tp is None:
+        tp, tr = _tagged(spark, sf)
+    return S.reply_interaction(tr, tp.select("author"))
 
 
-def _d15(spark, sf):
-    return S.post_interaction(V.tposts(spark, sf))
+def _d15(spark, sf, tp=None):
+    return S.post_interaction(V.tposts(spark, sf) if tp is None else tp)
 
 
 @query("activity_score", "D11 A10 W3 F13 W4", f"""
@@ -134,9 +152,10 @@ select id, author, round(time_based, 6) time_based, round(comm_score, 6) comm_sc
          time_based_score
 from x, m""")
 def time_score(spark, sf):
-    p = V.tposts(spark, sf).select("id", "author", "created_day", "community_grp", "month")
-    d11 = _d11(spark, sf).filter(F.col("kind") == "post").select("author", "created_day", "time_based")
-    d12 = _d12(spark, sf).select("author", "community_grp", "month", "comm_score")
+    tp, tr = _tagged(spark, sf, shared=True)
+    p = tp.select("id", "author", "created_day", "community_grp", "month")
+    d11 = _d11(spark, sf, tp, tr).filter(F.col("kind") == "post").select("author", "created_day", "time_based")
+    d12 = _d12(spark, sf, tp, tr).select("author", "community_grp", "month", "comm_score")
     x = p.join(d11, on=["author", "created_day"], how="left").join(d12, on=["author", "community_grp", "month"],
                                                                    how="left")
     return S.time_score(x).select("id", "author", "time_based", "comm_score", "time_based_score")
@@ -159,7 +178,7 @@ def post_interaction(spark, sf):
 @query("user_month_scores", "D16", D16_SQL + """
 select author, month, community_grp, kind, round(graph, 6) graph from d16""")
 def user_month_scores(spark, sf):
-    users = V.cposts(spark, sf).select("author").distinct()
+    users = V.known(V.tposts(spark, sf)).select("author").distinct()   # = authors of cposts
     return S.user_month_scores(V.tposts(spark, sf), V.treplies(spark, sf), users, FIXTURE_GROUPS)
 
 
@@ -210,12 +229,13 @@ select cast(row_number() over (order by round(score, 9) desc nulls last, author)
        round(score, 6) score from t""")
 def integrated_rank_multi(spark, sf):
     keys = ["author", "community_grp", "month"]
-    d12 = _d12(spark, sf).select(*keys, "comm_score")
-    sp = V.cposts(spark, sf).join(_d15(spark, sf), on=keys, how="left").join(d12, on=keys, how="left")
-    sr = V.creplies(spark, sf).join(_d14(spark, sf), on=keys, how="left").join(d12, on=keys, how="left")
+    tp, tr = _tagged(spark, sf, shared=True)
+    d12 = _d12(spark, sf, tp, tr).select(*keys, "comm_score")
+    # the cohort lookup of cposts/creplies only drops null authors here: a filter does that
+    sp = V.known(tp).join(_d15(spark, sf, tp), on=keys, how="left").join(d12, on=keys, how="left")
+    sr = V.known(tr).join(_d14(spark, sf, tp, tr), on=keys, how="left").join(d12, on=keys, how="left")
     std = {"pos": None, "graph": "graph", "time_based": "comm_score"}
-    return S.integrated_rank_multi(V.posts(spark, sf), V.replies(spark, sf), sp, sr,
-                                   ("sentiment_complex", "sentiment"), std, MULTI)
+    return S.integrated_rank_multi(tp, tr, sp, sr, ("sentiment_complex", "sentiment"), std, MULTI)
 
 
 @query("ranked_activity", "D20 J3 U1", """

@@ -30,12 +30,22 @@ def tev(spark: SparkSession, sf: str) -> DataFrame:
     return tb.ev(spark, sf).withColumn("community_grp", community_group("community", FIXTURE_EV_GROUPS))
 
 
-def cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tposts(spark, sf).select("author", "community_grp").unionByName(
-        treplies(spark, sf).select("author", "community_grp"))
+def cohorts_of(tp: DataFrame, tr: DataFrame) -> DataFrame:
+    rows = tp.select("author", "community_grp").unionByName(tr.select("author", "community_grp"))
     return user_cohorts(rows, FIXTURE_GROUPS)
 
 
+def cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    return cohorts_of(tposts(spark, sf), treplies(spark, sf))
+
+
+def known(df: DataFrame) -> DataFrame:
+    """Rows of known authors: every non-null author has a cohort, so this is
+    the row set the cohort lookup keeps, without the join."""
+    from pyspark.sql import functions as F
+    return df.filter(F.col("author").isNotNull())
+
+
 def cposts(spark: SparkSession, sf: str) -> DataFrame:
     return attach(tposts(spark, sf), cohorts(spark, sf))
 

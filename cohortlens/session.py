@@ -34,10 +34,33 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def ensure_engine_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable engine settings to a session made elsewhere."""
+    """Apply the runtime-settable engine settings to a session made elsewhere,
+    and make the package importable by the Python workers."""
     for k, v in ENGINE_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (``addPyFile``, the
+    runtime form of ``--py-files``) once per SparkContext, so pandas UDFs and
+    ``mapInPandas`` functions defined here unpickle wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cohortlens_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="cohortlens-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    sc._cohortlens_shipped = True
 
 
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
@@ -61,6 +84,19 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts the lineage of an intermediate that several branches of a
+    plan consume (each would otherwise recompute it from the sources), and a
+    lost executor re-reads files instead of recomputing the upstream joins.
+    The read-back keeps column pruning and filter pushdown (unlike an RDD
+    checkpoint)."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = scratch_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
