@@ -230,10 +230,12 @@ select threshold, community, rank, cohort_users, unique_users, round(ratio, 6) r
        community in (select community from raw) in_raw_top
 from rk where rank <= 5""")
 def topn_communities(spark, sf):
-    act = V.cposts(spark, sf).select("author", "community", "cohort").unionByName(
-        V.creplies(spark, sf).select("author", "community", "cohort"))
-    tot = A.distinct_per_key(act, "community", "author", "unique_users")
-    cu = A.distinct_per_key(act.filter(F.col("cohort") == "SW"), "community", "author", "cohort_users")
+    tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
+    # distinct (community, author) pairs first; the cohort is attached to pairs, not to rows
+    pairs = V.known(tp.select("community", "author").unionByName(tr.select("community", "author"))).distinct()
+    pairs = pairs.join(V.cohorts_of(tp, tr), on="author", how="inner")
+    tot = pairs.groupBy("community").agg(F.count(F.lit(1)).alias("unique_users"))
+    cu = pairs.filter(F.col("cohort") == "SW").groupBy("community").agg(F.count(F.lit(1)).alias("cohort_users"))
     return R.topn_by_threshold(cu, tot, "community", [500, 1000, 2000], 5)
 
 
