@@ -14,17 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def seen_parent(df: DataFrame, keys: Sequence[str], parent: str, order: Sequence[Column | str],
+def seen_parent_windowed(df: DataFrame, keys: Sequence[str], parent: str, order: Sequence[Column | str],
+                         out: str = "repeat") -> DataFrame:
+    """W2 as a window (reference form for tests): one task per (keys, parent) group."""
+    w = Window.partitionBy(*keys, parent).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w) > 1)
+
+
+def seen_parent(df: DataFrame, keys: Sequence[str], parent: str, order: Sequence[str],
                 out: str = "repeat") -> DataFrame:
     """``repeat`` = an earlier row of the same (keys) already had this parent.
 
-    The window is partitioned by (keys, parent): a single group is one author's
-    replies to one parent inside one group-month, so a prolific author is spread
-    over all of their threads.  ``order`` must be a total order (Q20: time, then
-    score, then the remaining columns).
+    No window, so no group is ever handled by a single task:
+
+    1. the first position per (keys, parent) is ``min(struct(order))`` — a
+       partial aggregate — joined back on the group key (a hot key is split by
+       AQE's skew join on the row side);
+    2. a row after the first is a repeat;
+    3. rows tied with the first are identical in every column (``order`` plus
+       the group key must cover all columns: Q20's "time, score, then all other
+       columns"), so they are counted by a partial aggregate and re-expanded as
+       one first row and ``count - 1`` repeats.
     """
-    w = Window.partitionBy(*keys, parent).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w) > 1)
+    gk = [*keys, parent]
+    pos = F.struct(*[F.col(c) for c in order])
+    cols = list(df.columns)
+    first = df.groupBy(*gk).agg(F.min(pos).alias("_first"))
+    first = first.select(*[F.col(k).alias(f"_g_{k}") for k in gk], "_first")
+    cond = [df[k].eqNullSafe(first[f"_g_{k}"]) for k in gk]          # null keys form a group too
+    j = (df.join(first, on=cond, how="inner").drop(*[f"_g_{k}" for k in gk])
+         .withColumn("_is_first", pos.eqNullSafe(F.col("_first"))))
+    later = j.filter(~F.col("_is_first")).select(*cols).withColumn(out, F.lit(True))
+    tied = (j.filter(F.col("_is_first")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+            .select(*cols, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"))
+            .select(*cols, (F.col("_i") > 1).alias(out)))
+    return later.unionByName(tied)
 
 
 def with_scalar(df: DataFrame, scalar_row: DataFrame) -> DataFrame:

@@ -32,8 +32,7 @@ from treplies""")
 def seen_parent(spark, sf):
     r = V.treplies(spark, sf).select("author", "community_grp", "month", "parent_id", "created_utc", "score",
                                      "partner")
-    return W.seen_parent(r, ["author", "community_grp", "month"], "parent_id",
-                         [F.col("created_utc"), F.col("score"), F.col("partner")])
+    return W.seen_parent(r, ["author", "community_grp", "month"], "parent_id", ["created_utc", "score", "partner"])
 
 
 @query("days_ago", "W3", """

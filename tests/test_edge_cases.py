@@ -32,10 +32,23 @@ def test_parent_repeats_write_and_report(spark):
     assert r == 3 * 7 + 9 * 4
     # the windowed flag marks the 2nd and 4th rows
     flags = W.seen_parent(df, ["author", "community_grp", "month"], "parent_id",
-                          [F.col("created_utc"), F.col("score")])
+                          ["created_utc", "score", "is_submitter"])
     assert rows(flags, "created_utc", "repeat") == [(1, False), (2, True), (3, False), (4, True)]
 
 
+def test_seen_parent_duplicates_match_window(spark):
+    # identical rows: one is first, the others are repeats (as a row_number would say)
+    data = [("u", "SW", "m", "a", 5, 1), ("u", "SW", "m", "a", 5, 1), ("u", "SW", "m", "a", 5, 1),
+            ("u", "SW", "m", "a", 7, 0), (None, "SW", "m", "b", 1, 1), (None, "SW", "m", "b", 2, 1),
+            ("v", "MH", "m", "a", 3, None), ("v", "MH", "m", "a", 3, None)]
+    df = spark.createDataFrame(data, "author string, community_grp string, month string, parent_id string, "
+                                     "created_utc long, score long")
+    keys, order = ["author", "community_grp", "month"], ["created_utc", "score"]
+    got = rows(W.seen_parent(df, keys, "parent_id", order))
+    want = rows(W.seen_parent_windowed(df, keys, "parent_id", [F.col(c) for c in order]))
+    assert got == want
+
+
 def test_reply_interaction_needs_a_post(spark):
     df = spark.createDataFrame([("x", "SW", "2020-01", "a", 1, 5, False)],
                                "author string, community_grp string, month string, parent_id string, "
