@@ -94,11 +94,12 @@ select t.community, t.unique_users, cast(coalesce(s.sw_users, 0) as bigint) sw_u
        round(cast(coalesce(s.sw_users, 0) as double) / t.unique_users, 6) ratio
 from tot t left join sw s on t.community = s.community""")
 def ratio_left_join(spark, sf):
-    act = V.posts(spark, sf).select("author", "community").unionByName(
-        V.replies(spark, sf).select("author", "community"))
-    tot = A.distinct_per_key(act, "community", "author", "unique_users")
-    sw_act = act.join(V.cohorts(spark, sf).filter(F.col("cohort") == "SW"), on="author", how="inner")
-    sw = A.distinct_per_key(sw_act, "community", "author", "sw_users")
+    tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
+    # distinct (community, author) pairs first: the cohort lookup joins pairs, not rows
+    pairs = V.known(tp.select("author", "community").unionByName(tr.select("author", "community"))).distinct()
+    tot = pairs.groupBy("community").agg(F.count(F.lit(1)).alias("unique_users"))
+    sw_pairs = pairs.join(V.cohorts_of(tp, tr).filter(F.col("cohort") == "SW"), on="author", how="inner")
+    sw = sw_pairs.groupBy("community").agg(F.count(F.lit(1)).alias("sw_users"))
     return R.ratio_left_join(tot, sw, "community", "unique_users", "sw_users")
 
 
