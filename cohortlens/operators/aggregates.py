@@ -90,6 +90,24 @@ def group_mean(df: DataFrame, keys: Sequence[str], score: str, out: str = "mean_
     return df.groupBy(*keys).agg(F.avg(F.col(score)).alias(out))
 
 
+def per_author_cells(rows: DataFrame, cohorts: DataFrame, cells: Sequence[str], score: str | None = None,
+                     key: str = "author", cohort: str = "cohort") -> DataFrame:
+    """Reduce rows to (author, cells) partial sums, then attach the author's
+    cohort: the lookup joins one row per author and cell, not every input row.
+    Returns (cohort, cells..., _s = Σ score, _c = count(score), _n = rows)."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if score is not None:
+        aggs += [F.sum(F.col(score)).alias("_s"), F.count(F.col(score)).alias("_c")]
+    per = rows.groupBy(key, *cells).agg(*aggs)
+    return per.join(cohorts.select(key, cohort), on=key, how="inner").drop(key)
+
+
+def cell_means(cells_df: DataFrame, keys: Sequence[str], out: str = "mean_score") -> DataFrame:
+    """Means per ``keys`` from :func:`per_author_cells` partial sums (null when
+    the group has no score)."""
+    return cells_df.groupBy(*keys).agg(F.try_divide(F.sum("_s"), F.sum("_c").cast("double")).alias(out))
+
+
 def daily_group_avg(df: DataFrame, day: str, grp: str, score: str, out: str = "avg_score") -> DataFrame:
     """Average per (day, group), sorted by day."""
     return df.groupBy(day, grp).agg(F.avg(F.col(score)).alias(out)).orderBy(day, grp)
@@ -192,10 +210,13 @@ def scalars(df: DataFrame, col: str, q: float = 0.9) -> DataFrame:
                   F.percentile(F.col(col).cast("double"), F.lit(q)).alias("quantile_value"))
 
 
-def matrix_totals(df: DataFrame, row: str, col: str, all_label: str = "ALL", out: str = "n") -> DataFrame:
+def matrix_totals(df: DataFrame, row: str, col: str, all_label: str = "ALL", out: str = "n",
+                  weight: str | None = None) -> DataFrame:
     """Counts per (row, col) plus row totals, column totals and the grand
-    total (``cube``); margins are labelled ``ALL``."""
-    c = df.cube(row, col).agg(F.count(F.lit(1)).alias(out), F.grouping_id().alias("_g"))
+    total (``cube``); margins are labelled ``ALL``.  ``weight``: rows are
+    already partial counts (summed instead of counted)."""
+    n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    c = df.cube(row, col).agg(n.alias(out), F.grouping_id().alias("_g"))
     return c.select(F.when(F.col("_g").bitwiseAND(2) != 0, F.lit(all_label))
                     .otherwise(F.col(row)).alias(row),
                     F.when(F.col("_g").bitwiseAND(1) != 0, F.lit(all_label)).otherwise(F.col(col)).alias(col),
@@ -203,9 +224,11 @@ def matrix_totals(df: DataFrame, row: str, col: str, all_label: str = "ALL", out
 
 
 def matrix_mean_all(df: DataFrame, row: str, col: str, score: str, all_label: str = "ALL",
-                    out: str = "mean_score") -> DataFrame:
+                    out: str = "mean_score", cells_given: bool = False) -> DataFrame:
     """Cell means, plus per row an ``ALL`` cell = unweighted mean of the
-    row's cell means (not the grand mean); null cells skipped."""
-    cells = df.groupBy(row, col).agg(F.avg(F.col(score)).alias(out))
+    row's cell means (not the grand mean); null cells skipped.  With
+    ``cells_given`` the input already holds one mean per cell in ``score``."""
+    cells = (df.select(row, col, F.col(score).alias(out)) if cells_given
+             else df.groupBy(row, col).agg(F.avg(F.col(score)).alias(out)))
     alls = cells.groupBy(row).agg(F.avg(F.col(out)).alias(out)).withColumn(col, F.lit(all_label))
     return cells.unionByName(alls)

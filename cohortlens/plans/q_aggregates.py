@@ -96,7 +96,8 @@ def user_cohort(spark, sf):
 @query("group_mean", "A8", """
 select cohort, community_grp, round(avg(sentiment), 6) mean_score from creplies group by all""")
 def group_mean(spark, sf):
-    return A.group_mean(V.creplies(spark, sf), ["cohort", "community_grp"], "sentiment")
+    # rows -> (author, group) partial sums -> cohort attached -> cell means
+    return A.cell_means(V.reply_cells(spark, sf), ["cohort", "community_grp"])
 
 
 @query("daily_group_avg", "A9", """
@@ -230,7 +231,7 @@ def scalars(spark, sf):
 select coalesce(cohort, 'ALL') cohort, coalesce(community_grp, 'ALL') community_grp, count(*) n
 from creplies group by cube(cohort, community_grp)""")
 def matrix_totals(spark, sf):
-    return A.matrix_totals(V.creplies(spark, sf), "cohort", "community_grp")
+    return A.matrix_totals(V.reply_cells(spark, sf, None), "cohort", "community_grp", weight="_n")
 
 
 @query("matrix_mean_all", "A21", """
@@ -239,4 +240,5 @@ select cohort, community_grp, round(m, 6) mean_score from c
 union all
 select cohort, 'ALL' community_grp, round(avg(m), 6) mean_score from c group by cohort""")
 def matrix_mean_all(spark, sf):
-    return A.matrix_mean_all(V.creplies(spark, sf), "cohort", "community_grp", "sentiment")
+    cells = A.cell_means(V.reply_cells(spark, sf), ["cohort", "community_grp"])
+    return A.matrix_mean_all(cells, "cohort", "community_grp", "mean_score", cells_given=True)

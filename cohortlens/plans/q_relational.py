@@ -185,9 +185,9 @@ select cohort, community_grp, round(avg(sentiment), 6) mean_score from creplies
 union all
 select 'ALL' cohort, community_grp, round(avg(sentiment), 6) mean_score from creplies group by 2""")
 def append_all(spark, sf):
-    r = V.creplies(spark, sf)
-    detail = A.group_mean(r, ["cohort", "community_grp"], "sentiment")
-    alls = A.group_mean(r, ["community_grp"], "sentiment").withColumn("cohort", F.lit("ALL"))
+    cells = V.reply_cells(spark, sf)          # (author, group) partial sums, cohort attached
+    detail = A.cell_means(cells, ["cohort", "community_grp"])
+    alls = A.cell_means(cells, ["community_grp"]).withColumn("cohort", F.lit("ALL"))
     return R.append_rows(detail, alls)
 
 

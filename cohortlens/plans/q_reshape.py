@@ -30,7 +30,9 @@ select l.cohort,
   round(max(m) filter (where community_grp = 'Otr'), 6) "Otr"
 from l left join c on l.cohort = c.cohort group by l.cohort""")
 def pivot_matrix(spark, sf):
-    return RS.pivot_mean(V.creplies(spark, sf), "cohort", "community_grp", GROUPS, "sentiment", rows=GROUPS)
+    from ..operators.aggregates import cell_means
+    cells = cell_means(V.reply_cells(spark, sf), ["cohort", "community_grp"])   # one mean per cell
+    return RS.pivot_mean(cells, "cohort", "community_grp", GROUPS, "mean_score", rows=GROUPS)
 
 
 @query("pivot_time", "R2 A9", """
@@ -105,6 +107,7 @@ b as (select cohort, community_grp, avg(sentiment) reply_mean from creplies grou
 select cohort, community_grp, round((post_mean + reply_mean) / 2, 6) "value"
 from a full outer join b using (cohort, community_grp)""")
 def matrix_avg(spark, sf):
-    a = V.cposts(spark, sf).groupBy("cohort", "community_grp").agg(F.avg("sentiment_complex").alias("post_mean"))
-    b = V.creplies(spark, sf).groupBy("cohort", "community_grp").agg(F.avg("sentiment").alias("reply_mean"))
+    from ..operators.aggregates import cell_means
+    a = cell_means(V.post_cells(spark, sf), ["cohort", "community_grp"], "post_mean")
+    b = cell_means(V.reply_cells(spark, sf), ["cohort", "community_grp"], "reply_mean")
     return RS.cell_average(a, b, ["cohort", "community_grp"], "post_mean", "reply_mean")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tags import community_group
-from ..operators.aggregates import user_cohorts
+from ..operators.aggregates import per_author_cells, user_cohorts
 from ..operators.relational import attach
 from ..params import FIXTURE_EV_GROUPS, FIXTURE_GROUPS
 from ..sources import tables as tb
@@ -61,3 +61,15 @@ def xposts(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
     d = tb.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
     return cposts(spark, sf).join(d, on="id", how="inner")
+
+
+def reply_cells(spark: SparkSession, sf: str, score: str | None = "sentiment") -> DataFrame:
+    """Replies reduced to (author, group) partial sums with the author's cohort
+    attached afterwards (see ``aggregates.per_author_cells``)."""
+    tp, tr = tposts(spark, sf), treplies(spark, sf)
+    return per_author_cells(tr, cohorts_of(tp, tr), ["community_grp"], score)
+
+
+def post_cells(spark: SparkSession, sf: str, score: str | None = "sentiment_complex") -> DataFrame:
+    tp, tr = tposts(spark, sf), treplies(spark, sf)
+    return per_author_cells(tp, cohorts_of(tp, tr), ["community_grp"], score)
