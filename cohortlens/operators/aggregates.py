@@ -62,16 +62,21 @@ def user_cohorts(rows: DataFrame, groups: Groups, key: str = "author", grp: str
 
 
 def activity_ratio(rows: DataFrame, groups: Groups, cohort: str = "cohort", grp: str = "community_grp",
-                   kind: str = "kind", key: str = "author", fixed_other: bool = True) -> DataFrame:
+                   kind: str = "kind", key: str = "author", fixed_other: bool = True,
+                   cohorts: DataFrame | None = None) -> DataFrame:
     """Per (kind, author) the shares of rows in each community group, averaged
     per cohort over those (kind, author) rows.  Every cohort gets a row; an empty
-    cohort is 0, 0, 0; the other cohort is fixed at 0, 0, 1 as in the study."""
+    cohort is 0, 0, 0; the other cohort is fixed at 0, 0, 1 as in the study.
+    With ``cohorts`` the cohort is attached to the (kind, author) counts."""
     sw, mh, ot = groups.labels
-    per = rows.groupBy(cohort, kind, key).agg(
+    by = [kind, key] if cohorts is not None else [cohort, kind, key]
+    per = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_t"),
         F.count_if(F.col(grp) == sw).alias("_sw"),
         F.count_if(F.col(grp) == mh).alias("_mh"),
         F.count_if(F.col(grp) == ot).alias("_ot"))
+    if cohorts is not None:
+        per = per.join(cohorts.select(key, cohort), on=key, how="inner")
     avg = per.groupBy(cohort).agg(*[F.avg(F.col(c) / F.col("_t")).alias(n)
                                     for c, n in (("_sw", sw), ("_mh", mh), ("_ot", ot))])
     spark = rows.sparkSession

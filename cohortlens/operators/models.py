@@ -20,11 +20,25 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from ..params import EMOTION_LABELS
 
-_CACHE: dict[int, Callable] = {}
+_CACHE: dict[object, Callable] = {}
+
+
+def _cache_key(factory) -> object:
+    """Identity of a scorer across tasks: every task unpickles its own copy of
+    the factory, so the key is the factory's class and state (or an explicit
+    ``cache_key`` attribute), not the object id."""
+    explicit = getattr(factory, "cache_key", None)
+    if explicit is not None:
+        return explicit
+    state = getattr(factory, "__dict__", None)
+    return (type(factory).__module__, type(factory).__qualname__, repr(sorted(state.items())) if state else repr(factory)
+            if not hasattr(factory, "__dict__") else "")
 
 
 def _predictor(factory) -> Callable:
-    key = id(factory)
+    """The loaded model, once per Python worker process (workers are reused
+    across tasks), not once per task."""
+    key = _cache_key(factory)
     if key not in _CACHE:
         _CACHE[key] = factory()
     return _CACHE[key]

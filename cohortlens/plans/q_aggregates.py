@@ -62,10 +62,13 @@ with k as (
 m as (select kind, author, community_grp, cohort, avg(s) m from k group by all)
 select author, community_grp, cohort, round(avg(m), 6) mean_sentiment from m group by all""")
 def mean_of_means(spark, sf):
-    p = V.cposts(spark, sf).select("author", "community_grp", "cohort", F.col("sentiment_complex").alias("s"))
-    r = V.creplies(spark, sf).select("author", "community_grp", "cohort", F.col("sentiment").alias("s"))
+    tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
+    p = tp.select("author", "community_grp", F.col("sentiment_complex").alias("s"))
+    r = tr.select("author", "community_grp", F.col("sentiment").alias("s"))
     u = R.drop_sentinel(R.union_activity(p, r))
-    return A.mean_of_means(u, ["author", "community_grp", "cohort"], "kind", "s", "mean_sentiment")
+    # the cohort is constant per author: attach it to the (author, group) means, not to rows
+    m = A.mean_of_means(u, ["author", "community_grp"], "kind", "s", "mean_sentiment")
+    return m.join(V.cohorts_of(tp, tr), on="author", how="inner")
 
 
 @query("activity_ratio", "A6", """
@@ -83,9 +86,10 @@ select l.cohort,
   case when l.cohort = 'Otr' then 1.0 else round(coalesce(a.ot, 0.0), 6) end "Otr"
 from l left join a on l.cohort = a.cohort""")
 def activity_ratio(spark, sf):
-    p = V.cposts(spark, sf).select("author", "community_grp", "cohort")
-    r = V.creplies(spark, sf).select("author", "community_grp", "cohort")
-    return A.activity_ratio(R.union_activity(p, r), FIXTURE_GROUPS)
+    tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
+    p = tp.select("author", "community_grp")
+    r = tr.select("author", "community_grp")
+    return A.activity_ratio(R.union_activity(p, r), FIXTURE_GROUPS, cohorts=V.cohorts_of(tp, tr))
 
 
 @query("user_cohort", "A7", "select author, cohort from cohorts")
