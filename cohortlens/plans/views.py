@@ -60,7 +60,9 @@ def xposts(spark: SparkSession, sf: str) -> DataFrame:
     document's title and selftext (cohort-tagged, as ``cposts``)."""
     from pyspark.sql import functions as F
     d = tb.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
-    return cposts(spark, sf).join(d, on="id", how="inner")
+    tp, tr = tposts(spark, sf), treplies(spark, sf)
+    # join the documents first (the smaller row set), then look up the cohort
+    return known(tp).join(d, on="id", how="inner").join(cohorts_of(tp, tr), on="author", how="inner")
 
 
 def reply_cells(spark: SparkSession, sf: str, score: str | None = "sentiment") -> DataFrame:
