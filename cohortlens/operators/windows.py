@@ -39,16 +39,17 @@ def seen_parent(df: DataFrame, keys: Sequence[str], parent: str, order: Sequence
     gk = [*keys, parent]
     pos = F.struct(*[F.col(c) for c in order])
     cols = list(df.columns)
-    first = df.groupBy(*gk).agg(F.min(pos).alias("_first"))
-    first = first.select(*[F.col(k).alias(f"_g_{k}") for k in gk], "_first")
+    first = df.groupBy(*gk).agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = first.select(*[F.col(k).alias(f"_g_{k}") for k in gk], "_first", "_n")
     cond = [df[k].eqNullSafe(first[f"_g_{k}"]) for k in gk]          # null keys form a group too
     j = (df.join(first, on=cond, how="inner").drop(*[f"_g_{k}" for k in gk])
          .withColumn("_is_first", pos.eqNullSafe(F.col("_first"))))
-    later = j.filter(~F.col("_is_first")).select(*cols).withColumn(out, F.lit(True))
-    tied = (j.filter(F.col("_is_first")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    # a group of one row: that row is first; otherwise rows after the first repeat
+    direct = j.filter((F.col("_n") == 1) | ~F.col("_is_first")).select(*cols, (F.col("_n") > 1).alias(out))
+    tied = (j.filter((F.col("_n") > 1) & F.col("_is_first")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
             .select(*cols, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"))
             .select(*cols, (F.col("_i") > 1).alias(out)))
-    return later.unionByName(tied)
+    return direct.unionByName(tied)
 
 
 def with_scalar(df: DataFrame, scalar_row: DataFrame) -> DataFrame:
