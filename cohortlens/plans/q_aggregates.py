@@ -10,6 +10,7 @@ from ..operators import relational as R
 from ..params import FIXTURE_GROUPS, FIXTURE_LEXICON as LEX
 from . import sqltext as Q
 from . import views as V
+from ..session import materialize
 from .catalog import query
 
 TOK = Q.tokens("txt")
@@ -182,13 +183,15 @@ left join tw using (created_day, cohort, community_grp)""")
 def day_group_text(spark, sf):
     x = _xtext(spark, sf).withColumn("created_day", F.col("created_day").cast("string"))
     keys = ["created_day", "cohort", "community_grp"]
-    # three aggregates over the same tokens (measured faster than one explode of
-    # tagged structs: per-token struct building costs more than re-tokenising)
+    # tokens, tags and the per-text readability are computed once and written
+    # under the checkpoint folder; the three aggregates below read them
+    x = materialize(x.select(*keys, "_toks", "_tags", T.reading_ease("txt", F.col("_toks")).alias("_ease")),
+                    "day-group-text")
     tg = A.exploded_counts(x, keys, F.col("_tags"), "tag")
     wd = A.exploded_counts(x, keys, F.col("_toks"), "word")
     tw = A.top_item(wd, keys, "word").withColumnRenamed("n", "freq")
     sc = x.groupBy(*keys).agg(F.sum(F.size("_toks")).cast("bigint").alias("text_length"),
-                              F.sum(T.reading_ease("txt", F.col("_toks"))).alias("readability"))
+                              F.sum("_ease").alias("readability"))
     return (tg.join(sc, on=keys, how="inner").join(tw, on=keys, how="left")
             .select(*keys, "tag", "n", F.coalesce("word", F.lit("")).alias("word"),
                     F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"), "text_length", "readability"))
