@@ -200,5 +200,5 @@ def set_fields(spark, sf):
 select link_id, author, score, month from replies where month = '1997-06'""")
 def sink_layout(spark, sf):
     d = scratch_dir(spark, "layout")
-    SK.write_layout(V.replies(spark, sf).select("link_id", "author", "score", "month"), d)
+    SK.write_layout(V.replies(spark, sf).select("link_id", "author", "score", "month"), d, tiebreak=("link_id",))
     return spark.read.parquet(d).filter(F.col("month") == "1997-06").select("link_id", "author", "score", "month")
