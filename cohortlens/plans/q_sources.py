@@ -2,7 +2,10 @@
 
 Each query first writes its input files (derived from the test tables) under
 the session's shared ``spark.checkpoint.dir`` and then reads them back with the
-operator under test, so the oracle is the source view itself.
+operator under test, so the oracle is the source view itself.  Where a query
+needs bad input (malformed JSON, short/long CSV rows, NUL bytes), a fixed rule
+on the row id decides which lines are damaged; every row of the table is still
+written, read and compared.
 """
 
 from __future__ import annotations
@@ -170,7 +173,7 @@ def sink_replace(spark, sf):
 @query("sink_upsert", "S13", """
 with old as (select id, author, sentiment_complex from posts),
 new as (select link_id id, null::varchar author, avg(sentiment) sentiment_complex from replies
-         where cast(link_id as bigint) % 3 = 0 group by link_id
+         group by link_id
         union all
         select concat('ev', id) id, author, null::double sentiment_complex from ev)
 select coalesce(n.id, o.id) id, coalesce(n.author, o.author) author,
@@ -178,7 +181,7 @@ select coalesce(n.id, o.id) id, coalesce(n.author, o.author) author,
 from old o full outer join new n on o.id = n.id""")
 def sink_upsert(spark, sf):
     old = V.posts(spark, sf).select("id", "author", "sentiment_complex")
-    upd = (V.replies(spark, sf).filter(F.col("link_id").cast("bigint") % 3 == 0).groupBy(F.col("link_id").alias("id"))
+    upd = (V.replies(spark, sf).groupBy(F.col("link_id").alias("id"))
            .agg(F.avg("sentiment").alias("sentiment_complex")))
     ins = V.ev(spark, sf).select(F.concat(F.lit("ev"), "id").alias("id"), "author",
                                  F.lit(None).cast("double").alias("sentiment_complex"))
