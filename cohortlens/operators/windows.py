@@ -77,11 +77,21 @@ def minmax(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
             .drop("_lo", "_hi"))
 
 
-def clip_minmax(df: DataFrame, col: str, q: float = 0.9, out: str | None = None) -> DataFrame:
+def quantile(x: Column, q: float, approx: bool = False, accuracy: int = 10_000) -> Column:
+    """Linear-interpolated quantile.  The exact form keeps a value -> count map
+    per group (fine for count-derived scores with few distinct values); for a
+    continuous score over huge data pass ``approx=True`` (bounded-memory
+    sketch, ``percentile_approx``)."""
+    x = x.cast("double")
+    return F.percentile_approx(x, F.lit(q), F.lit(accuracy)) if approx else F.percentile(x, F.lit(q))
+
+
+def clip_minmax(df: DataFrame, col: str, q: float = 0.9, out: str | None = None,
+                approx: bool = False) -> DataFrame:
     """Clip at the ``q`` quantile (linear interpolation), then min-max with the
     quantile as the upper end: (min(x, t) - lo) / (t - lo)."""
     out = out or f"{col}_normalized"
-    sc = df.agg(F.percentile(F.col(col).cast("double"), F.lit(q)).alias("_t"),
+    sc = df.agg(quantile(F.col(col), q, approx).alias("_t"),
                 F.min(F.col(col)).cast("double").alias("_lo0"))
     j = with_scalar(df, sc)
     clipped = F.least(F.col(col).cast("double"), F.col("_t"))
