@@ -210,12 +210,16 @@ def sentiment_rank(posts: DataFrame, replies: DataFrame, post_score: str = "sent
     return rank_rows(top, "score", rw.descending).select("rank", "author", "score")
 
 
-def _component_means(df: DataFrame, kind_weight: float, components: Mapping[str, str | None]) -> DataFrame:
+def _component_means(df: DataFrame, kind_weight: float, components: Mapping[str, str | None],
+                     weight_col: str | None = None) -> DataFrame:
+    """Per-row component values (score · kind weight, missing = 0) and the row
+    multiplicity ``_w`` (1 per row, or a pre-aggregated row count)."""
     cols = []
     for name, col in components.items():
         v = F.coalesce(F.col(col).cast("double"), F.lit(0.0)) if col and col in df.columns else F.lit(0.0)
         cols.append((v * F.lit(kind_weight)).alias(name))
-    return df.filter(F.col("author").isNotNull()).select("author", *cols)
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    return df.filter(F.col("author").isNotNull()).select("author", *cols, w.alias("_w"))
 
 
 def _integrate(means: DataFrame, rw: RankWeights, names: Sequence[str]) -> Column:
@@ -245,21 +249,29 @@ def integrated_rank(posts: DataFrame, replies: DataFrame, post_cols: Mapping[str
 
 def integrated_rank_multi(sent_posts: DataFrame, sent_replies: DataFrame, std_posts: DataFrame,
                           std_replies: DataFrame, sent_cols: tuple[str, str], std_cols: Mapping[str, str | None],
-                          rw: RankWeights) -> DataFrame:
+                          rw: RankWeights, std_weight: str | None = None) -> DataFrame:
     """The sentiment component from one table pair and the other components
     from a second pair, each a mean over its own rows (a user without rows in a
-    pair scores 0 there, Q3); combined per author in one aggregate."""
+    pair scores 0 there, Q3); combined per author in one aggregate.
+
+    ``std_weight``: the second pair arrives pre-aggregated — one row per
+    (author, group, month) cell with its row count in that column — so the
+    score lookups join cells, not every activity row; means are Σ n·v / Σ n.
+    """
     names = ["sentiment", *std_cols]
     a = _component_means(sent_posts, rw.post_weight, {"sentiment": sent_cols[0]}) \
         .unionByName(_component_means(sent_replies, rw.reply_weight, {"sentiment": sent_cols[1]}))
-    b = _component_means(std_posts, rw.post_weight, std_cols).unionByName(
-        _component_means(std_replies, rw.reply_weight, std_cols))
-    a = a.select("author", "sentiment", *[F.lit(None).cast("double").alias(n) for n in std_cols],
-                 F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-    b = b.select("author", F.lit(None).cast("double").alias("sentiment"), *std_cols,
-                 F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    means = a.unionByName(b).groupBy("author").agg(
-        *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
+    b = _component_means(std_posts, rw.post_weight, std_cols, std_weight).unionByName(
+        _component_means(std_replies, rw.reply_weight, std_cols, std_weight))
+    a = a.select("author", "sentiment", *[F.lit(None).cast("double").alias(n) for n in std_cols], "_w")
+    b = b.select("author", F.lit(None).cast("double").alias("sentiment"), *std_cols, "_w")
+
+    def mean(n: str) -> Column:
+        num = F.sum(F.col(n) * F.col("_w"))
+        den = F.sum(F.when(F.col(n).isNotNull(), F.col("_w")))
+        return F.coalesce(F.try_divide(num, den), F.lit(0.0)).alias(n)
+
+    means = a.unionByName(b).groupBy("author").agg(*[mean(n) for n in names])
     scored = means.select("author", _integrate(means, rw, names).alias("score"))
     top = top_n(scored, "score", rw.top_n, rw.descending)
     return rank_rows(top, "score", rw.descending).select("rank", "author", "score")

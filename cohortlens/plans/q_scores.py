@@ -232,10 +232,13 @@ def integrated_rank_multi(spark, sf):
     tp, tr = _tagged(spark, sf, shared=True)
     d12 = _d12(spark, sf, tp, tr).select(*keys, "comm_score")
     # the cohort lookup of cposts/creplies only drops null authors here: a filter does that
-    sp = V.known(tp).join(_d15(spark, sf, tp), on=keys, how="left").join(d12, on=keys, how="left")
-    sr = V.known(tr).join(_d14(spark, sf, tp, tr), on=keys, how="left").join(d12, on=keys, how="left")
+    # rows collapse to (author, group, month) cells with their row count before the score lookups
+    cp = V.known(tp).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    cr = V.known(tr).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sp = cp.join(_d15(spark, sf, tp), on=keys, how="left").join(d12, on=keys, how="left")
+    sr = cr.join(_d14(spark, sf, tp, tr), on=keys, how="left").join(d12, on=keys, how="left")
     std = {"pos": None, "graph": "graph", "time_based": "comm_score"}
-    return S.integrated_rank_multi(tp, tr, sp, sr, ("sentiment_complex", "sentiment"), std, MULTI)
+    return S.integrated_rank_multi(tp, tr, sp, sr, ("sentiment_complex", "sentiment"), std, MULTI, std_weight="_n")
 
 
 @query("ranked_activity", "D20 J3 U1", """
