@@ -18,13 +18,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of a base table (pruning and filters reach the scan)."""
+_SPLITS: dict[tuple[int, str], int] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
+    """Parquet scan of a base table (pruning and filters reach the scan);
+    with ``spread_key`` see :func:`spread`."""
     ensure_engine_conf(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread_key is None:
+        return df
+    key = (id(spark.sparkContext), path)
+    if key not in _SPLITS:                      # planned once per table and context
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    return spread(df, spread_key, _SPLITS[key])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, splits: int | None = None) -> DataFrame:
     """Spread rows over all cores before CPU-heavy per-row work (text features,
     model scoring) when the input is stored as fewer splits than there are
     cores — e.g. one small file with one row group.  Hash partitioning on the
@@ -32,7 +43,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     deterministic on retry).  Uses planning metadata only; an input already
     stored as many splits, as at cluster scale, is left alone."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    n = df.rdd.getNumPartitions() if splits is None else splits
+    if n < target:
         return df.repartition(target, key)
     return df
 
@@ -70,7 +82,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-like rows: one per line item (no unique key)."""
-    l = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
+    l = read_table(spark, sf_dir, "lineitem", spread_key="l_orderkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
                                                   "o_orderstatus")
     j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
@@ -93,7 +105,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-stamped activity from ``events``."""
-    e = spread(read_table(spark, sf_dir, "events"), "event_id")
+    e = read_table(spark, sf_dir, "events", spread_key="event_id")
     return e.select(
         _s(F.col("event_id")).alias("id"),
         F.concat(F.lit("u"), _s(F.col("user_id"))).alias("author"),
@@ -108,7 +120,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows: first line = title, rest = selftext."""
-    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    d = read_table(spark, sf_dir, "documents", spread_key="doc_id")
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     return d.select(
         F.col("doc_id").alias("id"),
