@@ -49,17 +49,28 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_cohortlens_shipped", False):
         return
+    import io
+    import uuid
     import zipfile
+
+    import pyarrow.fs as pafs
     pkg = os.path.dirname(os.path.abspath(__file__))
-    fd, path = tempfile.mkstemp(prefix="cohortlens-pkg-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(path)
+    # the archive goes to the shared checkpoint folder (any Arrow filesystem)
+    base = scratch_dir(spark)
+    uri = base if "://" in base else "file://" + (base[5:] if base.startswith("file:") else base)
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(f"{root}/_pkg", recursive=True)
+    name = f"_pkg/cohortlens-{uuid.uuid4().hex[:12]}.zip"
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(f"{base}/{name}")
     sc._cohortlens_shipped = True
 
 
