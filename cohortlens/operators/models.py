@@ -23,6 +23,15 @@ from ..params import EMOTION_LABELS
 _CACHE: dict[object, Callable] = {}
 
 
+def _ship() -> None:
+    """Make this package importable by the Python workers of the active session."""
+    from pyspark.sql import SparkSession
+    from ..session import ship_package
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def _cache_key(factory) -> object:
     """Identity of a scorer across tasks: every task unpickles its own copy of
     the factory, so the key is the factory's class and state (or an explicit
@@ -73,6 +82,8 @@ class LengthEmotionScorer:
 
 def class_probability(text: Column, factory, index: int = 1) -> Column:
     """Probability of class ``index`` for each text (null text -> '')."""
+    _ship()
+
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = _predictor(factory)
@@ -86,6 +97,8 @@ def post_scores(title: Column, selftext: Column, factory, index: int = 1,
                 zero_blank_each: bool = False) -> Column:
     """D3: three scores for a post in one batch: title, selftext (0 when blank),
     and title + ' ' + selftext; ``zero_blank_each`` zeroes any blank text."""
+    _ship()
+
     @pandas_udf("sentiment_title double, sentiment_text double, sentiment_complex double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         predict = _predictor(factory)
@@ -109,6 +122,8 @@ def post_scores(title: Column, selftext: Column, factory, index: int = 1,
 
 def emotion_vector(text: Column, factory) -> Column:
     """Probability vector (fixed label order) for non-blank text; null otherwise."""
+    _ship()
+
     @pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = _predictor(factory)

@@ -76,6 +76,8 @@ def read_zstd_long_window(spark: SparkSession, directory: str, schema: StructTyp
                     if buf:
                         yield pd.DataFrame({"value": buf})
 
+    from ..session import ship_package
+    ship_package(spark)
     lines = paths.mapInPandas(decode, "value string")
     sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     return lines.select(F.from_json("value", sch).alias("r")).select("r.*")

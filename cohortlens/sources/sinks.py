@@ -158,4 +158,6 @@ def write_zstd_ndjson(df: DataFrame, directory: str, window_log: int = 31, level
         fs.move(tmp, f"{base}/{name}")
         yield pd.DataFrame({"file": [name], "rows": [n]})
 
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     lines.mapInPandas(write, "file string, rows long").count()
