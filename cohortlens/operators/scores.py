@@ -104,8 +104,8 @@ def comm_scores(posts: DataFrame, replies: DataFrame, groups: Groups, w: CommWei
     g = g.withColumn("comm_score", (F.lit(w.interactions) * F.col("interactions")
                                     + F.lit(w.partners) * F.col("partners")
                                     + F.lit(w.groups) * F.col("groups")).cast("double"))
-    # exact: the scores are small integer combinations of counts (few distinct values)
-    q = g.groupBy(grp).agg(quantile(F.col("comm_score"), w.clip_quantile).alias("_t"),
+    # exact by default: the scores are small integer combinations of counts (few distinct values)
+    q = g.groupBy(grp).agg(quantile(F.col("comm_score"), w.clip_quantile, w.approx_quantile).alias("_t"),
                            F.min("comm_score").alias("_lo0"))
     j = g.join(F.broadcast(q), on=grp, how="inner")   # at most one row per group label
     clipped = F.least(F.col("comm_score"), F.col("_t"))
