@@ -79,15 +79,16 @@ def figures(body: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(words[:, None] > 0, out, 0.0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2):
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0):
     """(mean, scale, weights with intercept) by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
+    pull = np.append(np.full(z.shape[1] - 1, ridge), 1e-3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (y - p) - ridge * len(y) * 0.01 * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) * 0.01 * np.eye(len(w))
+        g = z.T @ (y - p) - pull * w
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
         step = np.linalg.solve(h, g)
         w = w + step
         if np.abs(step).max() < 1e-8:

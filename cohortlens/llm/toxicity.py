@@ -42,6 +42,7 @@ DICTIONARY = 2048
 BASE = 16 << 10
 BASE_WINDOWS = 60_000
 LIMITS = (1, 2, 3, 4, 6)
+LEAST = 4  # documents that a characteristic word must stand in
 THRESHOLD = 0.3
 
 
@@ -82,7 +83,7 @@ def train(texts: list[bytes], labels: list[int]):
 
     def odds(w):
         return np.log((count[1][w] + .5) / (n[1] + 1)) - np.log((count[0][w] + .5) / (n[0] + 1))
-    toxic = [w for w, c in sorted(count[1].items()) if c >= min(5, n[1]) and odds(w) > min(3, np.log(n[0] + 1))]
+    toxic = [w for w, c in sorted(count[1].items()) if c >= min(LEAST, n[1]) and odds(w) > min(3, np.log(n[0] + 1))]
     plain = [w for w, c in sorted(count[0].items()) if c >= min(20, n[0]) and odds(w) <= 0]
     rng = np.random.default_rng(0)
 
@@ -93,8 +94,9 @@ def train(texts: list[bytes], labels: list[int]):
     base = [w for raw, y in for_words if y == 0 for w in windows(raw)]
     rng.shuffle(base)
     base = _train(base[:BASE_WINDOWS], BASE, 50, 8)
-    dicts = (_train(samples(toxic, count[1], 1 << 30) * 3, DICTIONARY) + base,
-             _train((samples(plain, count[0], 20) * 3)[:200_000], DICTIONARY) + base)
+    size = min(DICTIONARY, max(256, 2 * sum(len(w) + 1 for w in toxic)))
+    dicts = (_train(samples(toxic, count[1], 1 << 30) * 3, size) + base,
+             _train((samples(plain, count[0], 20) * 3)[:200_000], size) + base)
     measure = distances(*dicts)
     x = np.array([measure(raw) for raw, _ in for_curve]).reshape(len(for_curve), -1)
     y = np.array([y for _, y in for_curve], float)
