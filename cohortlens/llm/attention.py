@@ -17,8 +17,8 @@ import numpy as np
 STEP = 16
 WIDTH = 16
 INPUTS = 1024
-ALONE = 72
-GROUPS = 8
+ALONE = 104
+GROUPS = 16
 BATCH = 64
 F32 = np.float32
 
@@ -109,7 +109,7 @@ def class_logs(m, x):
         yield a, z, np.log(np.exp(z) @ ones)
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.01, seed: int = 0) -> dict:
+def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01, seed: int = 0) -> dict:
     """Adam on windows ``x`` with classes ``y`` (windows, STEP; -1: not scored)."""
     m = start_model(seed)
     known = y[y >= 0]

@@ -94,7 +94,9 @@ def winnow(hashes: np.ndarray, at: np.ndarray, first_word_of: np.ndarray, span:
         low = np.where(better, hashes[j:j + n], low)
         where = np.where(better, np.arange(j, j + n), where)
     ok = (at[span - 1:] - at[:n] == span - 1) & (first_word_of[span - 1:] == first_word_of[:n])
-    return np.unique(where[ok])
+    chosen = np.zeros(len(hashes), bool)
+    chosen[where[ok]] = True
+    return np.flatnonzero(chosen)
 
 
 def _item_windows(items: DataFrame, item_id: str, text: str, width: int):
