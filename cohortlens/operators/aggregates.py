@@ -209,12 +209,11 @@ def value_freq(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col))
 
 
-def scalars(df: DataFrame, col: str, q: float = 0.9, approx: bool = False) -> DataFrame:
-    """Global max and linear-interpolated quantile, as a one-row relation
-    (``approx``: bounded-memory sketch for continuous values at scale)."""
-    from .windows import quantile
-    return df.agg(F.max(F.col(col)).cast("double").alias("max_value"),
-                  quantile(F.col(col), q, approx).alias("quantile_value"))
+def scalars(df: DataFrame, col: str, q: float = 0.9) -> DataFrame:
+    """Global max and linear-interpolated quantile, as a one-row relation."""
+    from .windows import exact_quantile
+    top = df.agg(F.max(F.col(col)).cast("double").alias("max_value"))
+    return top.join(F.broadcast(exact_quantile(df, col, q, out="quantile_value")), how="left")
 
 
 def matrix_totals(df: DataFrame, row: str, col: str, all_label: str = "ALL", out: str = "n",

@@ -91,11 +91,11 @@ def ratio_left_join(totals: DataFrame, counts: DataFrame, key: str, total_col: s
 
 
 def unique_match_transfer(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str,
-                          order_col: str, out: str = "transferred") -> DataFrame:
+                          order_col: str, out: str = "transferred") -> tuple[DataFrame, DataFrame]:
     """Copy ``value`` from source to target rows on ``keys`` where exactly one
-    target row has the key.  Returns the target rows with ``out`` and a
-    ``status``: ``updated`` (one target), ``multiple`` (several targets, left
-    unchanged), ``none`` (no source row for the key).
+    target row has the key.  Returns (target rows with ``out``, source rows with
+    a ``status``): ``updated`` (one target), ``multiple`` (several targets, left
+    unchanged), ``none`` (no target row for the key).
 
     Several source rows on one key: the one with the greatest ``order_col`` wins
     (``max_by``), so the result does not depend on scan order.
@@ -103,15 +103,12 @@ def unique_match_transfer(source: DataFrame, target: DataFrame, keys: Sequence[s
     keys = list(keys)
     # per-key counts as an aggregate (partial, skew-proof), not a window over a hot key
     n_t = target.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_targets"))
-    src = source.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order_col)).alias("_src_value"),
-                                    F.count(F.lit(1)).alias("_n_src"))
-    j = target.join(n_t, on=keys, how="inner").join(src, on=keys, how="left")
-    has_src = F.col("_n_src").isNotNull()
-    status = (F.when(~has_src, F.lit("none")).when(F.col("_n_targets") == 1, F.lit("updated"))
-              .otherwise(F.lit("multiple")))
-    return (j.withColumn("status", status)
-             .withColumn(out, F.when(F.col("status") == "updated", F.col("_src_value")))
-             .drop("_n_targets", "_src_value", "_n_src"))
+    src = source.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order_col)).alias(out))
+    one = src.join(n_t.filter("_n_targets = 1"), on=keys, how="left_semi")
+    n = F.coalesce(F.col("_n_targets"), F.lit(0))
+    status = F.when(n == 0, F.lit("none")).when(n == 1, F.lit("updated")).otherwise(F.lit("multiple"))
+    report = source.join(n_t, on=keys, how="left").withColumn("status", status).drop("_n_targets")
+    return target.join(one, on=keys, how="left"), report
 
 
 def outer_merge_many(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -173,23 +170,24 @@ def sort_global(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
 def with_global_position(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
     """K1: 1-based position in a total order, computed without a single-partition window.
 
-    Range-partition on the order, number rows inside each partition, and add the
-    number of rows of all earlier partitions (a per-partition count table whose
-    size is the partition count, broadcast).  ``order`` must be a total order.
+    Range-partition on the order, number rows inside each partition and write
+    the result once under the shared folder; the number of rows of all earlier
+    partitions is counted from that file (range bounds come from a sample, so
+    two evaluations need not agree) and joined back: one row per partition.
+    ``order`` must be a total order.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()) \
-                   .withColumn("_mid", F.monotonically_increasing_id())
-    # position inside the partition: monotonically_increasing_id = (pid << 33) + index
-    ranged = ranged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    from ..session import materialize
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # monotonically_increasing_id = (partition << 33) + index inside the partition
+    ranged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0))).select("_pid", "_off")
-    return (ranged.join(F.broadcast(offs), on="_pid", how="inner")
-            .withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_local", "_off"))
+    return (ranged.join(offs, on="_pid", how="inner")
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.shiftleft("_pid", 33) + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_off"))
 
 
 def top_n(df: DataFrame, score: str, n: int, descending: bool = False, tiebreak: Sequence[str] = ("author",),

@@ -27,19 +27,21 @@ def unpivot_mean(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str], b
     return long.groupBy(var, *by).agg(F.avg(F.col(val)).alias("mean_value"))
 
 
-def unpivot_names(wide: DataFrame, ids: Sequence[str], name_cols: Sequence[str]) -> DataFrame:
-    """Unpivot columns named ``grp-type-YYYY-MM`` and split the name;
+def unpivot_names(wide: DataFrame, ids: Sequence[str], cells: str = "cells") -> DataFrame:
+    """Unpivot cells named ``grp-type-YYYY-MM`` and split the name;
     unparsable months are dropped; null cells skipped (as a mean skips NaN)."""
     from ..functions.time import split_name
-    long = wide.unpivot(list(ids), list(name_cols), "name", "value").filter(F.col("value").isNotNull())
+    long = wide.select(*ids, F.explode(cells).alias("name", "value")).filter(F.col("value").isNotNull())
     g, t, m = split_name(F.col("name"))
     return long.select(*ids, g.alias("grp"), t.alias("type"), m.alias("month"), "value") \
                .filter(F.col("month").isNotNull())
 
 
-def wide(df: DataFrame, row: str, key: str, keys: Sequence[str], value: str) -> DataFrame:
-    """One column per key of a bounded, given list (long form stays primary)."""
-    return df.groupBy(row).pivot(key, list(keys)).agg(F.sum(F.col(value)))
+def wide(df: DataFrame, row: str, key: str, value: str, cells: str = "cells") -> DataFrame:
+    """One row per ``row`` with a map key -> sum; the keys come from the data,
+    so no value list cuts any (the long form stays primary)."""
+    sums = df.groupBy(row, key).agg(F.sum(F.col(value)).alias("_v"))
+    return sums.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(key, "_v"))).alias(cells))
 
 
 def cell_average(a: DataFrame, b: DataFrame, keys: Sequence[str], a_col: str, b_col: str,

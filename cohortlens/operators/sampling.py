@@ -1,10 +1,10 @@
 """Repeatable sampling (M1, M2).
 
 Order inside a group is a hash of (key, seed), so a sample is the same on every
-run and on every engine that offers the hash (``md5`` here).  ``row_number() <=
-n`` per group is planned by Spark as a partial per-partition group limit before
-the exchange, so only n rows per group and map task are shuffled; the sample
-size is the feature (no rows are dropped to escape skew).
+run and on every engine that offers the hash (``md5`` here).  The sample of a
+group is the rows of its smallest hashes: rows are counted in cells of the hash
+space, the cells are cumulated (at most ``CELLS`` numbers a group), cells below
+the border are taken whole, and only the rows of the border cell are ranked.
 """
 
 from __future__ import annotations
@@ -20,26 +20,41 @@ def hash_order(cols: Sequence[str | Column], seed: str) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(seed)))
 
 
-def sample_per_group(df: DataFrame, group: Sequence[str], order_cols: Sequence[str], n: int, seed: str,
-                     out: str = "sample_rank") -> DataFrame:
+HEX = 4                 # hex digits of the hash that name a cell
+CELLS = 16 ** HEX
+
+
+def sample_per_group(df: DataFrame, group: Sequence[str], order_cols: Sequence[str], n: int, seed: str) -> DataFrame:
     """The n rows of each group with the smallest hash (ties by the hashed text)."""
-    h = hash_order(order_cols, seed)
+    group = list(group)
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order_cols])
-    w = Window.partitionBy(*group).orderBy(h, text)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    rows = df.withColumn("_h", hash_order(order_cols, seed)).withColumn("_cell", F.substring("_h", 1, HEX))
+    cells = rows.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell"))
+    cells = cells.withColumn("_before", upto - F.col("_n")).filter(F.col("_before") < n) \
+        .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c"), "_before",
+                (F.col("_before") + F.col("_n") <= n).alias("_whole"))
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_cell") == F.col("_c")]
+    got = rows.join(cells, on=on, how="inner")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h", text))
+    border = got.filter(~F.col("_whole")).withColumn("_rank", rank).filter(F.col("_rank") + F.col("_before") <= n)
+    return got.filter("_whole").select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def sample_users(users: DataFrame, activity: DataFrame, n: int, seed: str, cohort: str = "cohort",
                  key: str = "author") -> DataFrame:
-    """M1: n distinct users per cohort, then all their rows (left semi).  The
+    """M1: n distinct users per cohort, then all their rows with the cohort.  The
     result replaces an earlier sample (no re-insert of old copies)."""
-    chosen = sample_per_group(users.select(key, cohort).distinct(), [cohort], [key], n, seed).select(key)
-    return activity.join(chosen, on=key, how="left_semi")
+    chosen = sample_per_group(users.select(key, cohort).distinct(), [cohort], [key], n, seed)
+    return activity.join(chosen.select(key, cohort), on=key, how="inner")
 
 
-def sample_pairs(rows: DataFrame, pairs: DataFrame, pair_cols: Sequence[str], order_cols: Sequence[str],
-                 n: int, seed: str) -> DataFrame:
+def sample_pairs(rows: DataFrame, pairs: Sequence[tuple[str, str]], pair_cols: Sequence[str],
+                 order_cols: Sequence[str], n: int, seed: str) -> DataFrame:
     """M2: up to n rows for each allowed (cohort, community group) pair, without
-    replacement.  ``pairs`` is a literal table (bounded), broadcast."""
-    allowed = rows.join(F.broadcast(pairs), on=list(pair_cols), how="inner")
-    return sample_per_group(allowed, pair_cols, order_cols, n, seed).drop("sample_rank")
+    replacement.  ``pairs`` is a literal list, so it is a filter, not a join."""
+    a, b = pair_cols
+    allowed = F.lit(False)
+    for x, y in pairs:
+        allowed = allowed | ((F.col(a) == x) & (F.col(b) == y))
+    return sample_per_group(rows.filter(allowed), pair_cols, order_cols, n, seed)

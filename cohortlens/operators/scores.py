@@ -20,7 +20,7 @@ from ..functions.time import decay
 from ..params import (CommWeights, InteractionWeights, LengthScoreWeights, Lexicon, PosScoreWeights, RankWeights,
                       TimeScore, Groups)
 from .relational import drop_sentinel, rank_rows, top_n
-from .windows import clip_minmax, minmax_expr, quantile
+from .windows import clip_minmax, exact_quantile, minmax_expr
 
 
 # ------------------------------------------------------------------ D8-D10: language scores
@@ -104,9 +104,8 @@ def comm_scores(posts: DataFrame, replies: DataFrame, groups: Groups, w: CommWei
     g = g.withColumn("comm_score", (F.lit(w.interactions) * F.col("interactions")
                                     + F.lit(w.partners) * F.col("partners")
                                     + F.lit(w.groups) * F.col("groups")).cast("double"))
-    # exact by default: the scores are small integer combinations of counts (few distinct values)
-    q = g.groupBy(grp).agg(quantile(F.col("comm_score"), w.clip_quantile, w.approx_quantile).alias("_t"),
-                           F.min("comm_score").alias("_lo0"))
+    q = exact_quantile(g, "comm_score", w.clip_quantile, [grp]).join(
+        g.groupBy(grp).agg(F.min("comm_score").alias("_lo0")), on=grp, how="inner")
     j = g.join(F.broadcast(q), on=grp, how="inner")   # at most one row per group label
     clipped = F.least(F.col("comm_score"), F.col("_t"))
     lo = F.least(F.col("_lo0"), F.col("_t"))

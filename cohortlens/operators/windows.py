@@ -77,23 +77,42 @@ def minmax(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
             .drop("_lo", "_hi"))
 
 
-def quantile(x: Column, q: float, approx: bool = False, accuracy: int = 10_000) -> Column:
-    """Linear-interpolated quantile.  The exact form keeps a value -> count map
-    per group (fine for count-derived scores with few distinct values); for a
-    continuous score over huge data pass ``approx=True`` (bounded-memory
-    sketch, ``percentile_approx``)."""
-    x = x.cast("double")
-    return F.percentile_approx(x, F.lit(q), F.lit(accuracy)) if approx else F.percentile(x, F.lit(q))
-
-
-def clip_minmax(df: DataFrame, col: str, q: float = 0.9, out: str | None = None,
-                approx: bool = False) -> DataFrame:
+def exact_quantile(df: DataFrame, col: str, q: float, group: Sequence[str] = (), out: str = "_t") -> DataFrame:
+    """Linear-interpolated quantile per group (one row a group), with no value map
+    in one task: rows are counted per value, the counts are sorted by ranges and
+    written once, cumulated inside each range and offset by the earlier ranges;
+    the values at the two ranks around ``q`` are then picked by an aggregate."""
+    from ..session import materialize
+    group = list(group)
+    counts = (df.select(*group, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ranged = materialize(counts.repartitionByRange(*group, "_v").withColumn("_pid", F.spark_partition_id()), "quantile")
+    offs = ranged.groupBy("_pid").agg(F.sum("_n").alias("_pn")).withColumn(
+        "_off", F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).select("_pid", "_off")
+    run = Window.partitionBy("_pid").orderBy(*group, "_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_in", F.sum("_n").over(run)).join(offs, on="_pid", how="inner") \
+        .withColumn("_end", F.col("_off") + F.col("_in")).withColumn("_begin", F.col("_end") - F.col("_n"))
+    size = placed.groupBy(*group).agg(F.sum("_n").alias("_all"), F.min("_begin").alias("_base"))
+    # one row a group (a one-row cross product without groups)
+    g = size.select(*[F.col(c).alias(f"_g_{c}") for c in group], "_all", "_base")
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    at = placed.join(g, on=on, how="inner") if group else placed.join(F.broadcast(g), how="inner")
+    rank = F.lit(float(q)) * (F.col("_all") - 1)
+
+    def value(r):
+        r = r + F.col("_base")
+        return F.max(F.when((F.col("_begin") <= r) & (r < F.col("_end")), F.col("_v")))
+    got = at.groupBy(*group).agg(value(F.floor(rank)).alias("_a"), value(F.ceil(rank)).alias("_b"),
+                                 F.max(rank - F.floor(rank)).alias("_f"))
+    return got.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))
+
+
+def clip_minmax(df: DataFrame, col: str, q: float = 0.9, out: str | None = None) -> DataFrame:
     """Clip at the ``q`` quantile (linear interpolation), then min-max with the
     quantile as the upper end: (min(x, t) - lo) / (t - lo)."""
     out = out or f"{col}_normalized"
-    sc = df.agg(quantile(F.col(col), q, approx).alias("_t"),
-                F.min(F.col(col)).cast("double").alias("_lo0"))
-    j = with_scalar(df, sc)
+    j = with_scalar(df, exact_quantile(df, col, q))
+    j = with_scalar(j, df.agg(F.min(F.col(col)).cast("double").alias("_lo0")))
     clipped = F.least(F.col(col).cast("double"), F.col("_t"))
     lo = F.least(F.col("_lo0"), F.col("_t"))
     return j.withColumn(out, minmax_expr(clipped, lo, F.col("_t"))).drop("_t", "_lo0")

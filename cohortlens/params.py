@@ -106,7 +106,6 @@ class CommWeights:
     partners: float = 2.0
     groups: float = 3.0
     clip_quantile: float = 0.90
-    approx_quantile: bool = False     # True: bounded-memory sketch (percentile_approx)
 
 
 @dataclass(frozen=True)

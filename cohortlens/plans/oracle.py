@@ -45,10 +45,11 @@ select cast(event_id as varchar) id, concat('u', cast(user_id as varchar)) autho
 from events""",
     "docs": """
 select doc_id id, source author, lang community,
-  split_part(text, chr(10), 1) title,
-  case when doc_id % 37 = 0 then '[removed]'
-       else substr(text, length(split_part(text, chr(10), 1)) + 2) end selftext
-from documents""",
+  split_part(text, chr(10), 1) title, substr(text, length(split_part(text, chr(10), 1)) + 2) selftext
+from documents
+union all
+select -doc_id - 1 id, source author, lang community, split_part(text, chr(10), 1) title, '[removed]' selftext
+from documents where doc_id % 37 = 0""",
     "turns": """
 select concat(cast(conv_id as varchar), ':', cast(turn as varchar)) id, cast(conv_id as varchar) link_id,
   case when turn > 0 then concat(cast(conv_id as varchar), ':', cast(turn - 1 as varchar)) end parent_id,
@@ -76,8 +77,13 @@ group by author""",
     # Inner lookup of the cohort (null author never matches)
     "cposts": "select p.*, c.cohort from tposts p join cohorts c on p.author = c.author",
     "creplies": "select r.*, c.cohort from treplies r join cohorts c on r.author = c.author",
-    # posts with text: post ids that are also document ids
-    "xposts": "select p.*, d.title, d.selftext from cposts p join docs d on p.id = cast(d.id as varchar)",
+    # all texts of both kinds, with the tags of the post that the document or conversation number names
+    "xtexts": """
+select t.id, t.kind, t.title, t.selftext, coalesce(p.community_grp, 'Otr') community_grp,
+       coalesce(c.cohort, 'Otr') cohort, coalesce(p.created_day, date '1995-01-01') created_day
+from (select cast(id as varchar) id, cast(id as varchar) link_id, 'post' kind, title, selftext from docs
+      union all select id, link_id, 'reply' kind, null title, body selftext from turns) t
+left join tposts p on p.id = t.link_id left join cohorts c on c.author = p.author""",
 }
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")

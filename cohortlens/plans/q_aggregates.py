@@ -19,12 +19,12 @@ TAGS = Q.tags("toks", LEX)
 
 def _xtext(spark, sf):
     """Text posts with the assembled text, token and tag arrays."""
-    x = V.xposts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
+    x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
     return T.with_text_arrays(x, "txt", LEX)
 
 
 XTEXT_SQL = f"""xt as (select *, {TAGS} tags from (
-  select *, {TOK} toks from (select *, {Q.post_text('title', 'selftext')} txt from xposts)))"""
+  select *, {TOK} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts)))"""
 
 
 @query("distinct_users", "A1 U1", """

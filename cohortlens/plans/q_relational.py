@@ -104,20 +104,24 @@ def ratio_left_join(spark, sf):
 
 
 @query("unique_match_transfer", "J5", """
-with t as (select id, author, cast(floor(created_utc / 3600) as bigint) as hour from ev),
+with e as (select id, author, community, score, cast(floor(created_utc / 3600) as bigint) as hour from ev),
+t as (select * from e where community <> 'purchase'), s as (select * from e where community = 'purchase'),
 n as (select author, hour, count(*) n_t from t group by author, hour),
-s as (select author, cast(floor(created_utc / 3600) as bigint) as hour, arg_max(score, id) v, count(*) n_s
-      from ev where community = 'purchase' group by 1, 2)
-select t.id, t.author, t.hour,
-       case when s.n_s is null then 'none' when n.n_t = 1 then 'updated' else 'multiple' end status,
-       case when s.n_s is not null and n.n_t = 1 then s.v end transferred
-from t join n on t.author = n.author and t.hour = n.hour
-left join s on t.author = s.author and t.hour = s.hour""")
+v as (select author, hour, arg_max(score, id) v from s group by author, hour)
+select 'target' side, t.id, t.author, t.hour, null status, case when n.n_t = 1 then v.v end transferred
+from t join n on t.author = n.author and t.hour = n.hour left join v on t.author = v.author and t.hour = v.hour
+union all
+select 'source' side, s.id, s.author, s.hour,
+       case when n.n_t is null then 'none' when n.n_t = 1 then 'updated' else 'multiple' end status, null transferred
+from s left join n on s.author = n.author and s.hour = n.hour""")
 def unique_match_transfer(spark, sf):
     e = V.ev(spark, sf).withColumn("hour", F.floor(F.col("created_utc") / 3600).cast("bigint"))
-    src = e.filter(F.col("community") == "purchase")
-    out = R.unique_match_transfer(src, e.select("id", "author", "hour"), ["author", "hour"], "score", "id")
-    return out.select("id", "author", "hour", "status", "transferred")
+    src, rest = e.filter(F.col("community") == "purchase"), e.filter(F.col("community") != "purchase")
+    out, report = R.unique_match_transfer(src, rest.select("id", "author", "hour"), ["author", "hour"], "score", "id")
+    return out.select(F.lit("target").alias("side"), "id", "author", "hour",
+                      F.lit(None).cast("string").alias("status"), "transferred").unionByName(
+        report.select(F.lit("source").alias("side"), "id", "author", "hour", "status",
+                      F.lit(None).cast("bigint").alias("transferred")))
 
 
 @query("outer_merge_many", "J6", """
@@ -193,9 +197,10 @@ def append_all(spark, sf):
 
 # ------------------------------------------------------------------ K1-K4
 @query("sort_time", "K1", """
-select id, created_utc, cast(row_number() over (order by created_utc, id) as bigint) as row_number from ev""")
+select id, created_utc, author, community, score, parent_id,
+       cast(row_number() over (order by created_utc, id) as bigint) as row_number from ev""")
 def sort_time(spark, sf):
-    e = V.ev(spark, sf).select("id", "created_utc")
+    e = V.ev(spark, sf).select("id", "created_utc", "author", "community", "score", "parent_id")
     return R.with_global_position(e, [F.col("created_utc"), F.col("id")])
 
 

@@ -14,13 +14,6 @@ from .catalog import query
 from .q_scores import D16_SQL
 
 GROUPS = list(FIXTURE_GROUPS.labels)
-# pivot value list for the per-user month table: every month of the fixture's
-# date range (1995-01 .. 2001-12), built by rule
-MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-KIND_CODE = {"reply": "com", "post": "sub"}
-NAMES = [f"{g}-{k}-{m}" for m in MONTHS for g in GROUPS for k in ("com", "sub")]
-
-
 @query("pivot_matrix", "R1 A8", """
 with c as (select cohort, community_grp, avg(sentiment) m from creplies group by all),
 l as (select unnest(['SW', 'MH', 'Otr']) cohort)
@@ -51,12 +44,12 @@ _FEATS = ["noun_ratio", "verb_ratio", "adverb_ratio"]
 
 @query("unpivot_mean", "R3 F8", f"""
 with x as (select *, {Q.tags('toks', LEX)} tags from (
-             select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xposts))),
+             select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts))),
 f as (select id, community_grp, {', '.join(f'{v} {k}' for k, v in Q.pos_ratio_cols('toks', 'tags').items())} from x),
 l as (unpivot f on {', '.join(_FEATS)} into name variable value value)
 select variable, community_grp, round(avg(value), 6) mean_value from l group by all""")
 def unpivot_mean(spark, sf):
-    x = T.with_text_arrays(V.xposts(spark, sf).withColumn("txt", T.post_text("title", "selftext")), "txt", LEX)
+    x = T.with_text_arrays(V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext")), "txt", LEX)
     f = x.select("id", "community_grp",
                  *[c.alias(k) for k, c in T.pos_ratios(F.col("_toks"), F.col("_tags")).items()])
     return RS.unpivot_mean(f, ["id"], _FEATS, ["community_grp"])
@@ -73,7 +66,7 @@ def _named(df):
 
 
 def _wide(spark, sf):
-    return RS.wide(_named(_user_months(spark, sf)), "author", "name", NAMES, "graph")
+    return RS.wide(_named(_user_months(spark, sf)), "author", "name", "graph")
 
 
 _WIDE_SQL = (f"{D16_SQL},\nnm as (select *, concat_ws('-', community_grp, case kind when 'reply' then 'com' "
@@ -85,20 +78,24 @@ _WIDE_SQL = (f"{D16_SQL},\nnm as (select *, concat_ws('-', community_grp, case k
 select grp, type, cast(month as varchar) as month, round(avg(value), 6) mean_value from (
   select split_part(name, '-', 1) grp, split_part(name, '-', 2) type,
          cast(try_strptime(regexp_extract(name, '(\\d{{4}}-\\d{{2}})', 1) || '-01', '%Y-%m-%d') as date) as month,
-         graph value from nm where month between '{MONTHS[0]}' and '{MONTHS[-1]}')
+         graph value from nm)
 where month is not null group by all""")
 def unpivot_names(spark, sf):
-    long = RS.unpivot_names(_wide(spark, sf), ["author"], NAMES)
+    long = RS.unpivot_names(_wide(spark, sf), ["author"])
     return (long.groupBy("grp", "type", F.col("month").cast("string").alias("month"))
             .agg(F.avg("value").alias("mean_value")))
 
 
 @query("wide_user_months", "R5 D16", f"""
-{_WIDE_SQL}
-select author, {', '.join(f'''round(sum(graph) filter (where name = '{n}'), 6) "{n}"''' for n in NAMES)}
-from nm group by author""")
+{_WIDE_SQL},
+ws as (select author, name, cast(round(sum(graph) * 1000) as bigint) v from nm group by author, name)
+select author, count(*) n_cells, string_agg(concat(name, '=', cast(v as varchar)), ',' order by name) cells
+from ws group by author""")
 def wide_user_months(spark, sf):
-    return _wide(spark, sf)
+    w = _wide(spark, sf)
+    names = F.array_sort(F.map_keys("cells"))
+    shown = F.transform(names, lambda k: F.concat(k, F.lit("="), F.round(F.element_at("cells", k) * 1000).cast("bigint").cast("string")))
+    return w.select("author", F.size("cells").cast("bigint").alias("n_cells"), F.array_join(shown, ",").alias("cells"))
 
 
 @query("matrix_avg", "R6 A8", """

@@ -269,12 +269,12 @@ def ranked_activity(spark, sf):
 
 # ---------------------------------------------------------------- D8-D10 language scores
 def _x_text(spark, sf):
-    x = V.xposts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
+    x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
     return T.with_text_arrays(x, "txt", LEX)
 
 
 _XT_SQL = f"""xt as (select *, {Q.tags('toks', LEX)} tags from (
-  select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xposts)))"""
+  select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts)))"""
 _FPS_SQL = Q.ratio(Q.count_in(Q.pronoun_words("toks", LEX), LEX.first_singular), "len(toks)")
 _POS_SQL = (f"case when not {Q.is_blank('txt')} then 0.0 + -1.5 * {Q.pos_ratio_cols('toks', 'tags')['noun_ratio']}"
             f" + 1.0 * {_FPS_SQL} + 2.0 * cast({Q.keyword('txt', LEX.keywords)} as double)"

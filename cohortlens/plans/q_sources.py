@@ -29,9 +29,9 @@ def _ev(spark, sf):
 select id, author, created_utc, community, score, parent_id, null::varchar title from ev""")
 def scan_ndjson_declared(spark, sf):
     d = scratch_dir(spark, "ndjson-declared")
-    SK.write_zstd_ndjson(_ev(spark, sf).repartition(4), d, window_log=20)
+    _ev(spark, sf).write.option("compression", "gzip").json(d)
     # declared schema: `title` is not in the files (null); no other key is read
-    return FS.read_ndjson(spark, f"{d}/*.json.zst", EV_DECLARED + ", title string")
+    return FS.read_ndjson(spark, d, EV_DECLARED + ", title string")
 
 
 @query("scan_ndjson_discovered", "S2", """
@@ -41,7 +41,7 @@ def scan_ndjson_discovered(spark, sf):
     e = _ev(spark, sf)
     line = F.when(F.col("id").cast("bigint") % 97 == 0, F.concat(F.lit("not json {"), F.col("id"))) \
             .otherwise(F.to_json(F.struct(*e.columns)))
-    e.select(line.alias("value")).repartition(4).write.text(d)
+    e.select(line.alias("value")).write.text(d)
     r = FS.read_ndjson_discovered(spark, d)
     return r.select("id", "author", "created_utc", "community", "score", "parent_id")
 
@@ -50,8 +50,8 @@ def scan_ndjson_discovered(spark, sf):
 select id, author, created_utc, community, score, parent_id from ev""")
 def scan_ndjson_longwindow(spark, sf):
     d = scratch_dir(spark, "ndjson-long")
-    SK.write_zstd_ndjson(_ev(spark, sf).repartition(4), d, window_log=31)
-    return FS.read_zstd_long_window(spark, d, EV_DECLARED, partitions=4)
+    SK.write_zstd_ndjson(_ev(spark, sf), d, window_log=31)
+    return FS.read_zstd_long_window(spark, d, EV_DECLARED)
 
 
 POST_COLS = ["id", "author", "created_utc", "community", "score", "num_comments", "sentiment_complex"]
@@ -83,16 +83,24 @@ def scan_csv_quarantine(spark, sf):
         bad.select(F.coalesce("id", F.split_part("raw", F.lit(","), F.lit(1))).alias("id"), F.lit(True).alias("bad")))
 
 
-@query("scan_nul_filter", "S6", "select id, author from posts where cast(id as bigint) % 89 <> 0")
+@query("scan_nul_filter", "S6", """
+select id, author, case when cast(id as bigint) % 3 = 0 then concat('a"b', chr(10), id) else 'ok' end flag,
+       cast(null as bigint) skipped from posts where cast(id as bigint) % 89 <> 0
+union all
+select 'report', null, null, count(*) from posts where cast(id as bigint) % 89 = 0""")
 def scan_nul_filter(spark, sf):
     d = scratch_dir(spark, "nul")
     p = V.posts(spark, sf)
     k = F.col("id").cast("bigint")
-    line = F.concat_ws(",", "id", F.coalesce("author", F.lit("")), F.when(k % 89 == 0, F.lit("a\x00b"))
-                       .otherwise(F.lit("ok")))
-    p.select(line.alias("value")).repartition(3).write.text(d)
-    rows, _report = FS.read_lines_without_nul(spark, d, "id string, author string, flag string")
-    return rows.select("id", "author")
+    # a header, quoted line breaks and quotes, and NUL bytes in every 89th record
+    flag = F.when(k % 89 == 0, F.lit("a\x00b")).when(k % 3 == 0, F.concat(F.lit('a"b\n'), "id")).otherwise(F.lit("ok"))
+    p.select("id", "author", flag.alias("flag")).write.option("header", True).option("escape", '"') \
+        .option("quoteAll", True).option("nullValue", SK.NULL_MARK).csv(d)
+    rows, report = FS.read_csv_without_nul(spark, d, "id string, author string, flag string", null_value=SK.NULL_MARK)
+    total = report.agg(F.sum("skipped").alias("skipped"))
+    return rows.withColumn("skipped", F.lit(None).cast("bigint")).unionByName(
+        total.select(F.lit("report").alias("id"), F.lit(None).cast("string").alias("author"),
+                     F.lit(None).cast("string").alias("flag"), "skipped"))
 
 
 ACT_SCHEMA = "author string, created_utc bigint, community string, score bigint"
@@ -144,7 +152,7 @@ def sink_rolling(spark, sf):
 @query("sink_merge_parts", "S10", "select id, community, num_comments from posts")
 def sink_merge_parts(spark, sf):
     d = scratch_dir(spark, "parts")
-    (V.posts(spark, sf).select("id", "community", "num_comments").repartition(7)
+    (V.posts(spark, sf).select("id", "community", "num_comments")
      .write.option("header", True).csv(d))
     # every part carries its header; the reader drops each of them
     return FS.read_csv(spark, d, "id string, community string, num_comments bigint")

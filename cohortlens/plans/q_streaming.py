@@ -24,7 +24,7 @@ EV_SCHEMA = "id string, author string, created_utc bigint, community string, sco
 def stream_load_once(spark, sf):
     d = scratch_dir(spark, "stream-load")
     ev = V.ev(spark, sf).select("id", "author", "created_utc", "community", "score", "parent_id")
-    ev.repartition(4).write.json(f"{d}/src")
+    ev.write.json(f"{d}/src")
     for _ in range(2):  # a restart with no new files loads nothing twice
         ST.load_files_once(spark, f"{d}/src", EV_SCHEMA, f"{d}/sink", f"{d}/ckpt", max_files_per_trigger=2)
     return spark.read.parquet(f"{d}/sink")
@@ -42,7 +42,7 @@ def stream_score_new(spark, sf):
     labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"),
                   F.lit("existing").alias("origin")).write.parquet(f"{d}/scored")
     docs = V.docs(spark, sf).select("id", T.post_text("title", "selftext").alias("txt"))
-    docs.repartition(4).write.parquet(f"{d}/src")
+    docs.write.parquet(f"{d}/src")
     stream = spark.readStream.schema("id bigint, txt string").parquet(f"{d}/src")
 
     def score(batch):
@@ -62,7 +62,7 @@ from e, m where d0 + 86400 <= mx - 3600 group by all""")
 def stream_daily(spark, sf):
     d = scratch_dir(spark, "stream-daily")
     ev = V.ev(spark, sf).select("author", F.timestamp_seconds("created_utc").alias("event_time"))
-    ev.repartition(4).write.parquet(f"{d}/src")
+    ev.write.parquet(f"{d}/src")
     stream = spark.readStream.schema("author string, event_time timestamp").parquet(f"{d}/src")
     for _ in range(2):
         ST.run_available_now(ST.daily_activity(stream), f"{d}/sink", f"{d}/ckpt")

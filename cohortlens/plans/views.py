@@ -55,14 +55,22 @@ def creplies(spark: SparkSession, sf: str) -> DataFrame:
 read_table = tb.read_table
 
 
-def xposts(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts with text: every post id that is also a document id takes the
-    document's title and selftext (cohort-tagged, as ``cposts``)."""
+def xtexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of both kinds (documents as posts, conversation turns as
+    replies) with group, cohort and day of the post that its number names;
+    texts without such a post are ``Otr`` on the first day."""
     from pyspark.sql import functions as F
-    d = tb.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
+    d = tb.docs(spark, sf).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("link_id"),
+                                  F.lit("post").alias("kind"), "title", "selftext")
+    t = tb.turns(spark, sf).select("id", "link_id", F.lit("reply").alias("kind"),
+                                   F.lit(None).cast("string").alias("title"), F.col("body").alias("selftext"))
     tp, tr = tposts(spark, sf), treplies(spark, sf)
-    # join the documents first (the smaller row set), then look up the cohort
-    return known(tp).join(d, on="id", how="inner").join(cohorts_of(tp, tr), on="author", how="inner")
+    tags = tp.select(F.col("id").alias("link_id"), "author", "community_grp", "created_day") \
+        .join(cohorts_of(tp, tr), on="author", how="left").drop("author")
+    return d.unionByName(t).join(tags, on="link_id", how="left").select(
+        "id", "kind", "title", "selftext", F.coalesce("community_grp", F.lit("Otr")).alias("community_grp"),
+        F.coalesce("cohort", F.lit("Otr")).alias("cohort"),
+        F.coalesce("created_day", F.lit("1995-01-01").cast("date")).alias("created_day"))
 
 
 def reply_cells(spark: SparkSession, sf: str, score: str | None = "sentiment") -> DataFrame:

@@ -85,6 +85,8 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -107,10 +109,3 @@ def materialize(df, name: str):
     path = scratch_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    base = scratch_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # ------------------------------------------------------------------ fixed record shapes
-COMMENT_FIELDS = ("link_id", "parent_id", "created_utc", "subreddit", "author", "body", "score", "is_submitter")
-SUBMISSION_FIELDS = ("id", "created_utc", "subreddit", "author", "title", "selftext", "score", "num_comments")
-
 COMMENT_SCHEMA = ("link_id string, parent_id string, created_utc bigint, subreddit string, author string, "
                   "body string, score bigint, is_submitter boolean")
 SUBMISSION_SCHEMA = ("id string, created_utc bigint, subreddit string, author string, title string, "
@@ -46,15 +43,13 @@ def _open_stream(path: str):
 
 
 def read_zstd_long_window(spark: SparkSession, directory: str, schema: StructType | str, glob: str = "*.zst",
-                          partitions: int | None = None, batch_lines: int = 10_000,
+                          batch_lines: int = 10_000,
                           max_window_log: int = 31) -> DataFrame:
     """S3: NDJSON compressed with a long zstd window (``--long=31``), which the
     JVM codec rejects.  Paths come from a ``binaryFile`` scan with the content
     column pruned (only paths are listed); each task decompresses its files in
     a stream and parses JSON with Spark's ``from_json``."""
     paths = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path"))
-    if partitions:
-        paths = paths.repartition(partitions)
 
     def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -97,15 +92,12 @@ def read_csv_quarantine(spark: SparkSession, paths: str | Sequence[str], schema:
                         header: bool = False, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
     """PERMISSIVE CSV read; rows with a wrong field count (short or long)
     land in the corrupt-record column.  Returns (good rows, bad raw lines)."""
-    # With CSV column pruning the parser only tokenises the columns a query needs
-    # and never compares a row's field count with the schema, so no row would be
-    # flagged.  The check needs whole rows: pruning is switched off (this costs
-    # parse time on later CSV reads of the session, not correctness).
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    # A pruned parse never compares a row's field count with the schema, so this
+    # one read parses whole rows (the session's setting is left alone).
     sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     sch = StructType(sch.fields + [StructType.fromDDL(f"{corrupt} string").fields[0]])
     df = (spark.read.schema(sch).option("header", header).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt).csv(paths))
+          .option("columnPruning", False).option("columnNameOfCorruptRecord", corrupt).csv(paths))
     # the corrupt column must be materialised before filtering on it (Spark rule)
     df = df.withColumn("_bad", F.col(corrupt).isNotNull())
     good = df.filter(~F.col("_bad")).drop(corrupt, "_bad")
@@ -113,17 +105,24 @@ def read_csv_quarantine(spark: SparkSession, paths: str | Sequence[str], schema:
     return good, bad
 
 
-def read_lines_without_nul(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str,
-                           sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """Drop lines holding a NUL byte, parse the rest as CSV; report the
-    skipped lines per file (grouped by the source file name)."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"))
-    has_nul = F.col("value").contains("\x00")
-    sch = schema if isinstance(schema, str) else schema.simpleString()
-    rows = lines.filter(~has_nul).select(F.from_csv("value", sch, {"sep": sep}).alias("r")).select("r.*")
-    report = lines.groupBy("file_name").agg(F.count_if(has_nul).alias("skipped"),
-                                            F.count_if(~has_nul).alias("loaded"))
-    return rows, report
+def read_csv_without_nul(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str,
+                         sep: str = ",", header: bool = True, multiline: bool = True,
+                         null_value: str = "") -> tuple[DataFrame, DataFrame]:
+    """CSV records (quoted line breaks included) without those that hold a
+    NUL byte in any field, and a report per file: (file_name, skipped, loaded).
+    ``multiline`` reads a file in one task; switch it off for files whose
+    records are lines, and they are split."""
+    sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    raw = StructType.fromDDL(", ".join(f"`{f.name}` string" for f in sch.fields))
+    rows = (spark.read.schema(raw).option("header", header).option("multiLine", multiline).option("sep", sep)
+            .option("escape", '"').option("columnPruning", False).option("nullValue", null_value)
+            .option("emptyValue", "").csv(paths).select("*", F.col("_metadata.file_name").alias("file_name")))
+    has_nul = F.lit(False)
+    for f in sch.fields:
+        has_nul = has_nul | F.coalesce(F.col(f.name).contains("\x00"), F.lit(False))
+    good = rows.filter(~has_nul).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in sch.fields])
+    report = rows.groupBy("file_name").agg(F.count_if(has_nul).alias("skipped"), F.count_if(~has_nul).alias("loaded"))
+    return good, report
 
 
 def read_routed(spark: SparkSession, directory: str, routes: dict[str, tuple[str, StructType | str]],

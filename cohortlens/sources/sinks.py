@@ -37,8 +37,10 @@ def write_rolling(df: DataFrame, path: str, max_records: int, fmt: str = "csv",
 
 
 def append_partitioned(df: DataFrame, path: str, partition_by: Sequence[str] = ("month",)) -> None:
-    """Append to a table partitioned by month."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    """Append to a table partitioned by month; rows are rebalanced on the
+    partition columns first (a hot month is split), so files = months, not
+    tasks times months."""
+    df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,7 +71,8 @@ def read_versioned(spark: SparkSession, table: str) -> DataFrame:
 
 def replace_versioned(df: DataFrame, table: str) -> str:
     """Write ``df`` as a new version of ``table`` and make it current
-    (the marker is written last; a failed job leaves the old version live)."""
+    (the marker is replaced by one overwriting rename after the data is
+    complete, so there is a live version at any time)."""
     spark = df.sparkSession
     v = f"v-{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(f"{table}/{v}")
@@ -78,29 +81,47 @@ def replace_versioned(df: DataFrame, table: str) -> str:
     out = fs.create(tmp, True)
     out.write(bytearray(v.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    jvm = spark.sparkContext._jvm
+    option = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = jvm.java.lang.reflect.Array.newInstance(option, 1)
+    how[0] = jvm.java.lang.Enum.valueOf(option, "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) \
+        .rename(tmp, p, how)
     return v
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: the greatest by ``order`` (by default by all other
+    columns), a partial aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    pos = F.struct(*[F.col(c) for c in (order or rest)], *[F.col(c) for c in rest])
+    row = F.struct(*[F.col(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(row, pos).alias("_row")).select(*keys, "_row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """Merge-matched / insert-unmatched: new values win per column where
-    present (``coalesce(new, old)``); duplicate keys in ``new`` reduced first."""
+    present (``coalesce(new, old)``), columns only in ``new`` are added; of rows
+    of ``new`` with one key the greatest by ``order`` counts."""
     keys = [key] if isinstance(key, str) else list(key)
-    new = new.dropDuplicates(keys)
+    new = last_per_key(new, keys, order)
     cols = [c for c in old.columns if c not in keys]
-    n = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols if c in new.columns])
+    more = [c for c in new.columns if c not in keys and c not in cols]
+    n = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols if c in new.columns], *more)
     j = old.join(n, on=keys, how="full_outer")
     return j.select(*keys, *[(F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in new.columns else F.col(c)).alias(c)
-                             for c in cols])
+                             for c in cols], *more)
 
 
 def set_fields(target: DataFrame, values: DataFrame, key: str | Sequence[str], fields: Sequence[str],
-               overwrite: bool = True) -> DataFrame:
+               overwrite: bool = True, order: Sequence[str] | None = None) -> DataFrame:
     """Set ``fields`` on every target row matching the key; with
-    ``overwrite=False`` an existing (non-null) value is kept."""
+    ``overwrite=False`` an existing (non-null) value is kept.  Of value rows
+    with one key the greatest by ``order`` counts, so target rows never multiply."""
     keys = [key] if isinstance(key, str) else list(key)
-    v = values.select(*keys, *[F.col(f).alias(f"_v_{f}") for f in fields])
+    v = last_per_key(values, keys, order).select(*keys, *[F.col(f).alias(f"_v_{f}") for f in fields])
     j = target.join(v, on=keys, how="left")
     for f in fields:
         if f in target.columns:
@@ -121,8 +142,7 @@ def write_layout(df: DataFrame, path: str, partition_by: str = "month", sort_by:
     the tie-break columns let even one hot author span several tasks; each
     file covers a narrow author range."""
     keys = [partition_by, *sort_by, *[c for c in tiebreak if c in df.columns]]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.mode(mode).partitionBy(partition_by).parquet(path))
 
 

@@ -18,35 +18,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_SPLITS: dict[tuple[int, str], int] = {}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
-    """Parquet scan of a base table (pruning and filters reach the scan);
-    with ``spread_key`` see :func:`spread`."""
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of a base table (pruning and filters reach the scan)."""
     ensure_engine_conf(spark)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread_key is None:
-        return df
-    key = (id(spark.sparkContext), path)
-    if key not in _SPLITS:                      # planned once per table and context
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    return spread(df, spread_key, _SPLITS[key])
-
-
-def spread(df: DataFrame, key: str, splits: int | None = None) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy per-row work (text features,
-    model scoring) when the input is stored as fewer splits than there are
-    cores — e.g. one small file with one row group.  Hash partitioning on the
-    row key needs no sort (a round-robin repartition sorts every row to stay
-    deterministic on retry).  Uses planning metadata only; an input already
-    stored as many splits, as at cluster scale, is left alone."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions() if splits is None else splits
-    if n < target:
-        return df.repartition(target, key)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _epoch(c: Column) -> Column:
@@ -82,7 +57,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-like rows: one per line item (no unique key)."""
-    l = read_table(spark, sf_dir, "lineitem", spread_key="l_orderkey")
+    l = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
                                                   "o_orderstatus")
     j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
@@ -105,7 +80,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-stamped activity from ``events``."""
-    e = read_table(spark, sf_dir, "events", spread_key="event_id")
+    e = read_table(spark, sf_dir, "events")
     return e.select(
         _s(F.col("event_id")).alias("id"),
         F.concat(F.lit("u"), _s(F.col("user_id"))).alias("author"),
@@ -119,17 +94,20 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text rows: first line = title, rest = selftext."""
-    d = read_table(spark, sf_dir, "documents", spread_key="doc_id")
+    """Text rows: first line = title, rest = selftext.  For every 37th document
+    there is one more row whose text was removed (sentinel, negative id)."""
+    d = read_table(spark, sf_dir, "documents")
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    return d.select(
+    rows = d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("author"),
         F.col("lang").alias("community"),
         title.alias("title"),
-        F.when(F.col("doc_id") % 37 == 0, F.lit("[removed]"))
-         .otherwise(F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)")).alias("selftext"),
+        F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)").alias("selftext"),
     )
+    removed = rows.filter(F.col("id") % 37 == 0).select(
+        (-F.col("id") - 1).alias("id"), "author", "community", "title", F.lit("[removed]").alias("selftext"))
+    return rows.unionByName(removed)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_every_operator_id_has_a_query():
     s = _survey()
     sec = s[s.index("## 2. Operator inventory"):s.index("### 2.13")]
     ids = set(re.findall(r"^\| ([SPJAWKUFRMTD]\d+) \|", sec, flags=re.M))
-    E.queries()
+    catalog.queries()
     covered = set()
     for v in catalog.SURVEY_IDS.values():
         for tok in v.split():
@@ -36,8 +36,8 @@ def test_every_listed_query_name_is_registered():
     names = set()
     for row in re.findall(r"^\| (`[^|]+) \|", sec, flags=re.M):
         names |= set(re.findall(r"`([a-z_]+)`", row))
-    assert names and names <= set(E.queries()), sorted(names - set(E.queries()))
+    assert names and names <= set(catalog.queries()), sorted(names - set(catalog.queries()))
 
 
 def test_oracle_for_all_but_iterative():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"topics"}
+    assert set(catalog.queries()) - set(E.oracle_sql()) == {"topics"}

@@ -134,10 +134,44 @@ def test_bad_time_and_score(spark):
 
 def test_match_status(spark):
     tgt = spark.createDataFrame([("t1", "k1"), ("t2", "k2"), ("t3", "k2"), ("t4", "k0")], "id string, k string")
-    src = spark.createDataFrame([("s1", "k1", 7.0), ("s2", "k2", 8.0)], "sid string, k string, v double")
-    out = R.unique_match_transfer(src, tgt, ["k"], "v", "sid")
-    assert rows(out, "id", "status", "transferred") == [
-        ("t1", "updated", 7.0), ("t2", "multiple", None), ("t3", "multiple", None), ("t4", "none", None)]
+    src = spark.createDataFrame([("s1", "k1", 7.0), ("s2", "k2", 8.0), ("s3", "k9", 9.0)], "sid string, k string, v double")
+    out, report = R.unique_match_transfer(src, tgt, ["k"], "v", "sid")
+    assert rows(out, "id", "transferred") == [("t1", 7.0), ("t2", None), ("t3", None), ("t4", None)]
+    assert rows(report, "sid", "status") == [("s1", "updated"), ("s2", "multiple"), ("s3", "none")]
+
+
+def test_set_fields_and_upsert_keep_keys_unique(spark):
+    from cohortlens.sources import sinks as SK
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    new = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (3, "z", 1)], "k int, w string, extra int")
+    assert rows(SK.set_fields(old, new, "k", ["w"], order=["extra"])) == [(1, "x"), (2, "b")]
+    assert rows(SK.upsert(old, new, "k", order=["extra"]), "k", "w", "extra") == [(1, "x", 5), (2, "b", None), (3, "z", 1)]
+
+
+def test_global_position_with_payload(spark):
+    from cohortlens.plans import views as V
+    r = V.replies(spark, "/root/testdata/sf0.1")
+    cols = r.columns
+    out = R.with_global_position(r, [F.col(c) for c in cols])
+    n, distinct, top = out.agg(F.count("*"), F.count_distinct("row_number"), F.max("row_number")).first()
+    assert n == distinct == top == r.count()
+
+
+def test_exact_quantile_per_group(spark):
+    from cohortlens.operators import windows as W
+    data = [(g, float(v % 17)) for g, n in (("a", 100), ("b", 7), (None, 3)) for v in range(n)] + [("a", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    want = {r["g"]: r["t"] for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.9)).alias("t")).collect()}
+    assert {r["g"]: r["_t"] for r in W.exact_quantile(df, "v", 0.9, ["g"]).collect()} == want
+
+
+def test_sample_takes_the_smallest_hashes(spark):
+    from cohortlens.operators import sampling as M
+    df = spark.createDataFrame([(k % 3, f"u{k}") for k in range(3000)], "g int, u string")
+    got = rows(M.sample_per_group(df, ["g"], ["u"], 70, "s"), "g", "u")
+    h = {r["u"]: r["h"] for r in df.withColumn("h", M.hash_order(["u"], "s")).collect()}
+    want = [(g, u) for g in range(3) for u in sorted((f"u{k}" for k in range(g, 3000, 3)), key=h.get)[:70]]
+    assert got == sorted(want, key=repr)
 
 
 def test_matrix_all_is_mean_of_cells(spark):

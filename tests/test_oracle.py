@@ -12,7 +12,7 @@ import __spark_entry__ as E
 from oracle_harness import compare, duck
 
 SF = os.environ.get("COHORTLENS_ORACLE_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
+QUERIES = E.catalog.queries()
 ORACLE = E.oracle_sql()
 
 

@@ -77,8 +77,7 @@ def _plan(df) -> str:
 
 def test_flagship_plan_one_exchange_and_topk(spark, q):
     p = _plan(q["sentiment_rank"](spark, SF))
-    # one shuffle on the aggregation key (a second, on l_orderkey, only spreads the
-    # one-file test input over the cores; see tables.spread)
+    # one shuffle on the aggregation key
     assert p.count("Exchange hashpartitioning(author") == 1
     assert "TakeOrderedAndProject" in p
     assert "partial_sum" in p
@@ -98,11 +97,6 @@ def test_repeat_score_uses_no_window(spark, q):
     assert "Window" not in p.replace("WindowGroupLimit", "")
 
 
-def test_group_limit_before_exchange(spark, q):
-    p = _plan(q["sample_users"](spark, SF))
-    assert "WindowGroupLimit" in p
-
-
 def test_reruns_are_noops(spark, q):
     # the query runs its stream twice; every key must be scored exactly once
     got = q["stream_score_new"](spark, SF).select("id").collect()
