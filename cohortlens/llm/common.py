@@ -70,6 +70,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows of ``df`` (one a key) with the smallest seeded hashes.
+    Rows are first cut at a hash limit that leaves about 2 n of them, so what
+    meets in one task for the final limit does not grow with the table."""
+    share = min(1.0, 2.0 * n / max(1, df.count()))
+    h = F.xxhash64(F.lit(seed), key)
+    limit = int(-(1 << 63) + share * ((1 << 64) - 1))
+    return df.filter(h <= F.lit(min(limit, (1 << 63) - 1))).orderBy(h, key).limit(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

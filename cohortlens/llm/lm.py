@@ -193,12 +193,16 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
             .groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
         counts[r["id"]] = r["n"]
 
+    # documents below a hash limit, about twice as many as needed: what reaches
+    # the driver does not grow with the corpus
+    limit = min(1.0, 2.0 * TRAIN_DOCS / max(1, learned)) * (1 << 32)
+
     def beginnings(batches):
         for row, a in _rows(batches):
             own = row["doc_ids"].as_py()
             pick = np.array([k for k, i in enumerate(own) if _learned(i, folds, held)], np.int64)
             h = np.array([zlib.crc32(f"lm{own[k]}".encode()) for k in pick], np.int64)
-            pick, h = pick[np.argsort(h, kind="stable")[:TRAIN_DOCS]], np.sort(h, kind="stable")[:TRAIN_DOCS]
+            pick, h = pick[h < limit], h[h < limit]
             if len(pick):
                 short = dict(a)
                 ids, upto, *_ = _documents_ids(short, pick)

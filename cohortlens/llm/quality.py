@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id:
     """Model of the bounded, seeded sample of labelled rows, or None."""
     known = labels.select(F.col(f"`{label_id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")) \
         .filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    taken = known.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(sample)
+    taken = C.seeded_sample(known, "id", sample, 7)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")) \
         .join(taken, "id")
     got = _figures_of(rows, "y").limit(2 * sample).collect()

@@ -137,7 +137,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, doc_id: str =
     known = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")) \
         .filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     allowed = slim.filter("t").select(F.col("doc_id").alias("id")).distinct()
-    taken = known.join(allowed, "id", "left_semi").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample)
+    taken = C.seeded_sample(known.join(allowed, "id", "left_semi"), "id", sample, 11)
     rows = slim.join(F.broadcast(taken), slim.doc_id == taken.id) \
         .select("id", "text", "y").orderBy("id", "text").limit(2 * sample).collect()  # bounded by the sample
     model = train([(r["text"] or "").encode() for r in rows], [r["y"] for r in rows])
