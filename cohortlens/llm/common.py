@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import scratch_dir, ship_package
 
 CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, ends array<long>, body binary"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -84,9 +85,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def buckets(spark: SparkSession) -> int:
-    """Name buckets: several per shuffle partition, so their sums come out even."""
-    return 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(chunks: DataFrame, size) -> int:
+    """Name buckets of a stored chunk table: one for every ``BUCKET_BYTES`` of
+    ``size`` (a column), so a bucket is bounded and a chunk's rows carry many names."""
+    total = chunks.agg(F.sum(size)).first()[0] or 0
+    return max(1, -(-int(total) // BUCKET_BYTES))
+
+
+def text_size():
+    return F.element_at("ends", -1)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

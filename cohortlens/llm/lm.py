@@ -157,7 +157,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     ship_package(spark)
     raw = read_vocabulary(vocabulary)
     words = C.store(_words(docs, doc_id, text, folds, held, spark.sparkContext.broadcast(raw)), "op8-words")
-    nb = C.buckets(spark)
+    nb = C.buckets(words, 6 * F.octet_length("lens"))  # 4 bytes of each word's 12 and more
 
     def post(batches):
         for row, a in _rows(batches):

@@ -159,9 +159,8 @@ def _remove(chunks: DataFrame, width: int) -> DataFrame:
 def recompression_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept string): one row per input row; ``kept``
     is the kept words joined by a space.  See the module head."""
-    spark = docs.sparkSession
-    nb = C.buckets(spark)
     chunks = C.store(C.pack(docs, doc_id, text, by_id=True), "op4-chunks")
+    nb = C.buckets(chunks, C.text_size())
 
     def before(order, new, keys, extra, sizes):
         order, new = C.checked(order, new, extra)  # stable: a group's first is of the earliest chunk
