@@ -13,6 +13,8 @@ regex runs once per row.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,12 @@ def tags(toks: Column, lex: Lexicon) -> Column:
 
 
 def with_text_arrays(df: DataFrame, text: Column | str, lex: Lexicon, toks: str = "_toks",
-                     tg: str = "_tags") -> DataFrame:
-    """Add the token and tag arrays once; features read them by name."""
-    return df.withColumn(toks, tokens(text)).withColumn(tg, tags(F.col(toks), lex))
+                     tg: str = "_tags", tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add the token and tag arrays once; features read them by name.  ``tagger``
+    (D6) maps the token array to a tag array of the same length, for instance a
+    pandas UDF around a trained tagger; the default is the lexicon's."""
+    made = tagger(F.col(toks)) if tagger else tags(F.col(toks), lex)
+    return df.withColumn(toks, tokens(text)).withColumn(tg, made)
 
 
 def _count_in(arr: Column, values) -> Column:

@@ -24,6 +24,14 @@ def month_tag(created_utc: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch_seconds(created_utc)), "yyyy-MM")
 
 
+def epoch_reject(created_utc: Column) -> Column:
+    """why a row gets no day or month: ``missing``, ``not a number`` or
+    ``zero``; null for rows that are tagged."""
+    s = created_utc.cast("string")
+    return F.when(s.isNull() | (F.trim(s) == ""), "missing").when(s.try_cast("bigint").isNull(), "not a number") \
+        .when(s.try_cast("bigint") == 0, "zero")
+
+
 def log_scale(x: Column, offset: float = 1e-9) -> Column:
     """``ln(x + offset)``; non-positive arguments give null (not an error)."""
     a = x.cast("double") + F.lit(offset)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import group_priority, priority_label
 from ..params import Groups
+from .relational import with_global_position
 
 
 def distinct_values(*frames: tuple[DataFrame, str], out: str = "author") -> DataFrame:
@@ -159,7 +160,7 @@ def user_rollup(df: DataFrame, key: str, text: str, score: Column) -> DataFrame:
     leading space), sentiment sum, count, mean.
 
     The joined text itself is not materialised in one row: a prolific author's
-    texts are unbounded, so they stay as the per-row long table (whole texts),
+    texts are unbounded, so they stay as rows (:func:`user_texts`, whole texts),
     and only the sizes and scores are aggregated.
     """
     return df.groupBy(key).agg(
@@ -169,6 +170,18 @@ def user_rollup(df: DataFrame, key: str, text: str, score: Column) -> DataFrame:
         F.avg(score).alias("avg_sentiment"))
 
 
+def user_texts(df: DataFrame, key: str, order: Sequence[str], text: str) -> DataFrame:
+    """The texts that the study joins per user, as ordered rows (key,
+    position from 1, text).  The position comes from the global one (K1), so no
+    user's texts meet in one task.  ``order`` and ``text`` make a total order
+    but for equal rows."""
+    ranked = with_global_position(df.select(key, *order, text), [F.col(c) for c in (key, *order, text)], "_at")
+    ranked = ranked.select(key, text, "_at")
+    base = ranked.groupBy(F.col(key).alias("_k")).agg(F.min("_at").alias("_base"))
+    return ranked.join(base, F.col(key).eqNullSafe(F.col("_k"))) \
+        .select(key, (F.col("_at") - F.col("_base") + 1).alias("position"), text)
+
+
 def exploded_counts(df: DataFrame, keys: Sequence[str], array_col: Column, item: str) -> DataFrame:
     """Explode an array of items and count per (keys, item).  Partial
     aggregation happens per map task right after the explode."""

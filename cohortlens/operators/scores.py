@@ -232,15 +232,20 @@ def _integrate(means: DataFrame, rw: RankWeights, names: Sequence[str]) -> Colum
 
 
 def integrated_rank(posts: DataFrame, replies: DataFrame, post_cols: Mapping[str, str | None],
-                    reply_cols: Mapping[str, str | None], rw: RankWeights = RankWeights()) -> DataFrame:
+                    reply_cols: Mapping[str, str | None], rw: RankWeights = RankWeights(),
+                    row_weight: str | None = None) -> DataFrame:
     """Per user and component the mean of (score · kind weight) over all the
     user's rows — divided by the row count, not by Σ weight — with a missing
     score counting 0; then Σ component weight · (x - lo)/(hi - lo); N best/worst.
-    ``[deleted]`` is not filtered out; null authors are."""
+    ``[deleted]`` is not filtered out; null authors are.
+
+    ``row_weight``: the inputs are cells of several rows with mean scores and
+    their row count in that column."""
     names = list(post_cols)
-    u = _component_means(posts, rw.post_weight, post_cols).unionByName(
-        _component_means(replies, rw.reply_weight, reply_cols))
-    means = u.groupBy("author").agg(*[F.avg(n).alias(n) for n in names])
+    u = _component_means(posts, rw.post_weight, post_cols, row_weight).unionByName(
+        _component_means(replies, rw.reply_weight, reply_cols, row_weight))
+    means = u.groupBy("author").agg(*[F.try_divide(F.sum(F.col(n) * F.col("_w")), F.sum("_w")).alias(n)
+                                      for n in names])
     scored = means.select("author", _integrate(means, rw, names).alias("score"))
     top = top_n(scored, "score", rw.top_n, rw.descending)
     return rank_rows(top, "score", rw.descending).select("rank", "author", "score")

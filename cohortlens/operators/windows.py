@@ -25,31 +25,19 @@ def seen_parent(df: DataFrame, keys: Sequence[str], parent: str, order: Sequence
                 out: str = "repeat") -> DataFrame:
     """``repeat`` = an earlier row of the same (keys) already had this parent.
 
-    No window, so no group is ever handled by a single task:
-
-    1. the first position per (keys, parent) is ``min(struct(order))`` — a
-       partial aggregate — joined back on the group key (a hot key is split by
-       AQE's skew join on the row side);
-    2. a row after the first is a repeat;
-    3. rows tied with the first are identical in every column (``order`` plus
-       the group key must cover all columns: Q20's "time, score, then all other
-       columns"), so they are counted by a partial aggregate and re-expanded as
-       one first row and ``count - 1`` repeats.
+    No window, so no group is ever handled by a single task: the rows are
+    written once with a row number that sets equal rows apart, the first of each
+    (keys, parent) is ``min(struct(order, row number))`` (a partial aggregate),
+    and one join on the group key marks every other row (AQE splits a hot key on
+    the row side).  Rows tied in ``order`` must be equal in all columns.
     """
+    from ..session import materialize
     gk = [*keys, parent]
-    pos = F.struct(*[F.col(c) for c in order])
-    cols = list(df.columns)
-    first = df.groupBy(*gk).agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = first.select(*[F.col(k).alias(f"_g_{k}") for k in gk], "_first", "_n")
-    cond = [df[k].eqNullSafe(first[f"_g_{k}"]) for k in gk]          # null keys form a group too
-    j = (df.join(first, on=cond, how="inner").drop(*[f"_g_{k}" for k in gk])
-         .withColumn("_is_first", pos.eqNullSafe(F.col("_first"))))
-    # a group of one row: that row is first; otherwise rows after the first repeat
-    direct = j.filter((F.col("_n") == 1) | ~F.col("_is_first")).select(*cols, (F.col("_n") > 1).alias(out))
-    tied = (j.filter((F.col("_n") > 1) & F.col("_is_first")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-            .select(*cols, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"))
-            .select(*cols, (F.col("_i") > 1).alias(out)))
-    return direct.unionByName(tied)
+    rows = materialize(df.withColumn("_mid", F.monotonically_increasing_id()), "seen-parent")
+    pos = F.struct(*[F.col(c) for c in order], F.col("_mid"))
+    first = rows.groupBy(*[F.col(k).alias(f"_g_{k}") for k in gk]).agg(F.min(pos)["_mid"].alias("_first"))
+    cond = [rows[k].eqNullSafe(first[f"_g_{k}"]) for k in gk]          # null keys form a group too
+    return rows.join(first, on=cond, how="inner").select(*df.columns, (F.col("_mid") != F.col("_first")).alias(out))
 
 
 def with_scalar(df: DataFrame, scalar_row: DataFrame) -> DataFrame:

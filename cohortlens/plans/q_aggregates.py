@@ -147,6 +147,18 @@ def user_rollup(spark, sf):
     return A.user_rollup(k, "author", "txt", F.col("sent"))
 
 
+@query("user_texts", "A12", f"""
+with k as (select author, 'reply' kind, id, body txt from turns
+           union all select author, 'post', cast(id as varchar), {Q.post_text('title', 'selftext')} from docs)
+select author, row_number() over (partition by author order by kind, id, txt) as position, txt from k""")
+def user_texts(spark, sf):
+    """The texts behind ``user_rollup``, one row each in order."""
+    t = V.turns(spark, sf).select("author", F.lit("reply").alias("kind"), "id", F.col("body").alias("txt"))
+    d = V.docs(spark, sf).select("author", F.lit("post").alias("kind"), F.col("id").cast("string").alias("id"),
+                                 T.post_text("title", "selftext").alias("txt"))
+    return A.user_texts(t.unionByName(d), "author", ["kind", "id"], "txt")
+
+
 @query("pos_counts", "A13 D6", f"""
 with {XTEXT_SQL}
 select cohort, community_grp, tag, count(*) n from (select cohort, community_grp, unnest(tags) tag from xt)

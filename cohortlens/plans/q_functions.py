@@ -42,6 +42,25 @@ def tag_month(spark, sf):
     return V.replies(spark, sf).select(F.col("link_id").alias("id"), TM.month_tag(F.col("created_utc")).alias("month"))
 
 
+_RAW_EPOCH_SQL = ("case score when 0 then '0' when 1 then 'x' when 2 then '' when 3 then null "
+                  "else cast(created_utc as varchar) end")
+
+
+@query("month_rejects", "F2", f"""
+with e as (select link_id id, {_RAW_EPOCH_SQL} epoch from replies),
+w as (select *, case when epoch is null or trim(epoch) = '' then 'missing'
+                     when try_cast(epoch as bigint) is null then 'not a number'
+                     when try_cast(epoch as bigint) = 0 then 'zero' end reason from e)
+select reason, count(*) n, min(id) first_id from w where reason is not null group by reason""")
+def month_rejects(spark, sf):
+    """Rows that get no month, counted by reason (the scores stand in for bad epochs)."""
+    raw = F.when(F.col("score") == 0, "0").when(F.col("score") == 1, "x").when(F.col("score") == 2, "") \
+        .when(F.col("score") != 3, F.col("created_utc").cast("string"))
+    r = V.replies(spark, sf).select(F.col("link_id").alias("id"), TM.epoch_reject(raw).alias("reason"))
+    return r.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"),
+                                                                F.min("id").alias("first_id"))
+
+
 @query("tag_community_grp", "F3", "select id, community, community_grp from tposts")
 def tag_community_grp(spark, sf):
     return V.posts(spark, sf).select("id", "community", G.community_group("community", FIXTURE_GROUPS)

@@ -39,20 +39,20 @@ def pivot_time(spark, sf):
     return RS.pivot_mean(e, "created_day", "community_grp", GROUPS, "score")
 
 
-_FEATS = ["noun_ratio", "verb_ratio", "adverb_ratio"]
+_FEAT_SQL = Q.feature_cols("txt", "toks", "tags", LEX)
 
 
 @query("unpivot_mean", "R3 F8", f"""
 with x as (select *, {Q.tags('toks', LEX)} tags from (
              select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts))),
-f as (select id, community_grp, {', '.join(f'{v} {k}' for k, v in Q.pos_ratio_cols('toks', 'tags').items())} from x),
-l as (unpivot f on {', '.join(_FEATS)} into name variable value value)
+f as (select id, community_grp, {', '.join(f'cast({v} as double) {k}' for k, v in _FEAT_SQL.items())} from x),
+l as (unpivot f on {', '.join(_FEAT_SQL)} into name variable value value)
 select variable, community_grp, round(avg(value), 6) mean_value from l group by all""")
 def unpivot_mean(spark, sf):
     x = T.with_text_arrays(V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext")), "txt", LEX)
-    f = x.select("id", "community_grp",
-                 *[c.alias(k) for k, c in T.pos_ratios(F.col("_toks"), F.col("_tags")).items()])
-    return RS.unpivot_mean(f, ["id"], _FEATS, ["community_grp"])
+    feats = T.language_features("txt", F.col("_toks"), F.col("_tags"), LEX)
+    f = x.select("id", "community_grp", *[c.cast("double").alias(k) for k, c in feats.items()])
+    return RS.unpivot_mean(f, ["id"], list(feats), ["community_grp"])
 
 
 def _user_months(spark, sf):

@@ -87,13 +87,60 @@ d16 as (select am.author, am.month, cells.community_grp, cells.kind, coalesce(x.
          and x.kind = cells.kind)"""
 
 
+def _x_text(spark, sf):
+    x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
+    return T.with_text_arrays(x, "txt", LEX)
+
+
+_XT_SQL = f"""xt as (select *, {Q.tags('toks', LEX)} tags from (
+  select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts)))"""
+_FPS_SQL = Q.ratio(Q.count_in(Q.pronoun_words("toks", LEX), LEX.first_singular), "len(toks)")
+_POS_SQL = (f"case when not {Q.is_blank('txt')} then 0.0 + -1.5 * {Q.pos_ratio_cols('toks', 'tags')['noun_ratio']}"
+            f" + 1.0 * {_FPS_SQL} + 2.0 * cast({Q.keyword('txt', LEX.keywords)} as double)"
+            f" + 0.005 * cast(len(toks) as double) end")
+
+# D8 of every text of both kinds, one value an id (documents: the post's id, turns: the reply's parent_id)
+_POS_BY_ID_SQL = f"""pt as (select id, {Q.post_text('title', 'selftext')} txt from (
+        select cast(id as varchar) id, title, selftext from docs
+        union all select id, null title, body selftext from turns)),
+pk as (select *, {Q.tags('toks', LEX)} tags from (select *, {Q.tokens('txt')} toks from pt)),
+ps as (select id, max({_POS_SQL}) pos from pk group by id)"""
+
+
+def _pos_by_id(spark, sf):
+    d = V.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
+    t = V.turns(spark, sf).select("id", F.lit(None).cast("string").alias("title"), F.col("body").alias("selftext"))
+    x = T.with_text_arrays(d.unionByName(t).select("id", T.post_text("title", "selftext").alias("txt")), "txt", LEX)
+    return x.groupBy("id").agg(F.max(S.pos_score("txt", F.col("_toks"), F.col("_tags"), LEX)).alias("pos"))
+
+
+# D13 of both kinds, each with its own threshold
+D13_SQL = """x13 as (select 'post' kind, p.id, p.author, p.community_grp, p.month, p.created_day, sentiment_complex sent,
+        d11.time_based, d12.comm_score
+      from tposts p
+      left join (select * from d11 where kind = 'post') d11 on p.author = d11.author and p.created_day = d11.created_day
+      left join d12 on p.author = d12.author and p.community_grp = d12.community_grp and p.month = d12.month
+      union all
+      select 'reply', r.parent_id, r.author, r.community_grp, r.month, r.created_day, sentiment,
+        d11.time_based, d12.comm_score
+      from treplies r
+      left join (select * from d11 where kind = 'reply') d11 on r.author = d11.author and r.created_day = d11.created_day
+      left join d12 on r.author = d12.author and r.community_grp = d12.community_grp and r.month = d12.month),
+m13 as (select kind, max(comm_score) mx from x13 group by kind),
+d13 as (select x13.*, case when coalesce(mx, 0.0) * 0.5 <> 0
+                  then least(coalesce(comm_score, 0.0) / (coalesce(mx, 0.0) * 0.5), 1.0) else 0.0 end
+             + case when coalesce(time_based, 0.0) >= 0.01 then coalesce(time_based, 0.0) else 0.0 end time_based_score
+        from x13 join m13 using (kind))"""
+
+
 def _tagged(spark, sf, shared: bool = False):
     """Group-tagged posts and replies.  ``shared``: a composite plan reads them
     in several branches, so they are written once under the checkpoint folder
     (lineage cut; each branch reads files, not the upstream joins)."""
     tp, tr = V.tposts(spark, sf), V.treplies(spark, sf)
     if shared:
-        tp, tr = materialize(tp, "tposts"), materialize(tr, "treplies")
+        tp = materialize(tp.drop("community", "created_utc"), "tposts")
+        tr = materialize(tr.drop("community", "link_id"), "treplies")
     return tp, tr
 
 
@@ -138,27 +185,27 @@ def comm_score(spark, sf):
     return _d12(spark, sf)
 
 
+def _time_scored(rows, kind, d11, d12):
+    """D13 of one kind: the threshold is that of its own rows."""
+    own = d11.filter(F.col("kind") == kind).select("author", "created_day", "time_based")
+    x = rows.join(own, on=["author", "created_day"], how="left").join(d12, on=["author", "community_grp", "month"],
+                                                                      how="left")
+    return S.time_score(x).withColumn("kind", F.lit(kind))
+
+
 @query("time_score", "D13 S14 D11 D12", f"""
-with {D11_SQL}, {D12_SQL},
-x as (select p.id, p.author, d11.time_based, d12.comm_score
-      from tposts p
-      left join (select * from d11 where kind = 'post') d11 on p.author = d11.author and p.created_day = d11.created_day
-      left join d12 on p.author = d12.author and p.community_grp = d12.community_grp and p.month = d12.month),
-m as (select max(comm_score) mx from x)
-select id, author, round(time_based, 6) time_based, round(comm_score, 6) comm_score,
-       round(case when coalesce(mx, 0.0) * 0.5 <> 0
-                  then least(coalesce(comm_score, 0.0) / (coalesce(mx, 0.0) * 0.5), 1.0) else 0.0 end
-             + case when coalesce(time_based, 0.0) >= 0.01 then coalesce(time_based, 0.0) else 0.0 end, 6)
-         time_based_score
-from x, m""")
+with {D11_SQL}, {D12_SQL}, {D13_SQL}
+select kind, id, author, round(time_based, 6) time_based, round(comm_score, 6) comm_score,
+       round(time_based_score, 6) time_based_score
+from d13""")
 def time_score(spark, sf):
     tp, tr = _tagged(spark, sf, shared=True)
-    p = tp.select("id", "author", "created_day", "community_grp", "month")
-    d11 = _d11(spark, sf, tp, tr).filter(F.col("kind") == "post").select("author", "created_day", "time_based")
+    cols = ["author", "created_day", "community_grp", "month"]
+    d11 = _d11(spark, sf, tp, tr)
     d12 = _d12(spark, sf, tp, tr).select("author", "community_grp", "month", "comm_score")
-    x = p.join(d11, on=["author", "created_day"], how="left").join(d12, on=["author", "community_grp", "month"],
-                                                                   how="left")
-    return S.time_score(x).select("id", "author", "time_based", "comm_score", "time_based_score")
+    p = _time_scored(tp.select("id", *cols), "post", d11, d12)
+    r = _time_scored(tr.select(F.col("parent_id").alias("id"), *cols), "reply", d11, d12)
+    return p.unionByName(r).select("kind", "id", "author", "time_based", "comm_score", "time_based_score")
 
 
 @query("reply_interaction", "D14 W2 F15 J8", f"""
@@ -200,24 +247,65 @@ def integrated_rank(spark, sf):
     return S.integrated_rank(V.posts(spark, sf), V.replies(spark, sf), cols_p, cols_r, rw)
 
 
+FOUR = RankWeights(descending=True, components=(("sentiment", 50.0), ("pos", 4.0), ("graph", -0.5),
+                                                ("time_based", 3.0)))
+
+
+def _day_cells(rows, sentiment, text_id, pos):
+    """Rows of known authors reduced to (author, group, month, day) cells with
+    their count and mean row scores: the score lookups join cells, not rows."""
+    return V.known(rows).join(pos.withColumnRenamed("id", text_id), on=text_id, how="left") \
+        .groupBy("author", "community_grp", "month", "created_day").agg(
+            F.count(F.lit(1)).alias("_n"), F.avg(F.coalesce(F.col(sentiment), F.lit(0.0))).alias("sentiment"),
+            F.avg(F.coalesce(F.col("pos"), F.lit(0.0))).alias("pos"))
+
+
+@query("integrated_rank_weighted", "D18 D8 D13 D14 D15", f"""
+with {D11_SQL}, {D12_SQL}, {D13_SQL}, {D14_SQL}, {D15_SQL}, {_POS_BY_ID_SQL},
+u as (select d13.author, coalesce(sent, 0.0) * 2.0 sentiment, coalesce(ps.pos, 0.0) * 2.0 pos,
+             coalesce(d15.graph, 0.0) * 2.0 graph, time_based_score * 2.0 tb
+      from d13 left join ps using (id) left join d15 using (author, community_grp, month)
+      where kind = 'post' and d13.author is not null
+      union all
+      select d13.author, coalesce(sent, 0.0), coalesce(ps.pos, 0.0), coalesce(d14.graph, 0.0), time_based_score
+      from d13 left join ps using (id) left join d14 using (author, community_grp, month)
+      where kind = 'reply' and d13.author is not null),
+m as (select author, avg(sentiment) sentiment, avg(pos) pos, avg(graph) graph, avg(tb) tb from u group by author),
+s as (select author, 50.0 * sentiment + 4.0 * pos - 0.5 * graph + 3.0 * tb score from m),
+t as (select * from s order by round(score, 9) desc nulls last, author limit 500)
+select cast(row_number() over (order by round(score, 9) desc nulls last, author) as bigint) as rank, author,
+       round(score, 6) score from t""")
+def integrated_rank_weighted(spark, sf):
+    """D18 with a non-zero weight for each of its four components."""
+    keys = ["author", "community_grp", "month"]
+    tp, tr = _tagged(spark, sf, shared=True)
+    pos, d11 = _pos_by_id(spark, sf), _d11(spark, sf, tp, tr)
+    d12 = _d12(spark, sf, tp, tr).select(*keys, "comm_score")
+    p = _time_scored(_day_cells(tp, "sentiment_complex", "id", pos), "post", d11, d12)
+    r = _time_scored(_day_cells(tr, "sentiment", "parent_id", pos), "reply", d11, d12)
+    cols = {"sentiment": "sentiment", "pos": "pos", "graph": "graph", "time_based": "time_based_score"}
+    return S.integrated_rank(p.join(_d15(spark, sf, tp), on=keys, how="left"),
+                             r.join(_d14(spark, sf, tp, tr), on=keys, how="left"), cols, cols, FOUR, row_weight="_n")
+
+
 MULTI = RankWeights(descending=True, components=(("sentiment", 2.0), ("pos", 1.0), ("graph", -1.0),
                                                  ("time_based", -1.0)))
 
 
-@query("integrated_rank_multi", "D19 J7 D12 D14 D15", f"""
-with {D12_SQL}, {D14_SQL}, {D15_SQL},
+@query("integrated_rank_multi", "D19 J7 D8 D12 D14 D15", f"""
+with {D12_SQL}, {D14_SQL}, {D15_SQL}, {_POS_BY_ID_SQL},
 a as (select author, coalesce(cast(sentiment_complex as double), 0.0) * 2.0 sentiment from posts
        where author is not null
       union all
       select author, coalesce(cast(sentiment as double), 0.0) * 1.0 sentiment from replies where author is not null),
 ma as (select author, avg(sentiment) sentiment from a group by author),
-b as (select p.author, 0.0 * 2.0 pos, coalesce(d15.graph, 0.0) * 2.0 graph, coalesce(d12.comm_score, 0.0) * 2.0 tb
+b as (select p.author, coalesce(ps.pos, 0.0) * 2.0 pos, coalesce(d15.graph, 0.0) * 2.0 graph, coalesce(d12.comm_score, 0.0) * 2.0 tb
       from cposts p left join d15 using (author, community_grp, month)
-      left join d12 using (author, community_grp, month)
+      left join d12 using (author, community_grp, month) left join ps on ps.id = p.id
       union all
-      select r.author, 0.0 * 1.0 pos, coalesce(d14.graph, 0.0) * 1.0 graph, coalesce(d12.comm_score, 0.0) * 1.0 tb
+      select r.author, coalesce(ps.pos, 0.0) * 1.0 pos, coalesce(d14.graph, 0.0) * 1.0 graph, coalesce(d12.comm_score, 0.0) * 1.0 tb
       from creplies r left join d14 using (author, community_grp, month)
-      left join d12 using (author, community_grp, month)),
+      left join d12 using (author, community_grp, month) left join ps on ps.id = r.parent_id),
 mb as (select author, avg(pos) pos, avg(graph) graph, avg(tb) tb from b group by author),
 m as (select coalesce(ma.author, mb.author) author, coalesce(sentiment, 0.0) sentiment, coalesce(pos, 0.0) pos,
              coalesce(graph, 0.0) graph, coalesce(tb, 0.0) tb
@@ -233,11 +321,13 @@ def integrated_rank_multi(spark, sf):
     d12 = _d12(spark, sf, tp, tr).select(*keys, "comm_score")
     # the cohort lookup of cposts/creplies only drops null authors here: a filter does that
     # rows collapse to (author, group, month) cells with their row count before the score lookups
-    cp = V.known(tp).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    cr = V.known(tr).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pos = _pos_by_id(spark, sf)
+    n = [F.count(F.lit(1)).alias("_n"), F.avg(F.coalesce(F.col("pos"), F.lit(0.0))).alias("pos")]
+    cp = V.known(tp).join(pos, on="id", how="left").groupBy(*keys).agg(*n)
+    cr = V.known(tr).join(pos.withColumnRenamed("id", "parent_id"), on="parent_id", how="left").groupBy(*keys).agg(*n)
     sp = cp.join(_d15(spark, sf, tp), on=keys, how="left").join(d12, on=keys, how="left")
     sr = cr.join(_d14(spark, sf, tp, tr), on=keys, how="left").join(d12, on=keys, how="left")
-    std = {"pos": None, "graph": "graph", "time_based": "comm_score"}
+    std = {"pos": "pos", "graph": "graph", "time_based": "comm_score"}
     return S.integrated_rank_multi(tp, tr, sp, sr, ("sentiment_complex", "sentiment"), std, MULTI, std_weight="_n")
 
 
@@ -261,26 +351,16 @@ select rank, author, round(integrated_score, 6), 'reply', community, null::varch
        score, null::double, null::double, round(sentiment, 6)
 from replies join rk using (author)""")
 def ranked_activity(spark, sf):
-    ranking = S.sentiment_rank(V.posts(spark, sf), V.replies(spark, sf), rw=RANK)
-    d = V.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext")
-    p = V.posts(spark, sf).join(d, on="id", how="left")
+    # the ranking cuts the posts, and their ids the texts, before any text moves
+    ranking = materialize(S.sentiment_rank(V.posts(spark, sf), V.replies(spark, sf), rw=RANK), "ranking")
+    p = V.posts(spark, sf).join(F.broadcast(ranking.select("author")), on="author", how="left_semi")
+    d = V.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext") \
+        .join(p.select("id"), on="id", how="left_semi")
+    p = p.join(d, on="id", how="left")
     return S.ranked_activity(ranking, p, V.replies(spark, sf), post_text="title", post_selftext="selftext")
 
 
 # ---------------------------------------------------------------- D8-D10 language scores
-def _x_text(spark, sf):
-    x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
-    return T.with_text_arrays(x, "txt", LEX)
-
-
-_XT_SQL = f"""xt as (select *, {Q.tags('toks', LEX)} tags from (
-  select *, {Q.tokens('txt')} toks from (select *, {Q.post_text('title', 'selftext')} txt from xtexts)))"""
-_FPS_SQL = Q.ratio(Q.count_in(Q.pronoun_words("toks", LEX), LEX.first_singular), "len(toks)")
-_POS_SQL = (f"case when not {Q.is_blank('txt')} then 0.0 + -1.5 * {Q.pos_ratio_cols('toks', 'tags')['noun_ratio']}"
-            f" + 1.0 * {_FPS_SQL} + 2.0 * cast({Q.keyword('txt', LEX.keywords)} as double)"
-            f" + 0.005 * cast(len(toks) as double) end")
-
-
 @query("pos_score", "D8 F8 F9 F10", f"""
 with {_XT_SQL}
 select id, cohort, community_grp, round({_POS_SQL}, 6) pos_score from xt""")

@@ -208,3 +208,33 @@ def test_compound_sentiment(spark):
     got = [r[0] for r in df.select(T.compound_sentiment(T.tokens("t"), LEX)).collect()]
     assert got[0] == pytest.approx(1.5 / math.sqrt(1.5 ** 2 + 15))
     assert got[1] == 0.0
+
+
+def test_tagger_argument(spark):
+    df = spark.createDataFrame([("the cat",), ("",), (None,)], "txt string")
+    out = T.with_text_arrays(df, "txt", LEX, tagger=lambda toks: F.transform(toks, lambda t: F.lit("NN")))
+    assert [r["_tags"] for r in out.collect()] == [["NN", "NN"], [], []]
+
+
+def test_epoch_reject_reasons(spark):
+    df = spark.createDataFrame([(None,), ("",), (" ",), ("x",), ("0",), ("86400",)], "e string")
+    got = [(r["r"], r["m"]) for r in df.select(TM.epoch_reject(F.col("e")).alias("r"),
+                                               TM.month_tag(F.col("e")).alias("m")).collect()]
+    assert got == [("missing", None)] * 3 + [("not a number", None), ("zero", None), (None, "1970-01")]
+
+
+def test_user_texts_order_nulls_and_copies(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 2, "y"), (None, 1, "n"), ("b", 5, None)],
+                               "author string, at long, txt string")
+    got = sorted(((r["author"] or "", r["position"], r["txt"]) for r in A.user_texts(df, "author", ["at"], "txt")
+                  .collect()), key=str)
+    assert got == sorted([("", 1, "n"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "y"), ("b", 1, None)], key=str)
+
+
+def test_integrated_rank_cells_equal_rows(spark):
+    posts = spark.createDataFrame([("u", 0.5), ("u", 0.5), ("v", None)], "author string, s double")
+    replies = spark.createDataFrame([("u", 0.2), ("v", 0.4), ("v", 0.4)], "author string, s double")
+    cells = [d.groupBy("author", "s").agg(F.count(F.lit(1)).alias("n")) for d in (posts, replies)]
+    cols, rw = {"sentiment": "s"}, RankWeights()
+    a = rows(S.integrated_rank(posts, replies, cols, cols, rw))
+    assert a == rows(S.integrated_rank(*cells, cols, cols, rw, row_weight="n")) and len(a) == 2
