@@ -88,8 +88,8 @@ def _hashes(raw: bytes, width: int) -> list[int]:
                                                      ends[width - 1:].tolist())]
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int, more: tuple = ()) -> DataFrame:
+    """(doc_id, fp long, ``more``: long columns of ``docs``) of every row."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -100,9 +100,10 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFra
                 counts = np.array([len(x) for x in per], np.int64)
                 flat = np.array([h for x in per for h in x], U)
                 fp = fingerprint_words(flat, counts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]],
+                                                 ["doc_id", "fp", *more])
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *more) \
+        .mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 # ---------------------------------------------------------------- candidates
@@ -211,22 +212,36 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints (``fp`` and other columns) with the smallest
+    fingerprint of their component as ``root``, stored."""
+    edges = links(distinct.select("fp"), max_bits)
+    roots = components(edges, "a", "b")
+    return C.store(distinct.join(roots, distinct.fp == roots.node, "left")
+                   .select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "op10-tied")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        width: int = 3, max_bits: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id): one row per input row; ``component_id`` is
     the smallest id that links reach.  See the module head."""
     rows = C.store(fingerprints(docs, doc_id, text, width), "op10-fp")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(distinct.select("fp"), max_bits)
-    roots = components(edges, "a", "b")
-    tied = distinct.join(roots, distinct.fp == roots.node, "left") \
-        .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    tied = C.store(tied, "op10-tied")
+    tied = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), max_bits)
     named = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     of = tied.join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def simhash_representatives(docs: DataFrame, marks: tuple, doc_id: str = "doc_id", text: str = "text",
+                            width: int = 3, max_bits: int = 3) -> DataFrame:
+    """(doc_id, ``marks``): one row per component, that of its smallest id (null
+    ids last), then of its smallest ``marks`` (long columns that tell rows apart)."""
+    rows = C.store(fingerprints(docs, doc_id, text, width, marks), "op10-fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)
+    tied = _rooted(rows.groupBy("fp").agg(F.min(order).alias("best")), max_bits)
+    return tied.groupBy("root").agg(F.min("best").alias("best")).select(*(f"best.{c}" for c in ("doc_id", *marks)))
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     out = simhash_components(C.table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.mixing import mixture, words_of
 from cohortlens.llm.quality import quality
 from cohortlens.llm.sharding import shard
-from cohortlens.llm.simhash import simhash_components
+from cohortlens.llm.simhash import simhash_representatives
 
 ORACLE_SQL = None
 
@@ -31,16 +31,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest id.  Rows
-    without an id are kept only if their whole component has none; of rows that
-    share the smallest id, the one of the smallest text hash stays."""
-    tied = simhash_components(docs).select(F.col("doc_id").alias("d"), "component_id") \
-        .filter(F.col("d").eqNullSafe(F.col("component_id"))).distinct()
-    hashed = docs.withColumn("__h", F.xxhash64(*docs.columns))
-    first = hashed.join(tied, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    best = first.groupBy("doc_id").agg(F.min("__h").alias("__m")).withColumnRenamed("doc_id", "__d")
-    one = first.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__m")), "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each SimHash component: the one of the smallest id.  A row
+    without an id is kept only if its whole component has none; of rows that share
+    the smallest id, the one of the smallest text and row hashes stays."""
+    # xxhash64 passes over nulls, so the row hash is told where they are
+    hashed = docs.withColumn("__t", F.xxhash64("text")) \
+        .withColumn("__h", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    best = simhash_representatives(hashed, ("__t", "__h")).toDF("__d", "__bt", "__bh")
+    one = hashed.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__bt"))
+                      & (F.col("__h") == F.col("__bh")), "left_semi")
+    return one.dropDuplicates(["doc_id", "__t", "__h"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
