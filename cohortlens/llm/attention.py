@@ -20,6 +20,7 @@ INPUTS = 1024
 ALONE = 104
 GROUPS = 16
 BATCH = 64
+PASS_BATCH = 512
 F32 = np.float32
 
 
@@ -109,6 +110,54 @@ def class_logs(m, x):
         yield a, z, np.log(np.exp(z) @ ones)
 
 
+def _spread(ids, grad):
+    """Sums of gradient rows by input symbol."""
+    order = np.argsort(ids, kind="stable")
+    s = ids[order]
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    out = np.zeros((INPUTS + 1, WIDTH), F32)
+    out[s[begin]] = np.add.reduceat(grad.reshape(-1, WIDTH)[order], begin, axis=0)
+    return out[:INPUTS]
+
+
+def gradients(m, x: np.ndarray, y: np.ndarray) -> dict:
+    """Mean loss gradients on windows ``x`` with classes ``y`` (-1: not scored)."""
+    q, k, v, s, h = _forward(m, _tables(m), x)
+    flat, yb = h.reshape(-1, WIDTH), y.reshape(-1)
+    z = flat @ m["u"]
+    z += m["b"]
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z, out=z)
+    p /= p.sum(1, keepdims=True)
+    ok = yb >= 0
+    p[np.flatnonzero(ok), yb[ok]] -= 1
+    p[~ok] = 0
+    p /= F32(max(1, ok.sum()))
+    g = {"u": flat.T @ p, "b": p.sum(0)}
+    dh = (p @ m["u"].T).reshape(h.shape)
+    dv = np.matmul(s.transpose(0, 2, 1), dh)
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= (ds * s).sum(2, keepdims=True)
+    ds *= s
+    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+    own, every = x[:, STEP:].reshape(-1), x.reshape(-1)
+    return g | {"q": _spread(own, dq), "e": _spread(own, dh), "k": _spread(every, dk), "v": _spread(every, dv),
+                "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), 2 * STEP).astype(F32)}
+
+
+class Adam:
+    def __init__(self, m):
+        self.t, self.first, self.second = 0, *({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+
+    def step(self, m, g, lr):
+        self.t += 1
+        a, b = 1 - 0.9 ** self.t, 1 - 0.99 ** self.t
+        for name, d in g.items():
+            self.first[name] += F32(0.1) * (d - self.first[name])
+            self.second[name] += F32(0.01) * (d * d - self.second[name])
+            m[name] = m[name] - F32(lr / a) * self.first[name] / (np.sqrt(self.second[name] * F32(1 / b)) + F32(1e-6))
+
+
 def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01, seed: int = 0) -> dict:
     """Adam on windows ``x`` with classes ``y`` (windows, STEP; -1: not scored)."""
     m = start_model(seed)
@@ -118,43 +167,37 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 128, rat
     c = ALONE + GROUPS
     m["b"] = np.log((np.bincount(known, minlength=c) + 1.0) / (len(known) + c)).astype(F32)
     r = np.random.default_rng(seed + 1)
-    m1 = {k: np.zeros_like(v) for k, v in m.items()}
-    m2 = {k: np.zeros_like(v) for k, v in m.items()}
+    adam = Adam(m)
     for t in range(1, steps + 1):
         pick = r.integers(0, len(x), batch)
-        xb, yb = x[pick], y[pick].reshape(-1)
-        q, k, v, s, h = _forward(m, _tables(m), xb)
-        flat = h.reshape(-1, WIDTH)
-        z = flat @ m["u"] + m["b"]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        ok = yb >= 0
-        p[np.flatnonzero(ok), yb[ok]] -= 1
-        p[~ok] = 0
-        p /= max(1, ok.sum())
-        g = {"u": flat.T @ p, "b": p.sum(0)}
-        dh = (p @ m["u"].T).reshape(h.shape)
-        dv = np.matmul(s.transpose(0, 2, 1), dh)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        own = xb[:, STEP:].reshape(-1)
-        every = xb.reshape(-1)
-
-        def spread(ids, grad):
-            out = np.zeros((INPUTS + 1, WIDTH), F32)
-            np.add.at(out, ids, grad.reshape(-1, WIDTH))
-            return out[:INPUTS]
-        g |= {"q": spread(own, dq), "e": spread(own, dh), "k": spread(every, dk), "v": spread(every, dv),
-              "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), 2 * STEP).astype(F32)}
-        lr = rate * min(1, t / 20) * (1 - t / (steps + 1)) ** 0.5
-        for name in m:
-            m1[name] = 0.9 * m1[name] + 0.1 * g[name]
-            m2[name] = 0.99 * m2[name] + 0.01 * g[name] ** 2
-            m[name] = (m[name] - lr * (m1[name] / (1 - 0.9 ** t)) / (np.sqrt(m2[name] / (1 - 0.99 ** t)) + 1e-6)).astype(F32)
+        adam.step(m, gradients(m, x[pick], y[pick]), rate * min(1, t / 20) * (1 - t / (steps + 1)) ** 0.5)
+    return m
+
+
+def go_on(m: dict, x: np.ndarray, y: np.ndarray, rate: float, seed: int, batch: int | None = None) -> dict:
+    """``m`` after one pass over all windows in a seeded order, each used once; a
+    short pass takes smaller steps, about two hundred of them."""
+    m, adam = dict(m), Adam(m)
+    batch = batch or min(PASS_BATCH, max(16, len(x) // 200))
+    order = np.random.default_rng(seed).permutation(len(x))
+    n = -(-len(x) // batch)
+    for t, pick in enumerate(np.array_split(order, n) if n else []):
+        adam.step(m, gradients(m, x[pick], y[pick]), rate * min(1, (t + 1) / 10))
     return m
 
 
+def packed(m: dict) -> np.ndarray:
+    return np.concatenate([m[k].reshape(-1) for k in sorted(m)]).astype(float)
+
+
+def unpacked(flat: np.ndarray) -> dict:
+    out, at = {}, 0
+    for k, v in sorted(start_model().items()):
+        out[k] = flat[at:at + v.size].reshape(v.shape).astype(F32)
+        at += v.size
+    return out
+
+
 def token_logs(m, codes: Codes, ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """Natural log probability of every id of documents that stand in a row; the
     input at a place is the id before it, ``start`` at the first.  Documents are

@@ -7,9 +7,13 @@ Texts are lower-cased (A-Z); tokens are words and one end.  Two parts:
   and answers the corpus count of each.  ``base_score`` is the add-one unigram.
 * **Attention.**  Words are cut into subword ids of a public vocabulary (each
   distinct word of a chunk once).  A causal self-attention model (``attention.py``)
-  is trained in numpy on the beginnings of at most ``TRAIN_DOCS`` training
-  documents; the shares of ids inside its classes are counts over all training
-  documents.  Overlapping windows score each id once; a word's probability is the
+  learns from every id of every training document: the chunks are dealt over
+  ``ROUNDS`` rounds; in a round the tasks pass once over all windows of their
+  chunks, each chunk from the round's parameters, and the next parameters are the
+  mean of the chunks', weighted by ids.  The first parameters are fitted on the
+  driver to the beginnings of at most ``TRAIN_DOCS`` training documents; this only
+  starts the passes.  The shares of ids inside its classes are counts over all
+  training documents.  Overlapping windows score each id once; a word's probability is the
   product over its ids.
 
 ``score`` mixes both for each token: log10(``MIX`` * add-one share + (1 - ``MIX``) *
@@ -45,6 +49,9 @@ from .registry import query
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TRAIN_DOCS = 3000
 TRAIN_IDS = 512
+ROUNDS = 3
+RATE = 0.02  # of the first round; falls to a third in the last
+SUMS = 32
 MIX = 0.5
 END = 50256  # an id that the vocabulary file leaves free
 IDS = END + 1
@@ -214,7 +221,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
         .mapInArrow(beginnings, "h long, id long, ids binary").orderBy("h", "id", "ids").limit(TRAIN_DOCS).collect()
     codes = A.Codes(counts, begins_word(raw))
     seqs = [np.frombuffer(r["ids"], np.int32) for r in sample]
-    model = A.start_model() if not seqs else _fit(codes, seqs)
+    model = _fit(codes, seqs) if seqs else A.start_model()
+    if learned:
+        model = _learn(words, codes, model, folds, held)
 
     def score(batches):
         for row, a in _rows(batches):
@@ -240,14 +249,59 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
                "base_score double, score double")
 
 
-def _fit(codes, seqs):
-    ids = np.concatenate(seqs)
-    first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+def _windows(codes, ids, first):
+    """Input windows of documents that stand in a row, and their classes."""
     symbols = np.empty(len(ids), np.int32)
     symbols[1:] = codes.symbol[ids[:-1]]
     symbols[first[:-1]] = codes.symbol[END]
     x, place = A.views(symbols, first, codes.symbol[END])
-    return A.train(x, np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1))
+    return x, np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1)
+
+
+def _fit(codes, seqs):
+    return A.train(*_windows(codes, np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])))
+
+
+SUM_SCHEMA = "task int, ids long, windows long, total binary"
+
+
+def _learn(words: DataFrame, codes, model: dict, folds: int, held: int) -> dict:
+    """``model`` after ``ROUNDS`` rounds that together pass once over all windows
+    of all training documents.  A task sends one sum of fixed size; sums are added
+    in ``SUMS`` groups, then in one."""
+    def passes(model, nth, rate):
+        def run(batches):
+            from pyspark import TaskContext
+            total, seen, windows = 0.0, 0, 0
+            for row, a in _rows(batches):
+                own = row["doc_ids"].as_py()
+                pick = np.array([k for k, i in enumerate(own) if _learned(i, folds, held)], np.int64)
+                if not len(pick):
+                    continue
+                ids, upto, *_ = _documents_ids(a, pick)
+                x, y = _windows(codes, ids, upto)
+                total = total + A.packed(A.go_on(model, x, y, rate, row["chunk"].as_py() % (1 << 31))) * len(ids)
+                seen, windows = seen + len(ids), windows + len(x)
+            if seen:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([seen], pa.int64()),
+                     pa.array([windows], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                    ["task", "ids", "windows", "total"])
+        return words.filter(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == nth) \
+            .select("chunk", "doc_ids", "first", "words", "lens", "ids").mapInArrow(run, SUM_SCHEMA)
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("ids", "ascending"), ("total", "ascending")])
+        total = sum(np.frombuffer(v.as_buffer(), float) for v in t.column("total"))
+        return pa.table({"task": pa.array([0], pa.int32()),
+                         **{c: pa.array([sum(t.column(c).to_pylist())], pa.int64()) for c in ("ids", "windows")},
+                         "total": pa.array([total.tobytes()], pa.binary())})
+    for nth in range(ROUNDS):
+        sums = passes(model, nth, RATE * 3.0 ** (-nth / max(1, ROUNDS - 1))) \
+            .groupBy("task").applyInArrow(add, SUM_SCHEMA).groupBy("task").applyInArrow(add, SUM_SCHEMA).first()
+        if sums:
+            model = A.unpacked(np.frombuffer(sums["total"], float) / sums["ids"])
+    return model
 
 
 @query("op8_lm_scoring")
