@@ -186,6 +186,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_
 
 @query("op7_quality_classifier")
 def op7(spark, sf_dir):
+    """documents has no URL: ``source`` takes the place of host, ``lang`` of path."""
     docs = C.table(spark, sf_dir, "documents")
     out = quality(docs, C.table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), keep=["doc_id"])
     return out.select("row.doc_id", "p_document", "p_host", "p_path", "score", "good")
