@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import (decontaminate, lm, mixing, quality, recompress, sharding, simhash,  # noqa: F401
+    from . import (decontaminate, exact_dedup, lm, mixing, quality, recompress, sharding, simhash,  # noqa: F401
                    suffix_dedup, topk, toxicity, pipeline_query)
 
 
