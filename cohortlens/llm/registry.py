@@ -16,8 +16,8 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import (decontaminate, exact_dedup, lm, mixing, quality, recompress, sharding, simhash,  # noqa: F401
-                   suffix_dedup, topk, toxicity, pipeline_query)
+    from . import (decontaminate, exact_dedup, hard_negatives, lm, mixing, quality, recompress, sharding, simhash,  # noqa: F401
+                   suffix_dedup, topk, toxicity, whitening, pipeline_query)
 
 
 def queries() -> dict:
