@@ -51,7 +51,7 @@ BLOCKS_A_GROUP = 32       # anchors of so many neighbouring blocks make a group
 ZONES = 256               # zone maps in a bundle
 BUNDLES_A_CELL = 4
 _TOP = float(1 << 40)
-_NONE = np.iinfo(np.int64).min
+_NONE = -np.iinfo(np.int64).max  # can be negated
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> list[bytes]:
@@ -112,7 +112,7 @@ def bounds(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, small: bool):
     """(lower, upper) bounds of the scores of every anchor in every zone."""
     if not small:
         shape = (len(a), len(lo))
-        return np.full(shape, _NONE), np.full(shape, -(_NONE + 1))
+        return np.full(shape, _NONE), np.full(shape, -_NONE)
     up, down = np.maximum(a, 0), np.minimum(a, 0)
     return products(up, lo, True) + products(down, hi, True), products(up, hi, True) + products(down, lo, True)
 
