@@ -1,4 +1,4 @@
-"""Model adaptors.
+"""Model adaptors.
 
 A *scorer* is a user-supplied factory: ``factory() -> predict`` where
 ``predict(list[str]) -> numpy array (n_texts, n_classes)`` of probabilities.
@@ -143,24 +143,3 @@ def emotions_long(df: DataFrame, key: str, vec: str, labels: Sequence[str] = EMO
     lab = F.array(*[F.lit(x) for x in labels])
     e = df.select(key, F.posexplode(vec).alias("pos", "p"))
     return e.select(key, F.element_at(lab, F.col("pos") + 1).alias("label"), "p")
-
-
-def topics(df: DataFrame, tokens_col: str, k: int = 10, max_iter: int = 15, top_terms: int = 5,
-           seed: int = 42) -> DataFrame:
-    """LDA topics (``pyspark.ml``: CountVectorizer + LDA) and the top terms of
-    each topic: (topic, term_rank, term, weight).  Every term
-    counts and every pass reads all texts.  MLlib keeps the vocabulary on the driver."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=tokens_col, outputCol="_features", vocabSize=2 ** 31 - 1, minDF=1.0)
-    cvm = cv.fit(df)
-    vec = cvm.transform(df).select("_features")
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="_features", optimizer="online",
-              subsamplingRate=1.0)
-    model = lda.fit(vec)
-    desc = model.describeTopics(top_terms)
-    vocab = df.sparkSession.createDataFrame(list(enumerate(cvm.vocabulary)), "termIndex int, term string")
-    z = desc.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("term_rank", "tw"))
-    return z.join(vocab, F.col("tw.termIndices") == F.col("termIndex")).select(F.col("topic").cast("bigint").alias("topic"), F.col("term_rank").cast("bigint").alias("term_rank"),
-                    "term",
-                    F.col("tw.termWeights").alias("weight"))
