@@ -112,6 +112,8 @@ def with_ctes(sql: str) -> str:
     if not names:
         return body
     defs = ",\n".join(f"{n} as ({CTES[n].strip()})" for n in names)
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {defs},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {defs},\n{body[5:]}"
     return f"with {defs}\n{body}"
