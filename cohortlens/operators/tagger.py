@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Lexicon
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 PIECE = 32
 LETTERS = 26
@@ -119,7 +119,8 @@ def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior:
     ship_package(df.sparkSession)
     m = model or start_model(lex)
     t, s = len(m.tags), len(m.emit)
-    rows = df.select(F.explode(pieces(F.transform(F.col(tokens), lambda x: symbol_of(x, lex)))).alias("p"))
+    rows = materialize(df.select(F.explode(pieces(F.transform(F.col(tokens), lambda x: symbol_of(x, lex)))).alias("p")),
+                       "tagger-pieces")
     trace = []
     for _ in range(passes):
         now = m

@@ -109,7 +109,8 @@ def _xtexts(spark, sf):
 def _tagged(spark, sf):
     x = _xtexts(spark, sf)
     model, _ = G.fit_tagger(x, "_toks", LEX, PASSES, PRIOR)
-    return x.withColumn("_tags", G.hmm_tagger(model, LEX)(F.col("_toks")))
+    # stored, so that no feature folds the path again
+    return materialize(x.withColumn("_tags", G.hmm_tagger(model, LEX)(F.col("_toks"))), "tagger-tags")
 
 
 @query("hmm_model", "D6", f"""{_training_sql()}
