@@ -68,7 +68,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module (each registers itself on import)."""
     from . import (q_relational, q_aggregates, q_windows, q_functions, q_reshape,  # noqa: F401
-                   q_scores, q_models, q_sources, q_streaming, q_sampling, q_tagger, q_classifier)
+                   q_scores, q_models, q_sources, q_streaming, q_sampling, q_tagger, q_classifier,
+                   q_sentences)
 
 
 def queries() -> dict[str, Builder]:
