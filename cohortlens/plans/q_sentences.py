@@ -1,11 +1,14 @@
-"""Queries: learned sentence boundaries."""
+"""Queries: learned sentence boundaries (F6), Treebank tokens (F5), sentiment with modifiers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sentiment as SE
 from ..functions import text as T
+from ..functions import treebank as TB
 from ..operators import sentences as SN
+from ..params import FIXTURE_LEXICON as LEX
 from ..session import materialize
 from . import sqltext as Q
 from . import views as V
@@ -75,12 +78,15 @@ def sentence_starters(spark, sf):
     return SN.starters(x, "txt", SN.top_types(SN.abbreviations(x, "txt")))
 
 
-@query("sentences_learned", "F6", f"""{_BASE},
+_SPLIT = f"""{_BASE},
 br as (select id, i, t, nx is not null and regexp_matches(t, '{ENDS}') and (
     not (suffix(t, '.') and coalesce(pt in (select type from short), false))
     or (regexp_matches(nx, '^[^a-zA-Z]*[A-Z]') and coalesce({_wtype('nx')} in (select type from starts), false))) ends from tt),
 pc as (select id, i, t, coalesce(sum(ends::int) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) k from br),
-ss as (select id, k, string_agg(t, ' ' order by i) s from pc group by id, k)
+ss as (select id, k, string_agg(t, ' ' order by i) s from pc group by id, k)"""
+
+
+@query("sentences_learned", "F6", f"""{_SPLIT}
 select tx.id, cast(count(s) as bigint) n_sentences, cast(coalesce(max(length(s)), 0) as bigint) longest,
        coalesce(md5(string_agg(s, chr(10) order by k)), '') digest
 from tx left join (select * from ss where regexp_matches(s, '[A-Za-z0-9]')) using (id) group by tx.id""")
@@ -92,3 +98,41 @@ def sentences_learned(spark, sf):
     return x.select("id", F.size(s).cast("bigint").alias("n_sentences"),
                     F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).cast("bigint").alias("longest"),
                     F.when(F.size(s) > 0, F.md5(F.encode(F.array_join(s, "\n"), "UTF-8"))).otherwise("").alias("digest"))
+
+
+@query("treebank_tokens", "F5", f"""{_SPLIT},
+tb as (select id, k, {TB.tokens_sql('s')} toks from ss where regexp_matches(s, '[A-Za-z0-9]'))
+select tx.id, cast(coalesce(sum(len(toks)), 0) as bigint) n_tokens,
+       coalesce(md5(string_agg(array_to_string(toks, ' '), ' ' order by k)), '') digest
+from tx left join tb using (id) group by tx.id""")
+def treebank_tokens(spark, sf):
+    """Every text's Treebank tokens, sentence by sentence: their number and a digest."""
+    x = _texts(spark, sf)
+    x = materialize(x.select("id", SN.split_sentences(F.col("txt"), *SN.learn(x, "txt")).alias("s")), "sentences")
+    x = x.select("id", TB.sentence_tokens(F.col("s")).alias("t"))
+    return x.select("id", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.when(F.size("t") > 0, F.md5(F.encode(F.array_join("t", " "), "UTF-8"))).otherwise("").alias("digest"))
+
+
+_COMPOUND = f"""with tx as (select cast(id as varchar) id, {Q.post_text('title', 'selftext')} txt from docs
+  union all select id, body from turns),
+{SE.compound_sql('tx', LEX.valence, SE.FIXTURE_MODIFIERS)}
+select id, round(s / sqrt(s * s + {SE.SCALE}), 6) compound from cp"""
+
+
+def _plain_texts(spark, sf):
+    d = V.docs(spark, sf).select(F.col("id").cast("string").alias("id"), T.post_text("title", "selftext").alias("txt"))
+    return d.unionByName(V.turns(spark, sf).select("id", F.col("body").alias("txt")))
+
+
+@query("compound_modifiers", "D5", _COMPOUND)
+def compound_modifiers(spark, sf):
+    """Compound sentiment of every text with negation, boosters, capitals, contrast and marks."""
+    return _plain_texts(spark, sf).select("id", SE.compound(F.col("txt"), LEX.valence, SE.FIXTURE_MODIFIERS).alias("compound"))
+
+
+@query("compound_table", "D5", _COMPOUND)
+def compound_table(spark, sf):
+    """The same with the lexicon as a joined table."""
+    lexicon = spark.createDataFrame([(w, float(v)) for w, v in LEX.valence], "word string, valence double")
+    return SE.with_table_compound(_plain_texts(spark, sf), "id", "txt", lexicon, SE.FIXTURE_MODIFIERS).select("id", "compound")
