@@ -182,6 +182,35 @@ def user_texts(df: DataFrame, key: str, order: Sequence[str], text: str) -> Data
         .select(key, (F.col("_at") - F.col("_base") + 1).alias("position"), text)
 
 
+def joined_text(df: DataFrame, key: str, order: Sequence[str], text: str, piece: int = 1 << 16) -> DataFrame:
+    """The text that the study joins per user (a space before every text), cut
+    into rows (key, piece from 0, txt) of ``piece`` characters, the last one shorter.
+
+    The place of a text in its user's string is a prefix sum in two steps: inside the
+    range partition that holds it, and over the partitions' sums of that user.  So a
+    user's texts never meet in one task; only the fragments of a piece do.  ``order``
+    and ``text`` make a total order but for equal rows."""
+    from ..session import materialize
+    s = F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+    cols = [key, *order, text]
+    rows = df.select(key, *order, text).repartitionByRange(*cols).sortWithinPartitions(*cols) \
+        .select(F.col(key).alias("_k"), s.alias("_s"), F.monotonically_increasing_id().alias("_mid"))
+    rows = materialize(rows, "joined-text").withColumn("_pid", F.shiftright("_mid", 33)) \
+        .withColumn("_n", F.length("_s").cast("bigint"))
+    inside = Window.partitionBy("_pid", "_k").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_pid", "_k").agg(F.sum("_n").alias("_sum"))
+    over = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(F.col("_pid").alias("_p"), F.col("_k").alias("_key"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    at = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))) \
+        .join(offs, (F.col("_pid") == F.col("_p")) & F.col("_k").eqNullSafe(F.col("_key"))) \
+        .select("_k", "_s", "_n", (F.col("_base") + F.col("_in")).alias("_at"))
+    parts = at.withColumn("piece", F.explode(F.expr(f"sequence(_at div {piece}, (_at + _n - 1) div {piece})")))
+    begin, end = F.greatest(F.col("_at"), F.col("piece") * piece), F.least(F.col("_at") + F.col("_n"), (F.col("piece") + 1) * piece)
+    parts = parts.select("_k", "piece", "_at", F.substring("_s", (begin - F.col("_at") + 1).cast("int"), (end - begin).cast("int")).alias("f"))
+    return parts.groupBy("_k", "piece").agg(F.sort_array(F.collect_list(F.struct("_at", "f"))).alias("_f")) \
+        .select(F.col("_k").alias(key), "piece", F.array_join(F.transform("_f", lambda x: x["f"]), "").alias("txt"))
+
+
 def exploded_counts(df: DataFrame, keys: Sequence[str], array_col: Column, item: str) -> DataFrame:
     """Explode an array of items and count per (keys, item).  Partial
     aggregation happens per map task right after the explode."""

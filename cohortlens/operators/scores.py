@@ -284,8 +284,8 @@ def integrated_rank_multi(sent_posts: DataFrame, sent_replies: DataFrame, std_po
 def ranked_activity(ranking: DataFrame, posts: DataFrame, replies: DataFrame,
                     post_text: str | None = None, post_selftext: str | None = None,
                     reply_text: str | None = None) -> DataFrame:
-    """Every post and reply of the ranked users, 12 columns, posts before
-    replies; post-only score columns are null on replies.
+    """Every post and reply of the ranked users, 12 columns, by rank, posts before
+    replies, then time; post-only score columns are null on replies.
 
     ``ranking`` is a ``limit(N)`` result, so broadcasting it is size-bounded;
     the activity tables stream past it without a shuffle.
@@ -307,4 +307,4 @@ def ranked_activity(ranking: DataFrame, posts: DataFrame, replies: DataFrame,
         txt(replies, reply_text).alias("text"), F.lit(None).cast("string").alias("selftext"), "created_utc",
         F.col("score").cast("bigint").alias("original_score"), F.lit(None).cast("double").alias("title_score"),
         F.lit(None).cast("double").alias("text_score"), F.col("sentiment").cast("double").alias("sentiment_score"))
-    return p.unionByName(r)
+    return p.unionByName(r).orderBy("rank", "activity_type", "created_utc")

@@ -159,6 +159,23 @@ def user_texts(spark, sf):
     return A.user_texts(t.unionByName(d), "author", ["kind", "id"], "txt")
 
 
+PIECE = 5000
+
+
+@query("user_joined_text", "A12", f"""
+with k as (select author, 'reply' kind, id, body txt from turns
+           union all select author, 'post', cast(id as varchar), {Q.post_text('title', 'selftext')} from docs),
+j as (select author, string_agg(' ' || coalesce(txt, ''), '' order by kind, id, txt) s from k group by author)
+select author, piece, substr(s, piece * {PIECE} + 1, {PIECE}) txt
+from (select author, s, unnest(range(0, cast(ceil(length(s) / {PIECE}.0) as bigint))) piece from j)""")
+def user_joined_text(spark, sf):
+    """The joined text per user, in pieces of a bounded number of characters."""
+    t = V.turns(spark, sf).select("author", F.lit("reply").alias("kind"), "id", F.col("body").alias("txt"))
+    d = V.docs(spark, sf).select("author", F.lit("post").alias("kind"), F.col("id").cast("string").alias("id"),
+                                 T.post_text("title", "selftext").alias("txt"))
+    return A.joined_text(t.unionByName(d), "author", ["kind", "id"], "txt", PIECE)
+
+
 @query("pos_counts", "A13 D6", f"""
 with {XTEXT_SQL}
 select cohort, community_grp, tag, count(*) n from (select cohort, community_grp, unnest(tags) tag from xt)

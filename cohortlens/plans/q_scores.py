@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import models as MD
 from ..operators import scores as S
 from ..params import RankWeights
 from . import views as V
@@ -33,6 +34,7 @@ def sentiment_rank(spark, sf):
 from ..functions import text as T  # noqa: E402
 from ..params import FIXTURE_GROUPS, FIXTURE_LEXICON as LEX  # noqa: E402
 from . import sqltext as Q  # noqa: E402
+from .q_models import SCORER, _p_sql  # noqa: E402
 
 # D14 (write rule) on fixture replies: authors with a post only
 D14_SQL = """d14r as (select *, case when score = 0 then 2.0 else cast(score as double) end s from treplies
@@ -331,7 +333,7 @@ def integrated_rank_multi(spark, sf):
     return S.integrated_rank_multi(tp, tr, sp, sr, ("sentiment_complex", "sentiment"), std, MULTI, std_weight="_n")
 
 
-@query("ranked_activity", "D20 J3 U1", """
+@query("ranked_activity", "D20 J3 U1 D3", f"""
 with u as (
   select author, coalesce(sentiment_complex * 2.0, 0.0) ws, 2.0 w, 1 p from posts
    where author is distinct from '[deleted]' and author is not null
@@ -343,21 +345,28 @@ t as (select author, score from g order by round(score, 9) nulls last, author li
 rk as (select cast(row_number() over (order by round(score, 9) nulls last, author) as bigint) as rank, author,
               score integrated_score from t)
 select rank, author, round(integrated_score, 6) integrated_score, 'post' activity_type, community,
-       d.title "text", d.selftext, created_utc, score original_score, null::double title_score,
-       null::double text_score, round(sentiment_complex, 6) sentiment_score
-from posts p join rk using (author) left join (select cast(id as varchar) id, title, selftext from docs) d using (id)
+       d.title "text", d.selftext, created_utc, score original_score, round(d.title_score, 6) title_score,
+       round(d.text_score, 6) text_score, round(sentiment_complex, 6) sentiment_score
+from posts p join rk using (author) left join (
+  select cast(id as varchar) id, title, selftext, {_p_sql('title')} title_score, {_p_sql('selftext')} text_score from docs) d using (id)
 union all
-select rank, author, round(integrated_score, 6), 'reply', community, null::varchar, null::varchar, created_utc,
+select rank, author, round(integrated_score, 6), 'reply', community, t.body, null::varchar, created_utc,
        score, null::double, null::double, round(sentiment, 6)
-from replies join rk using (author)""")
+from replies join rk using (author) left join turns t on t.id = replies.parent_id""")
 def ranked_activity(spark, sf):
     # the ranking cuts the posts, and their ids the texts, before any text moves
     ranking = materialize(S.sentiment_rank(V.posts(spark, sf), V.replies(spark, sf), rw=RANK), "ranking")
     p = V.posts(spark, sf).join(F.broadcast(ranking.select("author")), on="author", how="left_semi")
     d = V.docs(spark, sf).select(F.col("id").cast("string").alias("id"), "title", "selftext") \
         .join(p.select("id"), on="id", how="left_semi")
+    d = d.select("id", "title", "selftext", MD.post_scores(F.col("title"), F.col("selftext"), SCORER, 1).alias("s")) \
+        .select("id", "title", "selftext", "s.sentiment_title", "s.sentiment_text")
     p = p.join(d, on="id", how="left")
-    return S.ranked_activity(ranking, p, V.replies(spark, sf), post_text="title", post_selftext="selftext")
+    # a reply's text: the turn that its parent id names
+    r = V.replies(spark, sf).join(F.broadcast(ranking.select("author")), on="author", how="left_semi")
+    t = V.turns(spark, sf).select(F.col("id").alias("parent_id"), "body").join(r.select("parent_id"), "parent_id", "left_semi")
+    r = r.join(t, on="parent_id", how="left")
+    return S.ranked_activity(ranking, p, r, post_text="title", post_selftext="selftext", reply_text="body")
 
 
 # ---------------------------------------------------------------- D8-D10 language scores

@@ -10,11 +10,14 @@ written, read and compared.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources import files as FS
 from ..sources import sinks as SK
+from ..sources import skipping as SX
 from . import views as V
 from .catalog import query
 
@@ -213,3 +216,51 @@ def sink_layout(spark, sf):
     d = scratch_dir(spark, "layout")
     SK.write_layout(V.replies(spark, sf).select("link_id", "author", "score", "month"), d, tiebreak=("link_id",))
     return spark.read.parquet(d).filter(F.col("month") == "1997-06").select("link_id", "author", "score", "month")
+
+
+ROLL = 20_000
+
+
+@query("sink_rolling_bytes", "S9", "select id, author, score, true as within from posts")
+def sink_rolling_bytes(spark, sf):
+    """Every row read back, with whether its part's file keeps the bound (and one row more)."""
+    d = scratch_dir(spark, "rolling-bytes")
+    SK.write_rolling_bytes(V.posts(spark, sf).select("id", "author", "score"), d, ROLL)
+    rows = spark.read.schema("id string, author string, score bigint, roll string").option("header", True) \
+        .option("escape", '"').csv(d)
+    return rows.select("id", "author", "score", (F.col("_metadata.file_size") <= ROLL + 200).alias("within"))
+
+
+LOOK_UPS = {"created_day": "1997-06-01", "community": "1-URGENT/F", "parent_id": "1:1", "author": "u1"}
+
+
+def _indexed(spark, sf):
+    d = scratch_dir(spark, "indexed")
+    r = V.replies(spark, sf).select("link_id", "parent_id", "author", "created_day", "community", "score", "month")
+    SK.write_layout(r, f"{d}/rows", tiebreak=("link_id",))
+    SX.build_index(spark, f"{d}/rows", list(LOOK_UPS), f"{d}/index")
+    return f"{d}/rows", f"{d}/index"
+
+
+@query("index_lookup", "S15", " union all ".join(
+    f"select '{k}' as key_name, link_id, parent_id, author, created_day, community, score from replies where cast({k} as varchar) = '{v}'"
+    for k, v in LOOK_UPS.items()))
+def index_lookup(spark, sf):
+    """Rows found through the data-skipping index, for one value of every key."""
+    table, index = _indexed(spark, sf)
+    outs = [SX.look_up(spark, table, index, k, [v]).select(
+        F.lit(k).alias("key_name"), "link_id", "parent_id", "author", "created_day", "community", "score") for k, v in LOOK_UPS.items()]
+    return reduce(lambda a, b: a.unionByName(b), outs)
+
+
+@query("index_files", "S15")
+def index_files(spark, sf):
+    """For every key: the files that its look-up reads, those that hold the value, all files."""
+    table, index = _indexed(spark, sf)
+    per = spark.read.parquet(table).withColumn("file", F.col("_metadata.file_path"))
+    total = per.agg(F.count_distinct("file").alias("files_all"))
+    out = [(k, len(SX.files_for(spark, index, k, [v]))) for k, v in LOOK_UPS.items()]
+    read = spark.createDataFrame(out, "key_name string, files_read int")
+    holding = [per.filter(F.col(k).cast("string") == v).agg(F.count_distinct("file").alias("files_holding"))
+               .select(F.lit(k).alias("key_name"), "files_holding") for k, v in LOOK_UPS.items()]
+    return read.join(reduce(lambda a, b: a.unionByName(b), holding), "key_name").crossJoin(total)

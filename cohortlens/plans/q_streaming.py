@@ -54,6 +54,24 @@ def stream_score_new(spark, sf):
     return spark.read.parquet(f"{d}/scored")
 
 
+@query("stream_score_state", "T2 J9 D1", f"""
+select id, round({_p_sql("concat_ws(' ', title, case when selftext in ('[removed]', '[deleted]') then null else selftext end)")}, 6) score
+from docs where id not in (select doc_id from labels)""")
+def stream_score_state(spark, sf):
+    """The rows that the keyed-state form scores: run twice, the second run adds none."""
+    d = scratch_dir(spark, "stream-state")
+    V.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id")).write.parquet(f"{d}/seed")
+    V.docs(spark, sf).select("id", T.post_text("title", "selftext").alias("txt")).write.parquet(f"{d}/src")
+    stream = spark.readStream.schema("id bigint, txt string").parquet(f"{d}/src")
+    seed = spark.readStream.schema("id bigint").parquet(f"{d}/seed")
+
+    def score(rows):
+        return rows.select("id", MD.class_probability(F.col("txt"), MD.LengthScorer(), 1).alias("score"))
+    for _ in range(2):
+        ST.score_first_seen(stream, seed, "id", score, f"{d}/sink", f"{d}/ckpt")
+    return spark.read.parquet(f"{d}/sink")
+
+
 @query("stream_daily", "T3 A10", """
 with e as (select author, created_utc, created_utc - created_utc % 86400 d0 from ev),
 m as (select max(created_utc) mx from e)

@@ -36,6 +36,34 @@ def write_rolling(df: DataFrame, path: str, max_records: int, fmt: str = "csv",
     w.format(fmt).save(path)
 
 
+def write_rolling_bytes(df: DataFrame, path: str, max_bytes: int, mode: str = "overwrite") -> None:
+    """Quoted CSV parts of at most ``max_bytes`` bytes, header included, or of one
+    row more.  Within each task the encoded sizes are summed up and the rows cut at
+    every multiple of the bound; the parts are folders ``roll=task-number``.  A row
+    is never cut and no row is shuffled."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    header = len(",".join(f'"{c}"' for c in df.columns).encode()) + 1
+    room = max(1, max_bytes - header)
+    how = {"quoteAll": "true", "escape": '"'}
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]), how)
+    sized = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"),
+                      (F.octet_length(line) + 1).cast("long").alias("b"))
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+        task, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ends = before + np.cumsum(b.column("b").to_numpy())
+            starts = ends - b.column("b").to_numpy()
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array([f"{task}-{k}" for k in (starts // room).tolist()])], ["r", "roll"])
+    rows = sized.mapInArrow(cut, f"r {sized.schema['r'].dataType.simpleString()}, roll string")
+    rows.select("r.*", "roll").write.mode(mode).option("header", True).options(**how).partitionBy("roll").csv(path)
+
+
 def append_partitioned(df: DataFrame, path: str, partition_by: Sequence[str] = ("month",)) -> None:
     """Append to a table partitioned by month; rows are rebalanced on the
     partition columns first (a hot month is split), so files = months, not

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,6 +61,42 @@ def score_unscored(spark: SparkSession, stream: DataFrame, scored_path: str, key
     q.awaitTermination()
 
 
+def first_seen(stream: DataFrame, seed: DataFrame, key: str) -> DataFrame:
+    """The rows of ``stream`` whose ``key`` neither the stream ``seed`` nor an earlier
+    row had, as a stream: one boolean of keyed state says that a key is done, so no
+    batch reads what was scored before.  Of a key's rows in one batch the smallest
+    counts.  Rows without a key are one key."""
+    from ..session import ship_package
+    ship_package(stream.sparkSession)
+    rest = [c for c in stream.columns if c != key]
+    fields = {f.name: f.dataType for f in stream.schema.fields}
+    known = seed.select(F.col(key).cast(fields[key]), *[F.lit(None).cast(fields[c]).alias(c) for c in rest], F.lit(True).alias("_done"))
+    both = stream.select(key, *rest, F.lit(False).alias("_done")).unionByName(known)
+
+    def step(k, frames, state):
+        done, best = state.exists, None
+        for f in frames:
+            done = done or bool(f["_done"].any())
+            new = f[~f["_done"]]
+            if not done and len(new):
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(rest, kind="stable").head(1) if rest else best.head(1)
+        state.update((True,))
+        if not done and best is not None:
+            yield best[[key, *rest]]
+    shape = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in [key, *rest])
+    out = both.groupBy(key).applyInPandasWithState(step, shape, "done boolean", "append", "NoTimeout")
+    # a filter that holds always: it puts the rows into the form that a pandas UDF behind it needs
+    return out.filter(F.spark_partition_id() >= 0)
+
+
+def score_first_seen(stream: DataFrame, seed: DataFrame, key: str, score: Callable[[DataFrame], DataFrame],
+                     sink_path: str, checkpoint: str) -> None:
+    """Score every key once, with keyed state instead of a look at all scores.
+    ``seed`` streams the keys scored beforehand; the scores are appended to ``sink_path``."""
+    run_available_now(score(first_seen(stream, seed, key)), sink_path, checkpoint)
+
+
 def daily_activity(stream: DataFrame, ts: str = "event_time", key: str = "author", delay: str = "1 hour") -> DataFrame:
     """Per (author, UTC day) counts; a day is final once the watermark
     (latest event time minus ``delay``) passes its end."""
