@@ -45,7 +45,7 @@ def write_rolling_bytes(df: DataFrame, path: str, max_bytes: int, mode: str = "o
     ship_package(df.sparkSession)
     header = len(",".join(f'"{c}"' for c in df.columns).encode()) + 1
     room = max(1, max_bytes - header)
-    how = {"quoteAll": "true", "escape": '"'}
+    how = {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     line = F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]), how)
     sized = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"),
                       (F.octet_length(line) + 1).cast("long").alias("b"))
