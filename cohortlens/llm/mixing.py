@@ -89,7 +89,7 @@ def mixture(docs: DataFrame, source: Column, size: Column, key: list[Column], we
     at_border = F.coalesce((F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2")), F.lit(False))
     before = F.coalesce((F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & (F.col("c2") < F.col("b2"))), F.lit(False))
     columns = ["row", "size", "source_size", "target"]
-    plain = got.filter(~at_border).select(*columns, (F.col("whole") + before.cast("long")).cast("int").alias("times"))
+    plain = got.filter(~at_border).select(*columns, F.least(F.lit(max_epochs), F.col("whole") + before.cast("long")).cast("int").alias("times"))
     run = Window.partitionBy("source").orderBy("h", "size", "c2").rowsBetween(Window.unboundedPreceding, 0)
     edge = got.filter(at_border).withColumn("middle", F.sum("size").over(run) - F.col("size") / 2) \
         .select(*columns, (F.col("whole") + ((F.col("size") > 0) & (F.col("middle") <= F.col("last"))).cast("long"))
