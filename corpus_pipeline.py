@@ -6,7 +6,12 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps of ``docs``
 as the next stage's ``docs``.  The stages call the operators of ``cohortlens.llm``.
 
 SQL cannot express the stages (fitted classifier, XXH64 fingerprints, seeded
-orders), so ``ORACLE_SQL`` is None and tests hold the run against brute force.
+orders), so ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` holds the stages
+against plain Python and the run against its stages.
+
+Columns of documents beside the five are carried through, whatever their names.  A
+null text is an empty one, a null id or source a value like any other; rows that
+repeat are one SimHash group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,20 +39,23 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each SimHash component: the one of the smallest id.  A row
     without an id is kept only if its whole component has none; of rows that share
     the smallest id, the one of the smallest text and row hashes stays."""
+    t, h = C.fresh(docs, "text_hash"), C.fresh(docs, "row_hash")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     # xxhash64 passes over nulls, so the row hash is told where they are
-    hashed = docs.withColumn("__t", F.xxhash64("text")) \
-        .withColumn("__h", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
-    best = simhash_representatives(hashed, ("__t", "__h")).toDF("__d", "__bt", "__bh")
-    one = hashed.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__bt"))
-                      & (F.col("__h") == F.col("__bh")), "left_semi")
-    return one.dropDuplicates(["doc_id", "__t", "__h"]).select(*docs.columns)
+    hashed = docs.withColumn(t, F.xxhash64("text")).withColumn(h, F.xxhash64(*own, *(c.isNull() for c in own)))
+    best = simhash_representatives(hashed, (t, h))
+    best = best.toDF(*(C.fresh(hashed, f"best_{k}") for k in ("id", "text", "row")))
+    d, bt, bh = (F.col(c) for c in best.columns)
+    one = hashed.join(best, F.col("doc_id").eqNullSafe(d) & (F.col(t) == bt) & (F.col(h) == bh), "left_semi")
+    return one.dropDuplicates(["doc_id", t, h]).select(*own)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no benchmark window."""
+    d, t = C.fresh(docs, "hit_id"), C.fresh(docs, "hit_text")
     hit = decontaminate(docs, C.table(spark, sf_dir, "benchmark")).filter("n_hit > 0") \
-        .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+        .select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +66,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``shard`` and ``slot`` (columns of documents first)."""
-    return shard(docs).select("row.*", "shard", "slot")
+    """The documents with ``shard`` and ``slot`` (columns of documents first); a column
+    of documents that has such a name keeps it, and the new one gets another."""
+    return shard(docs).select("row.*", F.col("shard").alias(C.fresh(docs, "shard")), F.col("slot").alias(C.fresh(docs, "slot")))
 
 
 STAGES = [
