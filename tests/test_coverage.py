@@ -40,4 +40,4 @@ def test_every_listed_query_name_is_registered():
 
 
 def test_oracle_for_all_but_iterative():
-    assert set(catalog.queries()) - set(E.oracle_sql()) == {"topics"}
+    assert set(catalog.queries()) - set(E.oracle_sql()) == {"index_files"}
