@@ -68,9 +68,11 @@ def compound_of(text: Column, valence, mods: Modifiers = Modifiers()) -> Column:
         return F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
 
     def scored(w):  # w: array<struct<upper, low, v>>
-        mixed = F.exists(w, lambda x: x["upper"]) & F.exists(w, lambda x: ~x["upper"])
-        but = F.array_position(F.transform(w, lambda x: _in(mods.contrast, x["low"])), F.lit(True))
+        of_text = F.struct((F.exists(w, lambda x: x["upper"]) & F.exists(w, lambda x: ~x["upper"])).alias("mixed"),
+                           F.array_position(F.transform(w, lambda x: _in(mods.contrast, x["low"])), F.lit(True)).alias("but"))
+        return _once(of_text, lambda c: summed(w, c["mixed"], c["but"]))
 
+    def summed(w, mixed, but):
         def word(x, i):
             start = F.when(mixed & x["upper"], x["v"] + F.signum(x["v"]) * CAPITALS).otherwise(x["v"])
 
