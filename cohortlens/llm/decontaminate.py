@@ -220,7 +220,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-@query("op9_winnowing_decontamination")
+@query("op9_winnowing_decontamination", """
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), k AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM (SELECT item, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0))
+), p AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k))
+), f AS (SELECT DISTINCT doc_id, p.n, i, item FROM p JOIN k ON k.k = p.k AND k.n = p.n),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS j FROM f) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+""")
 def op9(spark, sf_dir):
     out = decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

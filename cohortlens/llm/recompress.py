@@ -176,7 +176,24 @@ def recompression_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return _remove(C.with_answers(chunks, replies), width)
 
 
-@query("op4_recompression_dedup")
+@query("op4_recompression_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), m AS (SELECT k, min(doc_id) AS lo FROM p GROUP BY k),
+h AS (
+  SELECT DISTINCT doc_id, i + j AS i
+  FROM (SELECT p.doc_id, p.i, unnest(range(0, 13)) AS j FROM p JOIN m USING (k) WHERE m.lo < p.doc_id)
+), t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+r AS (
+  SELECT t.doc_id, count(h.i) AS n_removed, string_agg(t.word, ' ' ORDER BY t.i) FILTER (WHERE h.i IS NULL) AS kept
+  FROM t LEFT JOIN h ON h.doc_id = t.doc_id AND h.i = t.i GROUP BY t.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+""")
 def op4(spark, sf_dir):
     return recompression_dedup(C.table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
