@@ -32,7 +32,7 @@ def _ev(spark, sf):
 select id, author, created_utc, community, score, parent_id, null::varchar title from ev""")
 def scan_ndjson_declared(spark, sf):
     d = scratch_dir(spark, "ndjson-declared")
-    _ev(spark, sf).write.option("compression", "gzip").json(d)
+    SK.write_zstd_ndjson(_ev(spark, sf), d, window_log=20)  # within the JVM codec's window
     # declared schema: `title` is not in the files (null); no other key is read
     return FS.read_ndjson(spark, d, EV_DECLARED + ", title string")
 
@@ -57,6 +57,34 @@ def scan_ndjson_longwindow(spark, sf):
     return FS.read_zstd_long_window(spark, d, EV_DECLARED)
 
 
+FRAME = 10_000
+
+
+@query("scan_zstd_frames", "S3", """
+select id, author, created_utc, community, score, parent_id, null::varchar reason, true as side_by_side from ev
+ where cast(id as bigint) % 83 <> 0 and cast(id as bigint) % 79 <> 0
+union all
+select id, null, null, null, null, null, case when cast(id as bigint) % 83 = 0 then 'bytes' else 'json' end, true from ev
+ where cast(id as bigint) % 83 = 0 or cast(id as bigint) % 79 = 0""")
+def scan_zstd_frames(spark, sf):
+    """Files of many frames that end in mid-line, with lines that are no UTF-8 or no
+    JSON: the rows, the bad lines, and whether more tasks than files read them."""
+    d = scratch_dir(spark, "ndjson-frames")
+    e, k = _ev(spark, sf), F.col("id").cast("bigint")
+    line = F.when(k % 83 == 0, F.concat(F.unhex(F.lit("FF")), F.col("id").cast("binary"))) \
+        .when(k % 79 == 0, F.concat(F.lit("{"), "id").cast("binary")) \
+        .otherwise(F.to_json(F.struct(*e.columns)).cast("binary"))
+    SK.write_zstd_lines(e.select(line.alias("value")), d, frame_bytes=FRAME)
+    good, bad = FS.read_zstd_checked(spark, d, EV_DECLARED, group_bytes=FRAME)
+    lines = FS.read_zstd_lines(spark, d, group_bytes=FRAME)
+    side = lines.select("file", F.spark_partition_id().alias("task")).agg(
+        (F.count_distinct("task") > F.count_distinct("file")).alias("side_by_side"))
+    rest = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns if c != "id"]
+    digits = F.regexp_extract(F.substring("value", 2, 1 << 30).cast("string"), "[0-9]+", 0)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        bad.select(digits.alias("id"), *rest, "reason")).crossJoin(F.broadcast(side))
+
+
 POST_COLS = ["id", "author", "created_utc", "community", "score", "num_comments", "sentiment_complex"]
 POST_SCHEMA = ("id string, author string, created_utc bigint, community string, score bigint, "
                "num_comments bigint, sentiment_complex double")
@@ -99,7 +127,8 @@ def scan_nul_filter(spark, sf):
     flag = F.when(k % 89 == 0, F.lit("a\x00b")).when(k % 3 == 0, F.concat(F.lit('a"b\n'), "id")).otherwise(F.lit("ok"))
     p.select("id", "author", flag.alias("flag")).write.option("header", True).option("escape", '"') \
         .option("quoteAll", True).option("nullValue", SK.NULL_MARK).csv(d)
-    rows, report = FS.read_csv_without_nul(spark, d, "id string, author string, flag string", null_value=SK.NULL_MARK)
+    rows, report = FS.read_csv_without_nul(spark, d, "id string, author string, flag string", multiline=True,
+                                            null_value=SK.NULL_MARK)
     total = report.agg(F.sum("skipped").alias("skipped"))
     return rows.withColumn("skipped", F.lit(None).cast("bigint")).unionByName(
         total.select(F.lit("report").alias("id"), F.lit(None).cast("string").alias("author"),

@@ -175,11 +175,18 @@ def write_layout(df: DataFrame, path: str, partition_by: str = "month", sort_by:
 
 
 def write_zstd_ndjson(df: DataFrame, directory: str, window_log: int = 31, level: int = 3,
-                      prefix: str = "part") -> None:
+                      prefix: str = "part", frame_bytes: int | None = None) -> None:
     """Archive writer: each task streams its rows as JSON lines into one .zst
     file with a ``window_log`` window (frame without content size, so readers
-    need the long window).  Used to produce test archives."""
-    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    need the long window).  With ``frame_bytes`` a frame ends after that many
+    bytes, in mid-line too.  Used to produce test archives."""
+    write_zstd_lines(df.select(F.to_json(F.struct(*df.columns)).cast("binary").alias("value")), directory,
+                     window_log, level, prefix, frame_bytes)
+
+
+def write_zstd_lines(lines: DataFrame, directory: str, window_log: int = 31, level: int = 3,
+                     prefix: str = "part", frame_bytes: int | None = None) -> None:
+    """As ``write_zstd_ndjson`` for a column ``value`` of ready lines (binary)."""
     target = directory.rstrip("/")
 
     def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,16 +203,22 @@ def write_zstd_ndjson(df: DataFrame, directory: str, window_log: int = 31, level
         # one file per partition id: a re-run attempt replaces it with identical content
         name = f"{prefix}-{pid:05d}.json.zst"
         tmp = f"{base}/_tmp-{_u.uuid4().hex[:8]}-{name}"   # hidden from readers until complete
-        n = 0
+        n, room = 0, frame_bytes
         with fs.open_output_stream(tmp, compression=None) as fh:   # bytes as written (no extension codec)
             with cctx.stream_writer(fh, closefd=False) as w:
                 for pdf in it:
                     for v in pdf["value"]:
-                        w.write((v + "\n").encode("utf-8"))
+                        line = bytes(v) + b"\n"
+                        while room is not None and len(line) >= room:
+                            w.write(line[:room])
+                            w.flush(zstd.FLUSH_FRAME)
+                            line, room = line[room:], frame_bytes
+                        w.write(line)
+                        room = room and room - len(line)
                         n += 1
         fs.move(tmp, f"{base}/{name}")
         yield pd.DataFrame({"file": [name], "rows": [n]})
 
     from ..session import ship_package
-    ship_package(df.sparkSession)
+    ship_package(lines.sparkSession)
     lines.mapInPandas(write, "file string, rows long").count()

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cohortlens.operators import models as MD
@@ -29,7 +30,7 @@ def test_nul_lines_skipped_and_reported(spark):
     os.makedirs(d)
     with open(f"{d}/x.csv", "w") as fh:
         fh.write('id,name\n1,a\n2,b\x00\n3,"c\nd ""e"""\n')
-    got, report = FS.read_csv_without_nul(spark, d, "id long, name string")
+    got, report = FS.read_csv_without_nul(spark, d, "id long, name string", multiline=True)
     assert rows(got) == [(1, "a"), (3, 'c\nd "e"')]
     r = report.collect()[0]
     assert (r["file_name"], r["skipped"], r["loaded"]) == ("x.csv", 1, 2)
@@ -56,6 +57,39 @@ def test_long_window_zstd(spark):
         spark.read.schema("id string, v long").json(f"{d}/*.zst").count()
 
 
+@pytest.mark.parametrize("frame_bytes", [7, 64, None])
+def test_zstd_frames_cut_anywhere(spark, frame_bytes):
+    """Every line once, whatever the frames and groups cut: also lines longer than a
+    group, an end without a line break, and a skippable frame."""
+    d = scratch_dir(spark, "t-frames")
+    lines = [b"", b"a", b"x" * 300, b"\xff\xfe", "é".encode(), *(b'{"id": %d}' % i for i in range(40))]
+    SK.write_zstd_lines(spark.createDataFrame([(bytearray(v),) for v in lines], "value binary").coalesce(1), d,
+                        frame_bytes=frame_bytes)
+    name = next(f for f in os.listdir(d) if f.startswith("part"))
+    with open(f"{d}/{name}", "ab") as fh:
+        fh.write(b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc")
+        fh.write(zstandard.ZstdCompressor().compress(b"the end"))
+    for group in (200, 1 << 20):
+        got = [bytes(r["value"]) for r in FS.read_zstd_lines(spark, d, group_bytes=group).collect()]
+        assert sorted(got) == sorted([*(v for v in lines if v), b"the end"])
+    good, bad = FS.read_zstd_checked(spark, d, "id long", group_bytes=500)
+    assert rows(good) == [(i,) for i in sorted(range(40), key=lambda i: repr((i,)))]
+    assert sorted((bytes(r["value"]), r["reason"]) for r in bad.collect()) == sorted(
+        [(b"\xff\xfe", "bytes"), *((v, "json") for v in (b"a", b"x" * 300, "é".encode(), b"the end"))])
+
+
+def test_zstd_frames_read_by_many_tasks(spark):
+    d = scratch_dir(spark, "t-many")
+    src = spark.range(0, 3000).select(F.col("id").cast("string").alias("id")).coalesce(1)
+    SK.write_zstd_ndjson(src, d, frame_bytes=src.count() * 14 // 64)
+    lines = FS.read_zstd_lines(spark, d, group_bytes=300)
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1
+    with open(f"{d}/cut.json.zst", "wb") as fh:
+        fh.write(zstandard.ZstdCompressor().compress(b"abc" * 1000)[:-3])
+    with pytest.raises(Exception, match="cut off"):
+        FS.read_zstd_lines(spark, d).count()
+
+
 def test_routed_missing_kind_is_empty(spark):
     d = scratch_dir(spark, "t-route")
     os.makedirs(d)
