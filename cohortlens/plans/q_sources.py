@@ -239,6 +239,63 @@ def set_fields(spark, sf):
     return SK.set_fields(p, v, "id", ["sentiment_complex"], overwrite=False)
 
 
+LATE = "1997-06"  # months that the write-backs of single partitions touch start here
+
+
+def _by_month(spark, sf, name):
+    """Posts as a stored table by month, and its files: (path, file names)."""
+    from ..session import materialize
+    d = scratch_dir(spark, name)
+    SK.append_partitioned(V.posts(spark, sf).select("id", "author", "sentiment_complex", "month"), d)
+    before = spark.read.parquet(d).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return d, materialize(before, f"{name}-files")
+
+
+def _with_kept(spark, table, before):
+    """Rows of ``table``, with whether their file was there before the write-back."""
+    rows = spark.read.parquet(table).select("id", "author", "sentiment_complex", F.col("month").cast("string").alias("month"),
+                                            F.col("_metadata.file_path").alias("file"))
+    return rows.join(before.withColumn("kept", F.lit(True)), on="file", how="left") \
+        .select("id", "author", "sentiment_complex", "month", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("upsert_by_month", "S13", f"""
+with new as (select p.id, avg(r.sentiment) s from posts p join replies r on r.link_id = p.id
+              where p.month >= '{LATE}' group by p.id),
+rows as (select p.id, p.author, round(coalesce(n.s, p.sentiment_complex), 6) sentiment_complex, p.month
+           from posts p left join new n on p.id = n.id
+         union all select concat('ev', id), author, null, '2100-01' from ev),
+touched as (select distinct p.month from posts p join new n on p.id = n.id union select '2100-01')
+select id, author, sentiment_complex, month, month not in (select month from touched) kept from rows""")
+def upsert_by_month(spark, sf):
+    """S13 into a table by month: new scores for late posts, new rows in a new month;
+    ``kept``: the row's file is the one from before."""
+    d, before = _by_month(spark, sf, "upsert-month")
+    late = V.posts(spark, sf).filter(F.col("month") >= LATE).select("id")
+    upd = V.replies(spark, sf).groupBy(F.col("link_id").alias("id")).agg(F.avg("sentiment").alias("sentiment_complex")) \
+        .join(late, on="id", how="left_semi")
+    ins = V.ev(spark, sf).select(F.concat(F.lit("ev"), "id").alias("id"), "author", F.lit("2100-01").alias("month"))
+    SK.upsert_partitions(spark, d, upd.unionByName(ins, allowMissingColumns=True), "id")
+    return _with_kept(spark, d, before)
+
+
+@query("set_fields_by_month", "S14", f"""
+with v as (select p.id, avg(r.sentiment) s from posts p join replies r on r.link_id = p.id
+            where p.month >= '{LATE}' group by p.id),
+touched as (select distinct p.month from posts p join v on p.id = v.id)
+select p.id, p.author, round(coalesce(p.sentiment_complex, v.s), 6) sentiment_complex, p.month,
+       p.month not in (select month from touched) kept
+from posts p left join v on p.id = v.id""")
+def set_fields_by_month(spark, sf):
+    """S14 in a table by month: a score for late posts that have none."""
+    d, before = _by_month(spark, sf, "set-month")
+    late = V.posts(spark, sf).filter(F.col("month") >= LATE).select("id")
+    v = V.replies(spark, sf).groupBy(F.col("link_id").alias("id")).agg(F.avg("sentiment").alias("sentiment_complex")) \
+        .join(late, on="id", how="left_semi")
+    SK.set_fields_partitions(spark, d, v, "id", ["sentiment_complex"], overwrite=False)
+    return _with_kept(spark, d, before)
+
+
 @query("sink_layout", "S15 P8", """
 select link_id, author, score, month from replies where month = '1997-06'""")
 def sink_layout(spark, sf):

@@ -160,6 +160,105 @@ def set_fields(target: DataFrame, values: DataFrame, key: str | Sequence[str], f
     return j.drop(*[f"_v_{f}" for f in fields])
 
 
+def _partition_values(df: DataFrame, partition_by: str) -> list:
+    """The distinct values of a partition column, as text (at most one a partition)."""
+    return [r[0] for r in df.select(F.col(partition_by).cast("string")).distinct().collect()]
+
+
+def _in_partitions(partition_by: str, values: list):
+    c = F.col(partition_by).cast("string")
+    some = c.isin([v for v in values if v is not None])
+    return some | c.isNull() if None in values else some
+
+
+def _read_partitioned(spark: SparkSession, table: str, partition_by: str) -> DataFrame:
+    """The rows of ``table``; the partition column is text, as in the folder names."""
+    fields = spark.read.parquet(table).schema.fields
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == partition_by else f.dataType.simpleString()}" for f in fields)
+    return spark.read.schema(schema).parquet(table)
+
+
+def stage_partitions(rows: DataFrame, table: str, partition_by: str) -> str:
+    """Write the new rows of the touched partitions beside the live ones, in a folder
+    that readers of ``table`` pass over; the live rows stay as they are."""
+    path = f"{table}/_staged-{uuid.uuid4().hex[:12]}"
+    rows.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
+    return path
+
+
+def swap_partitions(spark: SparkSession, table: str, staged: str, partition_by: str, touched: list) -> None:
+    """Put the staged rows in place of the ``touched`` partitions (dynamic partition
+    overwrite); a touched partition without rows goes.  No other partition's file
+    changes.  Running it again after a loss gives the same table."""
+    new = _read_partitioned(spark, staged, partition_by)
+    gone = sorted(set(touched) - set(_partition_values(new, partition_by)), key=str)
+    emptied = _read_partitioned(spark, table, partition_by).filter(_in_partitions(partition_by, gone)) \
+        .select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("d")).distinct() if gone else None
+    folders = [r["d"] for r in emptied.collect()] if gone else []
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(table)
+    jvm = spark.sparkContext._jvm
+    for d in folders:  # at most one a touched partition; file paths come percent-encoded
+        fs, _ = _fs(spark, table)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(d)), True)
+    fs, p = _fs(spark, staged)
+    fs.delete(p, True)
+
+
+def _rewrite(table: str, rows: DataFrame, columns: Sequence[str], partition_by: str, touched: list) -> None:
+    spark = rows.sparkSession
+    if touched:
+        staged = stage_partitions(rows.select(*columns), table, partition_by)
+        swap_partitions(spark, table, staged, partition_by, touched)
+
+
+def upsert_partitions(spark: SparkSession, table: str, new: DataFrame, key: str | Sequence[str],
+                      partition_by: str = "month", order: Sequence[str] | None = None) -> list:
+    """S13 on a stored table: as ``upsert``, but only the partitions that hold a
+    matched key or get a row are read whole and written; returns their values.
+
+    The keys of ``new`` are looked up with a scan of the key columns alone.  A matched
+    row moves if ``new`` names another partition; an unmatched one goes where ``new``
+    says (the null partition if it does not).  ``new`` is stored first, so it may be a
+    query over ``table`` itself; its columns must be columns of ``table``.  Rows are
+    written to a staging folder before any live file changes."""
+    from ..session import materialize
+    keys = [key] if isinstance(key, str) else list(key)
+    old = _read_partitioned(spark, table, partition_by)
+    more = [c for c in new.columns if c not in old.columns]
+    if more:
+        raise ValueError(f"columns that {table} does not have: {more}")
+    new = new.withColumn(partition_by, F.col(partition_by).cast("string")) if partition_by in new.columns \
+        else new.withColumn(partition_by, F.lit(None).cast("string"))
+    new = materialize(last_per_key(new, keys, order), "upsert-new")
+    found = old.select(*keys, partition_by).join(new.select(*keys), on=keys, how="left_semi")
+    held = _partition_values(found, partition_by)
+    fresh = new.join(old.select(*keys), on=keys, how="left_anti").select(partition_by) \
+        .unionByName(new.filter(F.col(partition_by).isNotNull()).select(partition_by))
+    touched = sorted({*held, *_partition_values(fresh, partition_by)}, key=str)
+    rows = upsert(old.filter(_in_partitions(partition_by, touched)), new, keys)
+    _rewrite(table, rows, old.columns, partition_by, touched)
+    return touched
+
+
+def set_fields_partitions(spark: SparkSession, table: str, values: DataFrame, key: str | Sequence[str],
+                          fields: Sequence[str], partition_by: str = "month", overwrite: bool = True,
+                          order: Sequence[str] | None = None) -> list:
+    """S14 on a stored table: as ``set_fields``, but only the partitions that hold a
+    matched key are written; returns their values."""
+    from ..session import materialize
+    keys = [key] if isinstance(key, str) else list(key)
+    old = _read_partitioned(spark, table, partition_by)
+    missing = [f for f in [*fields, *keys] if f not in old.columns or f == partition_by]
+    if missing:
+        raise ValueError(f"not settable columns of {table}: {missing}")
+    values = materialize(last_per_key(values, keys, order).select(*keys, *fields), "set-values")
+    touched = sorted(_partition_values(
+        old.select(*keys, partition_by).join(values.select(*keys), on=keys, how="left_semi"), partition_by), key=str)
+    rows = set_fields(old.filter(_in_partitions(partition_by, touched)), values, keys, fields, overwrite)
+    _rewrite(table, rows, old.columns, partition_by, touched)
+    return touched
+
+
 def write_layout(df: DataFrame, path: str, partition_by: str = "month", sort_by: Sequence[str] = ("author",),
                  tiebreak: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Layout for look-ups: partitioned by month (pruning), sorted by author

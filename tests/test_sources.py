@@ -121,6 +121,71 @@ def test_upsert_and_set_fields(spark):
     assert over == {"a": "new", "b": "new"}
 
 
+def _by_month(spark, name, data):
+    d = scratch_dir(spark, name)
+    spark.createDataFrame(data, "k string, v int, month string").write.partitionBy("month").parquet(d)
+    return d
+
+
+def _files(spark, d):
+    return {(r[0], r[1]) for r in spark.read.parquet(d).select(
+        F.col("month").cast("string"), F.col("_metadata.file_name")).distinct().collect()}
+
+
+def test_upsert_touches_only_its_partitions(spark):
+    d = _by_month(spark, "t-part", [("a", 1, "2020-01"), ("b", 2, "2020-02"), ("c", 3, "2020-03"), ("d", 4, None),
+                                    ("e", 5, "2020-04"), (None, 6, "2020-01")])
+    before = _files(spark, d)
+    new = spark.createDataFrame([("b", 20, None), ("b", 19, None), ("e", None, "2020-05"), ("f", 7, None),
+                                 ("g", 8, "2020-03")], "k string, v int, month string")
+    touched = SK.upsert_partitions(spark, d, new, "k")
+    assert set(touched) == {"2020-02", "2020-03", "2020-04", "2020-05", None}
+    got = spark.read.parquet(d).select("k", "v", F.col("month").cast("string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+        ("a", 1, "2020-01"), (None, 6, "2020-01"), ("b", 20, "2020-02"), ("c", 3, "2020-03"), ("g", 8, "2020-03"),
+        ("d", 4, None), ("f", 7, None), ("e", 5, "2020-05")], key=repr)
+    kept = _files(spark, d) & before
+    assert {m for m, _ in kept} == {"2020-01"}
+    assert not any(f.startswith("_staged") for f in os.listdir(d)) and not os.path.exists(f"{d}/month=2020-04")
+    assert SK.upsert_partitions(spark, d, new.limit(0), "k") == []
+    with pytest.raises(ValueError, match="other"):
+        SK.upsert_partitions(spark, d, new.withColumn("other", F.lit(1)), "k")
+
+
+def test_upsert_from_the_table_itself(spark):
+    d = _by_month(spark, "t-self", [("a", 1, "2020-01"), ("b", 2, "2020-02")])
+    SK.upsert_partitions(spark, d, spark.read.parquet(d).select("k", (F.col("v") * 10).alias("v")).filter("k = 'b'"), "k")
+    assert rows(spark.read.parquet(d), "k", "v") == [("a", 1), ("b", 20)]
+
+
+def test_emptied_partition_of_any_name_goes(spark):
+    d = _by_month(spark, "t-name", [("a", 1, "x y:z%"), ("b", 2, "2020-02")])
+    SK.upsert_partitions(spark, d, spark.createDataFrame([("a", 5, "2020-02")], "k string, v int, month string"), "k")
+    assert rows(spark.read.parquet(d), "k", "v", "month") == [("a", 5, "2020-02"), ("b", 2, "2020-02")]
+
+
+def test_loss_between_stage_and_swap_keeps_the_old_rows(spark):
+    data = [("a", 1, "2020-01"), ("b", 2, "2020-02")]
+    d = _by_month(spark, "t-crash", data)
+    before = _files(spark, d)
+    staged = SK.stage_partitions(spark.createDataFrame([("b", 9, "2020-02")], "k string, v int, month string"), d, "month")
+    assert rows(spark.read.parquet(d), "k", "v") == [("a", 1), ("b", 2)] and _files(spark, d) == before
+    SK.swap_partitions(spark, d, staged, "month", ["2020-02"])   # taken up again
+    assert rows(spark.read.parquet(d), "k", "v") == [("a", 1), ("b", 9)]
+    assert {m for m, _ in _files(spark, d) & before} == {"2020-01"}
+
+
+def test_set_fields_touches_only_its_partitions(spark):
+    d = _by_month(spark, "t-set", [("a", 1, "2020-01"), ("b", None, "2020-02"), ("c", 3, "2020-02")])
+    before = _files(spark, d)
+    v = spark.createDataFrame([("b", 20), ("c", 30), ("z", 1)], "k string, v int")
+    assert SK.set_fields_partitions(spark, d, v, "k", ["v"], overwrite=False) == ["2020-02"]
+    assert rows(spark.read.parquet(d), "k", "v") == [("a", 1), ("b", 20), ("c", 3)]
+    assert {m for m, _ in _files(spark, d) & before} == {"2020-01"}
+    with pytest.raises(ValueError, match="month"):
+        SK.set_fields_partitions(spark, d, v.withColumn("month", F.lit("x")), "k", ["month"])
+
+
 def test_plugin_scorer(spark):
     class UpperShare:
         """A user-supplied scorer: share of upper-case letters (2 classes); defined
