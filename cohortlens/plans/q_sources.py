@@ -75,8 +75,11 @@ def scan_zstd_frames(spark, sf):
         .when(k % 79 == 0, F.concat(F.lit("{"), "id").cast("binary")) \
         .otherwise(F.to_json(F.struct(*e.columns)).cast("binary"))
     SK.write_zstd_lines(e.select(line.alias("value")), d, frame_bytes=FRAME)
-    good, bad = FS.read_zstd_checked(spark, d, EV_DECLARED, group_bytes=FRAME)
-    lines = FS.read_zstd_lines(spark, d, group_bytes=FRAME)
+    # small files are read in eighths, so that groups are tried; large ones in groups of the usual size
+    size = spark.read.format("binaryFile").load(d).agg(F.sum("length")).first()[0] or 0
+    group = max(1, min(FS.GROUP_BYTES, size // 8))
+    good, bad = FS.read_zstd_checked(spark, d, EV_DECLARED, group_bytes=group)
+    lines = FS.read_zstd_lines(spark, d, group_bytes=group)
     side = lines.select("file", F.spark_partition_id().alias("task")).agg(
         (F.count_distinct("task") > F.count_distinct("file")).alias("side_by_side"))
     rest = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns if c != "id"]

@@ -180,12 +180,24 @@ def _group_lines(fh, start: int, stop: int, max_window_log: int) -> Iterator[byt
     yield b"".join(rest)
 
 
+def _checked(lines: DataFrame, schema: StructType | str) -> DataFrame:
+    """(file, value, r: the record, reason: null for a good line)."""
+    sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    bad = "_bad_line"
+    parsed = F.from_json("text", StructType(sch.fields + [StructType.fromDDL(f"{bad} string").fields[0]]),
+                         {"columnNameOfCorruptRecord": bad})
+    reason = F.when(~F.is_valid_utf8("text"), "bytes").when(F.col(f"r.{bad}").isNotNull(), "json")
+    return lines.withColumn("text", F.col("value").cast("string")).withColumn("r", parsed) \
+        .select("file", "value", F.struct(*[F.col(f"r.`{f.name}`") for f in sch.fields]).alias("r"), reason.alias("reason"))
+
+
 def read_zstd_long_window(spark: SparkSession, directory: str, schema: StructType | str, glob: str = "*.zst",
                           batch_lines: int = 10_000, max_window_log: int = 31,
                           group_bytes: int = GROUP_BYTES) -> DataFrame:
     """S3: NDJSON compressed with a long zstd window (``--long=31``), which the
     JVM codec rejects: the good rows of ``read_zstd_checked``."""
-    return read_zstd_checked(spark, directory, schema, glob, batch_lines, max_window_log, group_bytes)[0]
+    lines = read_zstd_lines(spark, directory, glob, batch_lines, max_window_log, group_bytes)
+    return _checked(lines, schema).filter("reason is null").select("r.*")
 
 
 def read_zstd_checked(spark: SparkSession, directory: str, schema: StructType | str, glob: str = "*.zst",
@@ -193,17 +205,15 @@ def read_zstd_checked(spark: SparkSession, directory: str, schema: StructType |
                       group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """S3: (rows, bad lines) of zstd NDJSON files; bad lines are (file, value binary,
     reason): 'bytes' if the line is not UTF-8, 'json' if it does not parse as
-    ``schema``.  Their bytes are kept as they stand in the file."""
-    sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    bad = "_bad_line"
-    parsed = F.from_json("text", StructType(sch.fields + [StructType.fromDDL(f"{bad} string").fields[0]]),
-                         {"columnNameOfCorruptRecord": bad})
-    lines = read_zstd_lines(spark, directory, glob, batch_lines, max_window_log, group_bytes) \
-        .withColumn("text", F.col("value").cast("string"))
-    reason = F.when(~F.is_valid_utf8("text"), "bytes").when(F.col(f"r.{bad}").isNotNull(), "json")
-    lines = lines.withColumn("r", parsed).withColumn("reason", reason)
-    good = lines.filter("reason is null").select(*[F.col(f"r.`{f.name}`") for f in sch.fields])
-    return good, lines.filter("reason is not null").select("file", "value", "reason")
+    ``schema``.  Their bytes are kept as they stand in the file.  The files are
+    decoded once: both outputs read the stored lines."""
+    from ..session import materialize
+    lines = read_zstd_lines(spark, directory, glob, batch_lines, max_window_log, group_bytes)
+    # of a good line the record is stored, of a bad one the bytes
+    lines = _checked(lines, schema).withColumn("value", F.expr("if(reason is null, null, value)"))
+    lines = materialize(lines, "zstd-lines")
+    return lines.filter("reason is null").select("r.*"), \
+        lines.filter("reason is not null").select("file", "value", "reason")
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str,
