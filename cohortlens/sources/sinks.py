@@ -180,9 +180,10 @@ def _read_partitioned(spark: SparkSession, table: str, partition_by: str) -> Dat
 
 def stage_partitions(rows: DataFrame, table: str, partition_by: str) -> str:
     """Write the new rows of the touched partitions beside the live ones, in a folder
-    that readers of ``table`` pass over; the live rows stay as they are."""
+    that readers of ``table`` pass over; the live rows stay as they are.  Rows are
+    rebalanced on the partition first, so files = partitions, not tasks times these."""
     path = f"{table}/_staged-{uuid.uuid4().hex[:12]}"
-    rows.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
+    rows.hint("rebalance", partition_by).write.mode("errorifexists").partitionBy(partition_by).parquet(path)
     return path
 
 
