@@ -1,13 +1,16 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
-One layer.  Inputs are the most frequent subword ids (the rest share a symbol);
-outputs are classes: the most frequent ids alone, the others in groups by frequency
-and by whether they begin a word.  Inside a class an id has its share of the
-corpus counts (add one).  So p(id | before) = p(class | before) * p(id | class).
-
-A text is scored in windows of ``2 * STEP`` inputs that overlap by ``STEP``: a
+One layer.  Inputs are the most frequent subword ids, one symbol each, and
+``HASHED`` symbols that the other ids are hashed to.  Outputs are classes of ids in
+two levels: ``GROUPS`` groups of about equal corpus mass (ids that begin a word and
+others apart), each of ``MEMBERS`` members; the most frequent ids are members alone.
+Inside a member an id has its share of the corpus counts (add one).  So
+p(id | before) = p(group | before) * p(member | group, before) * p(id | member).
+
+Learning takes windows of ``SPAN`` inputs that do not overlap and a loss at each
+place.  A text is scored in windows of ``SPAN`` inputs that overlap by half: a
 window scores its second half, so each token is scored once, with ``STEP`` to
-``2 * STEP - 1`` tokens before it (fewer only at the start of a text).
+``SPAN - 1`` tokens before it (fewer only at the start of a text).
 """
 
 from __future__ import annotations
@@ -15,13 +18,24 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 16
+SPAN = 2 * STEP
 WIDTH = 16
-INPUTS = 1024
-ALONE = 104
+ALONE = 1536
+HASHED = 512
+INPUTS = ALONE + HASHED
 GROUPS = 16
-BATCH = 64
-PASS_BATCH = 512
+MEMBERS = 16
+BATCH = 192  # windows of a scoring step
+PASS_BATCH = 128  # windows of a learning step, at most
 F32 = np.float32
+TOP = F32(40)  # bound of logits: exp stays finite without a maximum per row
+TINY = F32(1e-30)  # least sum of exponentials
+
+
+def _bands(mass: np.ndarray, n: int) -> np.ndarray:
+    """Numbers 0 to n - 1 that cut a row of masses into parts of about the same sum."""
+    before = np.cumsum(mass) - mass
+    return np.minimum((before / max(1.0, mass.sum()) * n).astype(int), n - 1)
 
 
 class Codes:
@@ -30,22 +44,23 @@ class Codes:
     def __init__(self, counts: np.ndarray, begins: np.ndarray):
         n = len(counts)
         order = np.lexsort((np.arange(n), -counts))
-        self.symbol = np.full(n, INPUTS - 1, np.int32)
-        self.symbol[order[:INPUTS - 1]] = np.arange(min(n, INPUTS - 1))
+        mixed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        self.symbol = (ALONE + mixed % np.uint64(HASHED)).astype(np.int32)
+        self.symbol[order[:ALONE]] = np.arange(min(n, ALONE))
         self.cls = np.empty(n, np.int32)
-        self.cls[order[:ALONE]] = np.arange(min(n, ALONE))
-        rest = order[ALONE:]
-        for part, first in ((rest[begins[rest]], 0), (rest[~begins[rest]], GROUPS // 2)):
-            mass = np.cumsum(counts[part] + 1.0)
-            band = np.minimum((mass / max(mass[-1], 1) * (GROUPS // 2)).astype(int), GROUPS // 2 - 1) if len(part) else 0
-            self.cls[part] = ALONE + first + band
-        total = np.bincount(self.cls, counts + 1.0, ALONE + GROUPS)
-        self.inside = (np.log(counts + 1.0) - np.log(total[self.cls])).astype(F32)
+        for part, first in ((order[begins[order]], 0), (order[~begins[order]], GROUPS // 2)):
+            group = _bands(counts[part] + 1.0, GROUPS // 2)
+            for g in range(GROUPS // 2):
+                some = part[group == g]
+                self.cls[some] = (first + g) * MEMBERS + _bands(counts[some] + 1.0, MEMBERS)
+        self.mass = np.bincount(self.cls, counts + 1.0, GROUPS * MEMBERS)
+        self.inside = (np.log(counts + 1.0) - np.log(self.mass[self.cls])).astype(F32)
 
 
 def views(symbols: np.ndarray, first: np.ndarray, start: int):
-    """Windows of documents whose input symbols stand in a row (``first``: n + 1
-    offsets): (inputs (windows, 2 STEP), flat place of each scored token or -1)."""
+    """Overlapping windows of documents whose input symbols stand in a row
+    (``first``: n + 1 offsets): (inputs (windows, SPAN), flat place of each scored
+    token or -1)."""
     n = np.diff(first)
     per = -(-n // STEP)
     doc = np.repeat(np.arange(len(n)), per)
@@ -60,92 +75,146 @@ def views(symbols: np.ndarray, first: np.ndarray, start: int):
     return x, np.where(last[:, STEP:], -1, place[:, STEP:])
 
 
-_REL = np.arange(2 * STEP)[None, :] - np.arange(STEP, 2 * STEP)[:, None]  # key place less query place
-_CAUSAL = (_REL <= 0).astype(F32)
-_DIST = np.clip(-_REL, 0, 2 * STEP - 1)
-_TOP = F32(40)  # bound of logits: exp stays finite without a maximum per row
+def spans(symbols: np.ndarray, first: np.ndarray, start: int):
+    """As ``views``, for learning: windows that do not overlap, all places scored."""
+    n = np.diff(first)
+    per = -(-n // SPAN)
+    doc = np.repeat(np.arange(len(n)), per)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    place = (first[doc] + SPAN * nth)[:, None] + np.arange(SPAN)
+    last = place >= first[doc + 1][:, None]
+    x = np.concatenate([symbols, np.full(SPAN, start, symbols.dtype)]).take(place)
+    x[last] = start
+    return x, np.where(last, -1, place)
 
 
-def start_model(seed: int = 0) -> dict:
-    r = np.random.default_rng(seed)
-    c = ALONE + GROUPS
-    g = lambda *s: (r.standard_normal(s) * 0.1).astype(F32)
-    return {"q": g(INPUTS, WIDTH), "k": g(INPUTS, WIDTH), "v": g(INPUTS, WIDTH), "e": g(INPUTS, WIDTH),
-            "d": np.zeros(2 * STEP, F32), "u": g(WIDTH, c), "b": np.zeros(c, F32)}
+_REL = np.arange(SPAN)[None, :] - np.arange(SPAN)[:, None]  # key place less query place
+_CAUSAL = np.where(_REL <= 0, 0, -1e9).astype(F32)
+_DIST = np.clip(-_REL, 0, SPAN - 1)
+_ONES = np.ones(max(SPAN, WIDTH, GROUPS, MEMBERS), F32)
 
 
-def _tables(m):
-    """Key and value tables with a last row for "nothing there"."""
-    none = np.zeros((1, WIDTH), F32)
-    return np.vstack([m["k"], none]), np.vstack([m["v"], none]), m["d"][_DIST]
+def start_model(codes: Codes | None = None, seed: int = 0) -> dict:
+    """First parameters: small seeded tables, and with ``codes`` the corpus shares
+    of groups and members as biases (next to nothing where no id is).  ``t`` holds a row an input symbol, ``w`` its
+    maps to query, key and value, ``d`` a bias a distance, ``g`` and ``c`` the
+    output weights of groups and members, ``gb`` and ``cb`` their biases."""
+    r = np.random.default_rng(seed)
+    draw = lambda by, *s: (r.standard_normal(s) * by).astype(F32)
+    mass = np.ones((GROUPS, MEMBERS)) if codes is None else codes.mass.reshape(GROUPS, MEMBERS) + 1e-9
+    return {"t": draw(0.3, INPUTS, WIDTH), "w": draw(WIDTH ** -0.5, 3, WIDTH, WIDTH), "d": np.zeros(SPAN, F32),
+            "g": draw(0.1, WIDTH, GROUPS), "gb": np.log(mass.sum(1) / mass.sum()).astype(F32),
+            "c": draw(0.1, GROUPS, WIDTH, MEMBERS), "cb": np.log(mass / mass.sum(1, keepdims=True)).astype(F32)}
 
 
-def _forward(m, tables, x):
-    key, val, dist = tables
-    own = x[:, STEP:]
-    q, k, v = m["q"].take(own, 0), key.take(x, 0), val.take(x, 0)
+def _attend(m, q, k, v, nothing=None):
+    """Causal attention of the last places of each window over all: (weights, not
+    yet divided by their sums; one over the sums; mixed values)."""
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s += dist
-    np.exp(np.minimum(s, _TOP, out=s), out=s)
-    s *= _CAUSAL
-    if (x[:, :STEP] == INPUTS).any():
-        s *= (x != INPUTS).astype(F32)[:, None, :]
-    s /= (s.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, F32)).reshape(s.shape[:2])[:, :, None]
-    h = np.matmul(s, v)
-    h += m["e"].take(own, 0)
-    return q, k, v, s, h
-
-
-def class_logs(m, x):
-    """(first window, class logits, log totals) at the scored places, batch by
-    batch.  Hidden values are clipped where logits could leave the range of exp."""
-    tables, ones = _tables(m), np.ones(ALONE + GROUPS, F32)
-    head = np.vstack([m["u"], m["b"]])
-    bound = F32(max(1.0, (80 - np.abs(m["b"]).max()) / max(1e-6, np.abs(m["u"]).sum(0).max())))
+    np.minimum(s, TOP, out=s)
+    s += (m["d"][_DIST] + _CAUSAL)[-q.shape[1]:]
+    if nothing is not None:
+        s += nothing
+    np.exp(s, out=s)
+    inv = (1 / np.maximum(s.reshape(-1, SPAN) @ _ONES[:SPAN], TINY)).reshape(*s.shape[:2], 1)
+    a = np.matmul(s, v)
+    a *= inv
+    return s, inv, a
+
+
+def _by_class(h, y):
+    """Scored rows in the order of their classes: (row numbers, hidden values,
+    classes, where each group begins)."""
+    flat = y.reshape(-1)
+    rows = np.flatnonzero(flat >= 0)
+    own = flat[rows].astype(np.uint16)
+    order = np.argsort(own, kind="stable")
+    rows, own = rows[order], own[order].astype(np.int64)
+    return rows, h.reshape(-1, WIDTH).take(rows, 0), own, np.searchsorted(own, np.arange(GROUPS + 1) * MEMBERS)
+
+
+def _exps(h, weights, bias, own):
+    """One softmax: (logits of the own classes, exponentials, their sums)."""
+    z = h @ weights
+    z += bias
+    np.minimum(z, TOP, out=z)
+    mine = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    return mine, z, np.maximum(z @ _ONES[:z.shape[1]], TINY)
+
+
+def class_logs(m, x, y):
+    """Natural log probability of the classes ``y`` (windows, STEP; -1: not scored,
+    0 there) at the second halves of the windows ``x``."""
+    symbols = np.vstack([m["t"], np.zeros((1, WIDTH), F32)])  # a last row for "nothing there"
+    queries, keys, values = (symbols @ w for w in m["w"])
+    out = np.zeros(y.size, F32)
     for a in range(0, len(x), BATCH):
-        h = _forward(m, tables, x[a:a + BATCH])[4].reshape(-1, WIDTH)
-        wide = np.ones((len(h), WIDTH + 1), F32)
-        np.clip(h, -bound, bound, out=wide[:, :WIDTH])
-        z = wide @ head
-        yield a, z, np.log(np.exp(z) @ ones)
-
-
-def _spread(ids, grad):
-    """Sums of gradient rows by input symbol."""
-    order = np.argsort(ids, kind="stable")
-    s = ids[order]
-    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    out = np.zeros((INPUTS + 1, WIDTH), F32)
-    out[s[begin]] = np.add.reduceat(grad.reshape(-1, WIDTH)[order], begin, axis=0)
-    return out[:INPUTS]
+        xb = x[a:a + BATCH]
+        own_x = xb[:, STEP:]
+        empty = xb[:, 0] == INPUTS
+        nothing = np.where(xb == INPUTS, F32(-1e9), F32(0))[:, None, :] if empty.any() else None
+        h = _attend(m, queries.take(own_x, 0), keys.take(xb, 0), values.take(xb, 0), nothing)[2]
+        h += symbols.take(own_x, 0)
+        rows, h, own, at = _by_class(h, y[a:a + BATCH])
+        logs, _, total = _exps(h, m["g"], m["gb"], own // MEMBERS)
+        inner = np.empty(len(rows), F32)
+        for g in np.flatnonzero(at[1:] > at[:-1]):
+            b = slice(at[g], at[g + 1])
+            mine, _, inner[b] = _exps(h[b], m["c"][g], m["cb"][g], own[b] - g * MEMBERS)
+            logs[b] += mine
+        out[a * STEP + rows] = logs - np.log(total) - np.log(inner)
+    return out.reshape(y.shape)
+
+
+def _back(h, weights, bias, own, scale):
+    """Gradients of one softmax: (of the hidden values, the weights, the bias)."""
+    _, p, total = _exps(h, weights, bias, own)
+    p[np.arange(len(p)), own] -= total
+    by = scale / total
+    dh = p @ weights.T
+    dh *= by[:, None]
+    return dh, (h * by[:, None]).T @ p, by @ p
 
 
 def gradients(m, x: np.ndarray, y: np.ndarray) -> dict:
-    """Mean loss gradients on windows ``x`` with classes ``y`` (-1: not scored)."""
-    q, k, v, s, h = _forward(m, _tables(m), x)
-    flat, yb = h.reshape(-1, WIDTH), y.reshape(-1)
-    z = flat @ m["u"]
-    z += m["b"]
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z, out=z)
-    p /= p.sum(1, keepdims=True)
-    ok = yb >= 0
-    p[np.flatnonzero(ok), yb[ok]] -= 1
-    p[~ok] = 0
-    p /= F32(max(1, ok.sum()))
-    g = {"u": flat.T @ p, "b": p.sum(0)}
-    dh = (p @ m["u"].T).reshape(h.shape)
-    dv = np.matmul(s.transpose(0, 2, 1), dh)
-    ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= (ds * s).sum(2, keepdims=True)
+    """Mean loss gradients on windows ``x`` (windows, SPAN) with classes ``y`` of all
+    places (-1: not scored).  That of ``t`` is (symbols of the batch, their rows)."""
+    e = m["t"].take(x.reshape(-1), 0)
+    q, k, v = ((e @ w).reshape(*x.shape, WIDTH) for w in m["w"])
+    s, inv, mixed = _attend(m, q, k, v)
+    rows, h, own, at = _by_class(mixed.reshape(-1, WIDTH) + e, y)
+    scale = F32(1 / max(1, len(rows)))
+    dr, dg, dgb = _back(h, m["g"], m["gb"], own // MEMBERS, scale)
+    dc, dcb = np.zeros_like(m["c"]), np.zeros_like(m["cb"])
+    for g in np.flatnonzero(at[1:] > at[:-1]):
+        b = slice(at[g], at[g + 1])
+        add, dc[g], dcb[g] = _back(h[b], m["c"][g], m["cb"][g], own[b] - g * MEMBERS, scale)
+        dr[b] += add
+    dh = np.zeros((x.size, WIDTH), F32)
+    dh[rows] = dr
+    part = dh.reshape(mixed.shape) * inv
+    ds = np.matmul(part, v.transpose(0, 2, 1))
+    mixed *= part
+    ds -= (mixed.reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(*x.shape, 1)
     ds *= s
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    own, every = x[:, STEP:].reshape(-1), x.reshape(-1)
-    return g | {"q": _spread(own, dq), "e": _spread(own, dh), "k": _spread(every, dk), "v": _spread(every, dv),
-                "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), 2 * STEP).astype(F32)}
+    back = [d.reshape(-1, WIDTH) for d in (
+        np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), part))]
+    for d, w in zip(back, m["w"]):
+        dh += d @ w.T
+    flat = x.reshape(-1).astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    return {"t": (flat[begin].astype(np.int64), np.add.reduceat(dh.take(order, 0), begin, axis=0)), "w": np.stack([e.T @ d for d in back]),
+            "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), SPAN).astype(F32),
+            "g": dg, "gb": dgb, "c": dc, "cb": dcb}
 
 
 class Adam:
+    """Steps of bounded size; rows of ``t`` that a batch does not hold stay as they
+    are, their averages too."""
+
     def __init__(self, m):
         self.t, self.first, self.second = 0, *({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
 
@@ -153,32 +222,21 @@ class Adam:
         self.t += 1
         a, b = 1 - 0.9 ** self.t, 1 - 0.99 ** self.t
         for name, d in g.items():
-            self.first[name] += F32(0.1) * (d - self.first[name])
-            self.second[name] += F32(0.01) * (d * d - self.second[name])
-            m[name] = m[name] - F32(lr / a) * self.first[name] / (np.sqrt(self.second[name] * F32(1 / b)) + F32(1e-6))
-
-
-def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01, seed: int = 0) -> dict:
-    """Adam on windows ``x`` with classes ``y`` (windows, STEP; -1: not scored)."""
-    m = start_model(seed)
-    known = y[y >= 0]
-    if not len(known):
-        return m
-    c = ALONE + GROUPS
-    m["b"] = np.log((np.bincount(known, minlength=c) + 1.0) / (len(known) + c)).astype(F32)
-    r = np.random.default_rng(seed + 1)
-    adam = Adam(m)
-    for t in range(1, steps + 1):
-        pick = r.integers(0, len(x), batch)
-        adam.step(m, gradients(m, x[pick], y[pick]), rate * min(1, t / 20) * (1 - t / (steps + 1)) ** 0.5)
-    return m
+            at, d = d if isinstance(d, tuple) else (slice(None), d)
+            one, two = self.first[name][at], self.second[name][at]
+            one += F32(0.1) * (d - one)
+            d *= d
+            two += F32(0.01) * (d - two)
+            self.first[name][at], self.second[name][at] = one, two
+            m[name][at] -= F32(lr / a) * one / (np.sqrt(two * F32(1 / b)) + F32(1e-6))
 
 
 def go_on(m: dict, x: np.ndarray, y: np.ndarray, rate: float, seed: int, batch: int | None = None) -> dict:
     """``m`` after one pass over all windows in a seeded order, each used once; a
-    short pass takes smaller steps, about two hundred of them."""
-    m, adam = dict(m), Adam(m)
-    batch = batch or min(PASS_BATCH, max(16, len(x) // 200))
+    short pass takes smaller steps, about a hundred of them."""
+    m = {k: v.copy() for k, v in m.items()}
+    adam = Adam(m)
+    batch = batch or min(PASS_BATCH, max(8, len(x) // 100))
     order = np.random.default_rng(seed).permutation(len(x))
     n = -(-len(x) // batch)
     for t, pick in enumerate(np.array_split(order, n) if n else []):
@@ -187,7 +245,7 @@ def go_on(m: dict, x: np.ndarray, y: np.ndarray, rate: float, seed: int, batch:
 
 
 def packed(m: dict) -> np.ndarray:
-    return np.concatenate([m[k].reshape(-1) for k in sorted(m)]).astype(float)
+    return np.concatenate([m[k].reshape(-1) for k in sorted(m)])
 
 
 def unpacked(flat: np.ndarray) -> dict:
@@ -214,16 +272,18 @@ def token_logs(m, codes: Codes, ids: np.ndarray, first: np.ndarray, start: int)
     return out
 
 
-def _group_logs(m, codes, ids, first, start):
+def inputs(codes: Codes, ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """Input symbols: the id before each, ``start`` at the first of a document."""
     symbols = np.empty(len(ids), np.int32)
     symbols[1:] = codes.symbol[ids[:-1]]
-    begin = codes.symbol[start]
-    symbols[first[:-1][np.diff(first) > 0]] = begin
-    x, place = views(symbols, first, begin)
+    symbols[first[:-1][np.diff(first) > 0]] = codes.symbol[start]
+    return symbols
+
+
+def _group_logs(m, codes, ids, first, start):
+    x, place = views(inputs(codes, ids, first, start), first, codes.symbol[start])
     cls, out = codes.cls[ids], codes.inside[ids]
-    for a, z, total in class_logs(m, x):
-        p = place[a:a + len(z) // STEP].reshape(-1)
-        ok = np.flatnonzero(p >= 0)
-        to = p[ok]
-        out[to] += z[ok, cls[to]] - total[ok]
+    y = np.where(place >= 0, cls[np.maximum(place, 0)], -1)
+    ok = place >= 0
+    out[place[ok]] += class_logs(m, x, y)[ok]
     return out

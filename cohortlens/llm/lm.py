@@ -10,10 +10,10 @@ Texts are lower-cased (A-Z); tokens are words and one end.  Two parts:
   learns from every id of every training document: the chunks are dealt over
   ``ROUNDS`` rounds; in a round the tasks pass once over all windows of their
   chunks, each chunk from the round's parameters, and the next parameters are the
-  mean of the chunks', weighted by ids.  The first parameters are fitted on the
-  driver to the beginnings of at most ``TRAIN_DOCS`` training documents; this only
-  starts the passes.  The shares of ids inside its classes are counts over all
-  training documents.  Overlapping windows score each id once; a word's probability is the
+  mean of the chunks', weighted by ids.  The first parameters are small seeded
+  numbers, with the corpus shares of the classes as biases; nothing is fitted on
+  the driver.  The shares of ids inside its classes are counts over all training
+  documents.  Overlapping windows score each id once; a word's probability is the
   product over its ids.
 
 ``score`` mixes both for each token: log10(``MIX`` * add-one share + (1 - ``MIX``) *
@@ -47,10 +47,8 @@ from .common import U
 from .registry import query
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-TRAIN_DOCS = 3000
-TRAIN_IDS = 512
-ROUNDS = 3
-RATE = 0.02  # of the first round; falls to a third in the last
+ROUNDS = 6
+RATE = 0.03  # of the first round; falls to a third in the last
 SUMS = 32
 MIX = 0.5
 END = 50256  # an id that the vocabulary file leaves free
@@ -200,28 +198,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
             .groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
         counts[r["id"]] = r["n"]
 
-    # documents below a hash limit, about twice as many as needed: what reaches
-    # the driver does not grow with the corpus
-    limit = min(1.0, 2.0 * TRAIN_DOCS / max(1, learned)) * (1 << 32)
-
-    def beginnings(batches):
-        for row, a in _rows(batches):
-            own = row["doc_ids"].as_py()
-            pick = np.array([k for k, i in enumerate(own) if _learned(i, folds, held)], np.int64)
-            h = np.array([zlib.crc32(f"lm{own[k]}".encode()) for k in pick], np.int64)
-            pick, h = pick[h < limit], h[h < limit]
-            if len(pick):
-                short = dict(a)
-                ids, upto, *_ = _documents_ids(short, pick)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array([own[k] for k in pick], pa.int64()),
-                     pa.array([ids[upto[j]:min(upto[j] + TRAIN_IDS, upto[j + 1])].astype(np.int32).tobytes()
-                               for j in range(len(pick))], pa.binary())], ["h", "id", "ids"])
-    sample = words.select("doc_ids", "first", "words", "lens", "ids") \
-        .mapInArrow(beginnings, "h long, id long, ids binary").orderBy("h", "id", "ids").limit(TRAIN_DOCS).collect()
     codes = A.Codes(counts, begins_word(raw))
-    seqs = [np.frombuffer(r["ids"], np.int32) for r in sample]
-    model = _fit(codes, seqs) if seqs else A.start_model()
+    model = A.start_model(codes)
     if learned:
         model = _learn(words, codes, model, folds, held)
 
@@ -250,18 +228,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
 
 
 def _windows(codes, ids, first):
-    """Input windows of documents that stand in a row, and their classes."""
-    symbols = np.empty(len(ids), np.int32)
-    symbols[1:] = codes.symbol[ids[:-1]]
-    symbols[first[:-1]] = codes.symbol[END]
-    x, place = A.views(symbols, first, codes.symbol[END])
+    """Learning windows of documents that stand in a row, and their classes."""
+    x, place = A.spans(A.inputs(codes, ids, first, END), first, codes.symbol[END])
     return x, np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1)
 
 
-def _fit(codes, seqs):
-    return A.train(*_windows(codes, np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])))
-
-
 SUM_SCHEMA = "task int, ids long, windows long, total binary"
 
 
@@ -280,7 +251,7 @@ def _learn(words: DataFrame, codes, model: dict, folds: int, held: int) -> dict:
                     continue
                 ids, upto, *_ = _documents_ids(a, pick)
                 x, y = _windows(codes, ids, upto)
-                total = total + A.packed(A.go_on(model, x, y, rate, row["chunk"].as_py() % (1 << 31))) * len(ids)
+                total = total + A.packed(A.go_on(model, x, y, rate, row["chunk"].as_py() % (1 << 31))).astype(float) * len(ids)
                 seen, windows = seen + len(ids), windows + len(x)
             if seen:
                 yield pa.RecordBatch.from_arrays(

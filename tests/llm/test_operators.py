@@ -322,7 +322,7 @@ def test_lm_is_a_distribution():
     r = np.random.default_rng(0)
     n = 300
     codes = attention.Codes(r.integers(0, 50, n).astype(float), r.random(n) < .5)
-    m = {k: v * 3 for k, v in attention.start_model(1).items()}
+    m = {k: v * 2 for k, v in attention.start_model(codes, 1).items()}
     head = r.integers(0, n, 40)
     total = sum(math.exp(attention.token_logs(m, codes, np.append(head, i), np.array([0, 41]), 0)[-1]) for i in range(n))
     assert math.isclose(total, 1, rel_tol=1e-3)
@@ -339,11 +339,11 @@ def test_lm_model_learns():
     codes = attention.Codes(counts, np.ones(64, bool))
     ids = np.concatenate(seqs)
     first = np.arange(0, len(ids) + 1, 120)
-    symbols = np.empty(len(ids), np.int32)
-    symbols[1:] = codes.symbol[ids[:-1]]
-    symbols[first[:-1]] = codes.symbol[63]
-    x, place = attention.views(symbols, first, codes.symbol[63])
-    m = attention.train(x, np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1), steps=300)
+    x, place = attention.spans(attention.inputs(codes, ids, first, 63), first, codes.symbol[63])
+    y = np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1)
+    m = attention.start_model(codes)
+    for seed in range(3):
+        m = attention.go_on(m, x, y, 0.03, seed)
     logs = attention.token_logs(m, codes, ids, first, 63)
     assert logs.mean() > np.log(1 / 20) + 0.5
 
