@@ -8,9 +8,9 @@ from the suffix rules (``start_model``) and is re-estimated from all texts
 summed expected counts; only these sums, of the model's size, reach the driver.
 
 A text's tokens are cut into pieces of ``PIECE`` tokens, each tagged on its own, so
-the work and the state of a fold stay linear in the text's length.  ``hmm_tagger``
-gives the best path (Viterbi) as one fold over a piece's symbols, a column expression
-without Python, to be passed as ``tagger`` to ``text.with_text_arrays``.
+the work and the state stay linear in the text's length.  ``hmm_tagger`` gives the best
+path (Viterbi) as an Arrow function that steps through the places of many pieces at
+once, to be passed as ``tagger`` to ``text.with_text_arrays``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..params import Lexicon
 from ..session import materialize, ship_package
 
 PIECE = 32
+BLOCK = 4096    # pieces that a task works on together
 LETTERS = 26
 
 
@@ -77,38 +79,112 @@ def start_model(lex: Lexicon, trust: float = 0.9) -> TagModel:
     return TagModel(tags, first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def pieces(symbols: Column) -> Column:
-    """Slices of at most ``PIECE`` elements; none of an empty array."""
-    n = F.size(symbols)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")),
-                                     lambda i: F.slice(symbols, i * PIECE + 1, F.lit(PIECE)))) \
-        .otherwise(F.array().cast("array<array<int>>"))
+def symbol_numbers(words: pa.Array, lex: Lexicon) -> np.ndarray:
+    """``symbol_of`` of an Arrow array, in a task."""
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    chars = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), 0).astype(np.uint8)
+    first = np.where(np.diff(ends) > 0, chars[ends[:-1]], 0).astype(np.int32)
+    for k in np.flatnonzero(first > 127):  # beyond ASCII: the code point
+        first[k] = ord(words[int(k)].as_py()[0])
+    kind = np.full(len(words), len(lex.suffix_tags), np.int32)
+    for k in range(len(lex.suffix_tags) - 1, -1, -1):
+        kind[pc.ends_with(words, lex.suffix_tags[k][0]).to_numpy(zero_copy_only=False)] = k
+    out = len(listed_words(lex)) + (first - 97) % LETTERS + kind * LETTERS
+    listed = pc.index_in(words, pa.array(listed_words(lex), words.type)).fill_null(-1).to_numpy()
+    return np.where(listed >= 0, listed, out).astype(np.int16)
+
+
+def piece_blocks(symbols: np.ndarray, lens: np.ndarray):
+    """The pieces of texts of ``lens`` symbols, the longest first, in blocks of at most
+    ``BLOCK``: (places of the block's pieces x ``PIECE`` in ``symbols``, their lengths)."""
+    n = -(-lens // PIECE)
+    text = np.repeat(np.arange(len(lens)), n)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    begin = (np.cumsum(lens) - lens)[text] + nth * PIECE
+    size = np.minimum(lens[text] - nth * PIECE, PIECE)
+    order = np.argsort(-size, kind="stable")
+    for k in range(0, len(order), BLOCK):
+        at = order[k:k + BLOCK]
+        yield np.minimum(begin[at][:, None] + np.arange(PIECE), len(symbols) - 1), size[at]
+
+
+def _live(lens: np.ndarray) -> np.ndarray:
+    """How many pieces, the longest first, hold each place."""
+    return (lens[None, :] > np.arange(lens.max(initial=0))[:, None]).sum(axis=1)
 
 
 def expected_counts(symbols: np.ndarray, lens: np.ndarray, m: TagModel):
     """Forward-backward over padded pieces (rows of ``symbols``): expected counts of
-    first tags, moves and emissions, and the log likelihood."""
-    n, longest = symbols.shape
-    t = len(m.tags)
-    f, scale = np.zeros((longest, n, t)), np.ones((longest, n))
+    first tags, moves and emissions, and the log likelihood.  Pieces run the longest
+    first, so those that hold a place are the first rows."""
+    order = np.argsort(-lens, kind="stable")
+    live = _live(lens)
+    longest, t = len(live), len(m.tags)
+    sym = np.ascontiguousarray(symbols[order, :longest].T)
+    f = [None] * longest
+    scale = [None] * longest
     for at in range(longest):
-        on = lens > at
-        x = (m.first if at == 0 else f[at - 1, on] @ m.move) * m.emit[symbols[on, at]]
-        scale[at, on] = x.sum(axis=1)
-        f[at, on] = x / scale[at, on][:, None]
-    b = np.ones((n, t))
+        k = live[at]
+        x = m.first * m.emit[sym[at, :k]] if at == 0 else (f[at - 1][:k] @ m.move) * m.emit[sym[at, :k]]
+        scale[at] = x.sum(axis=1, keepdims=True)
+        f[at] = x / scale[at]
+    b = np.ones((len(lens), t))
     move, emit = np.zeros((t, t)), np.zeros((len(m.emit), t))
     for at in range(longest - 1, -1, -1):
-        on = lens > at + 1
-        if on.any():
-            ahead = m.emit[symbols[on, at + 1]] * b[on] / scale[at + 1, on][:, None]
-            move += m.move * (f[at, on].T @ ahead)
-            b[on] = ahead @ m.move.T
-        on = lens > at
-        gamma = f[at, on] * b[on]
+        if at + 1 < longest:
+            k = live[at + 1]
+            ahead = m.emit[sym[at + 1, :k]] * b[:k] / scale[at + 1]
+            move += m.move * (f[at][:k].T @ ahead)
+            b[:k] = ahead @ m.move.T
+        k = live[at]
+        gamma = f[at] * b[:k]
+        for j in range(t):
+            emit[:, j] += np.bincount(sym[at, :k], gamma[:, j], len(emit))
+    first = (f[0] * b[:live[0]]).sum(axis=0) if longest else np.zeros(t)
+    return first, move, emit, float(sum(np.log(x).sum() for x in scale))
+
+
+def best_tags(symbols: np.ndarray, lens: np.ndarray, m: TagModel) -> np.ndarray:
+    """The best path (tag numbers) of each padded piece, the longest first; of equal
+    ones the tag named first in the model."""
+    with np.errstate(divide="ignore"):
+        first, move, emit = (np.where(x > 0, np.log(x), -1e300) for x in (m.first, m.move, m.emit))
+    live = _live(lens)
+    longest, t = len(live), len(m.tags)
+    sym = np.ascontiguousarray(symbols[:, :longest].T)
+    emit = np.ascontiguousarray(emit.T)
+    v = [first[j] + emit[j][sym[0]] for j in range(t)] if longest else []
+    out = np.zeros((longest, len(lens)), np.int8)
+    back = np.zeros((longest, t, len(lens)), np.int8)
+    done = np.zeros(len(lens), np.int8)
+
+    def last(lo, hi):  # the pieces that end here
+        best = v[0][lo:hi]
+        for j in range(1, t):
+            more = v[j][lo:hi] > best
+            done[lo:hi][more] = j
+            best = np.where(more, v[j][lo:hi], best)
+    for at in range(1, longest):
+        k, was = live[at], live[at - 1]
+        last(k, was)
+        into = []
         for j in range(t):
-            emit[:, j] += np.bincount(symbols[on, at], gamma[:, j], len(emit))
-    return (f[0] * b).sum(axis=0), move, emit, float(np.log(scale).sum())
+            best, via = v[0][:k] + move[0, j], back[at, j, :k]
+            for i in range(1, t):
+                x = v[i][:k] + move[i, j]
+                via[x > best] = i
+                np.maximum(best, x, out=best)
+            into.append(best + emit[j][sym[at, :k]])
+        v = into
+    if longest:
+        last(0, live[-1])
+    for at in range(longest - 1, -1, -1):
+        k = live[at]
+        out[at, :k] = done[:k]
+        if at:
+            done[:k] = back[at, done[:k], np.arange(k)]
+    return out.T
 
 
 def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior: float = 0.1,
@@ -119,8 +195,13 @@ def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior:
     ship_package(df.sparkSession)
     m = model or start_model(lex)
     t, s = len(m.tags), len(m.emit)
-    rows = materialize(df.select(F.explode(pieces(F.transform(F.col(tokens), lambda x: symbol_of(x, lex)))).alias("p")),
-                       "tagger-pieces")
+
+    def number(batches):
+        for b in batches:
+            sym, lens = _column_symbols(b.column(0), lex)
+            got = [(sym[at].astype(np.int16), size.astype(np.int16)) for at, size in piece_blocks(sym, lens)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1)], ["s", "n"])
+    rows = materialize(df.select(F.col(tokens)).filter(F.size(tokens) > 0).mapInArrow(number, "s binary, n binary"), "tagger-pieces")
     trace = []
     for _ in range(passes):
         now = m
@@ -128,11 +209,9 @@ def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior:
         def run(batches):
             total = np.zeros(t + t * t + s * t + 1)
             for b in batches:
-                col = b.column(0)
-                lens = np.diff(np.asarray(col.offsets))
-                sym = np.zeros((len(lens), PIECE), np.int64)
-                sym[np.arange(PIECE)[None, :] < lens[:, None]] = col.flatten().to_numpy()
-                if len(lens):
+                for sym, lens in zip(*(b.column(c) for c in (0, 1))):
+                    lens = np.frombuffer(lens.as_buffer(), np.int16).astype(np.int64)
+                    sym = np.frombuffer(sym.as_buffer(), np.int16).reshape(-1, PIECE)
                     a, mv, e, ll = expected_counts(sym, lens, now)
                     total += np.concatenate([a, mv.ravel(), e.ravel(), [ll]])
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "x"])
@@ -150,45 +229,27 @@ def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior:
     return m, trace
 
 
-def _logs(x: np.ndarray) -> Column:
-    """Logarithms as a constant array; impossible is -1e300."""
-    with np.errstate(divide="ignore"):
-        v = np.where(x > 0, np.log(x), -1e300)
-    if v.ndim == 1:
-        return F.array(*[F.lit(float(c)) for c in v])
-    return F.array(*[_logs(r) for r in x])
+def _column_symbols(col, lex: Lexicon):
+    """(symbols of all tokens, tokens a row) of an Arrow column of token arrays; a null is empty."""
+    lens = np.asarray(col.value_lengths().fill_null(0)).astype(np.int64)
+    return symbol_numbers(col.flatten(), lex), lens
 
 
 def hmm_tagger(m: TagModel, lex: Lexicon):
-    """``tokens column -> tags column``: the best tag sequence of every piece; of equal
-    ones the tag named first in the model."""
-    emit = _logs(m.emit)
-    into = _logs(m.move.T.copy())      # one array a next tag
-    first = _logs(m.first)
-    names = F.array(*[F.lit(x) for x in m.tags])
-
-    def add(a, b):
-        return F.zip_with(a, b, lambda x, y: x + y)
-
-    def path(symbols: Column) -> Column:
-        start = F.struct(add(first, F.element_at(emit, symbols[0] + 1)).alias("v"),
-                         F.array().cast("array<array<int>>").alias("back"))
-
-        def step(acc, s):
-            reach = F.transform(into, lambda col: add(acc["v"], col))
-            best = F.transform(reach, lambda r: F.struct(F.array_max(r).alias("v"),
-                                                         F.array_position(r, F.array_max(r)).cast("int").alias("from")))
-            return F.aggregate(F.array(best), acc, lambda _, x: F.struct(
-                add(x["v"], F.element_at(emit, s + 1)).alias("v"),
-                F.array_append(acc["back"], x["from"]).alias("back")))
-
-        def trace(acc):
-            last = F.array_position(acc["v"], F.array_max(acc["v"])).cast("int")
-            return F.reverse(F.aggregate(F.reverse(acc["back"]), F.array(last), lambda got, back: F.array_append(
-                got, F.element_at(back, F.element_at(got, -1)))))
-        return F.aggregate(F.slice(symbols, F.lit(2), F.lit(PIECE)), start, step, trace)
-
-    def tag(tokens: Column) -> Column:
-        found = F.transform(pieces(F.transform(tokens, lambda x: symbol_of(x, lex))), path)
-        return F.transform(F.flatten(found), lambda k: F.element_at(names, k))
+    """``tokens column -> tags column``: the best tag sequence of every piece, all
+    pieces of a batch step by step together."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+    @F.arrow_udf("array<string>")
+    def tag(col: pa.Array) -> pa.Array:
+        sym, lens = _column_symbols(col, lex)
+        found = np.zeros(len(sym), np.int8)
+        for at, size in piece_blocks(sym, lens):
+            inside = np.arange(PIECE)[None, :size.max()] < size[:, None]
+            found[at[:, :size.max()][inside]] = best_tags(sym[at], size, m)[inside]
+        tags = pa.DictionaryArray.from_arrays(pa.array(found), pa.array(m.tags, pa.string())).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), tags)
     return tag

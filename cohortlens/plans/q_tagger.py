@@ -101,13 +101,13 @@ tg as materialized (select sq.id, tok, pos, [{', '.join(f"'{t}'" for t in TAGS)}
 
 
 def _xtexts(spark, sf):
-    """Texts with their tokens, stored once: every pass of the training reads them."""
+    """Texts with their tokens."""
     x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
-    return materialize(x.select("id", "cohort", "community_grp", "txt", T.tokens("txt").alias("_toks")), "tagger-texts")
+    return x.select("id", "cohort", "community_grp", "txt", T.tokens("txt").alias("_toks"))
 
 
 def _tagged(spark, sf):
-    x = _xtexts(spark, sf)
+    x = materialize(_xtexts(spark, sf), "tagger-texts")  # read by the training and by the tagging
     model, _ = G.fit_tagger(x, "_toks", LEX, PASSES, PRIOR)
     # stored, so that no feature folds the path again
     return materialize(x.withColumn("_tags", G.hmm_tagger(model, LEX)(F.col("_toks"))), "tagger-tags")

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,38 @@ def test_empty_table_keeps_the_start(spark):
     df = spark.createDataFrame([], "toks array<string>")
     m, _ = G.fit_tagger(df, "toks", LEX, 2)
     assert np.array_equal(m.move, G.start_model(LEX).move)
+
+
+def test_pieces_of_one_batch_are_tagged_like_single_ones(spark):
+    # lengths around the piece and the block, nulls and empty texts between them
+    r = np.random.default_rng(9)
+    rows = [list(r.choice(WORDS, n)) for n in (1, 31, 32, 33, 64, 0, 200, 5)] + [None] + [list(r.choice(WORDS, 40)) for _ in range(60)]
+    m = G.start_model(LEX)
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, toks array<string>").coalesce(1)
+    was, G.BLOCK = G.BLOCK, 7
+    try:
+        sym = [G.symbol_numbers(pa.array(x or [], pa.string()), LEX) for x in rows]
+        assert [list(x) for x in sym] == [x or [] for x in symbols(spark, rows)]
+        got = {x.k: x.t for x in df.select("k", G.hmm_tagger(m, LEX)(F.col("toks")).alias("t")).collect()}
+        for k, s in enumerate(sym):
+            want = [m.tags[z] for a in range(0, len(s), G.PIECE)
+                    for z in G.best_tags(np.pad(s[a:a + G.PIECE], (0, max(0, G.PIECE - len(s[a:])))).reshape(1, -1), np.array([len(s[a:a + G.PIECE])]), m)[0]]
+            assert got[k] == want
+        flat, lens = np.concatenate(sym), np.array([len(s) for s in sym])
+        blocks = list(G.piece_blocks(flat, lens))
+        assert max(len(n) for _, n in blocks) <= 7 and sum(int(n.sum()) for _, n in blocks) == len(flat)
+    finally:
+        G.BLOCK = was
+
+
+def test_numbers_in_tasks_are_those_of_the_expression(spark):
+    words = [*WORDS, "", "\u00e9t\u00e9ing", "\u4e2dly", "tion", "ing", "thing", "zly"]
+    whole = pa.array(["x", *words, "y"], pa.string())
+    assert list(G.symbol_numbers(whole.slice(1, len(words)), LEX)) == symbols(spark, [words])[0]
+    assert len(G.symbol_numbers(pa.array([], pa.string()), LEX)) == 0
+
+
+def test_best_path_is_no_expression_per_token(spark):
+    df = spark.createDataFrame([(["it"],)], "toks array<string>")
+    plan = df.select(G.hmm_tagger(G.start_model(LEX), LEX)(F.col("toks")).alias("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "zip_with" not in plan
