@@ -79,6 +79,19 @@ def _sparse(slot_lists, idf):
     return text[some], slot[some], (x[some] / norm[text[some]])
 
 
+def runs_of(sizes, most: int):
+    """Bounds (begin, end) of runs of neighbours whose sizes add up to ``most`` at most;
+    a larger one is a run of its own."""
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if k > begin and held + n > most:
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if len(sizes):
+        yield begin, len(sizes)
+
+
 class TextModel:
     """A fitted model; called without arguments it gives ``predict(texts) -> (n, classes)``."""
 
@@ -141,18 +154,20 @@ def fit_classifier(rows: DataFrame, text: str, label: Column, classes: int, pass
             from pyspark import TaskContext
             g, loss = np.zeros((slots + 1, classes)), 0.0
             for b in batches:
-                ys = b.column("y").to_numpy()
-                texts, slot, x = _sparse([np.asarray(s.values) for s in b.column("s")], idf)
-                z = np.tile(now[-1], (len(ys), 1))
-                for c in range(classes):
-                    z[:, c] += np.bincount(texts, x * now[slot, c], len(ys))
-                p = softmax(z)
-                loss -= float((weigh[ys] * np.log(p[np.arange(len(ys)), ys])).sum())
-                p[np.arange(len(ys)), ys] -= 1
-                p *= weigh[ys][:, None]
-                for c in range(classes):
-                    g[:-1, c] += np.bincount(slot, x * p[texts, c], slots)
-                g[-1] += p.sum(axis=0)
+                every, col = b.column("y").to_numpy(), b.column("s")
+                for lo, hi in runs_of(np.asarray(col.value_lengths()), RUN_WORDS):
+                    ys = every[lo:hi]
+                    texts, slot, x = _sparse([np.asarray(s.values) for s in col.slice(lo, hi - lo)], idf)
+                    z = np.tile(now[-1], (len(ys), 1))
+                    for c in range(classes):
+                        z[:, c] += np.bincount(texts, x * now[slot, c], len(ys))
+                    p = softmax(z)
+                    loss -= float((weigh[ys] * np.log(p[np.arange(len(ys)), ys])).sum())
+                    p[np.arange(len(ys)), ys] -= 1
+                    p *= weigh[ys][:, None]
+                    for c in range(classes):
+                        g[:-1, c] += np.bincount(slot, x * p[texts, c], slots)
+                    g[-1] += p.sum(axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId() % CELLS], pa.int32()), pa.array([g.tobytes()], pa.binary()),
                  pa.array([loss])], ["cell", "g", "loss"])

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from ..params import EMOTION_LABELS
 
 _CACHE: dict[object, Callable] = {}
+RUN_CHARS = 1 << 22     # characters of texts that a scorer gets at once, one text at least
 
 
 def _ship() -> None:
@@ -57,6 +58,32 @@ def _blank(texts: Sequence[str]) -> np.ndarray:
     return np.array([len(t.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).strip(" ")) == 0 for t in texts])
 
 
+def _text(t) -> str:
+    return t if isinstance(t, str) else "" if pd.isna(t) else str(t)
+
+
+def _scores(predict, column, index: int, blank_zero: bool = False, size: int | None = None) -> np.ndarray:
+    """The scores of ``size`` texts (null: empty), scored in runs of bounded length, so
+    the memory follows the run, not the batch.  ``blank_zero``: blank ones score 0."""
+    out = np.empty(len(column) if size is None else size)
+    run, held, begin = [], 0, 0
+
+    def score(end):
+        out[begin:end] = predict(run)[:, index]
+        if blank_zero:
+            out[begin:end][_blank(run)] = 0.0
+    for k, t in enumerate(column):
+        t = _text(t)
+        if run and held + len(t) > RUN_CHARS:
+            score(k)
+            run, held, begin = [], 0, k
+        run.append(t)
+        held += len(t)
+    if run:
+        score(len(out))
+    return out
+
+
 class LengthScorer:
     """Formula stand-in for a 2-class classifier: p1 = (len(text) % 101) / 100,
     0 for blank text; returns [1 - p1, p1]."""
@@ -88,14 +115,13 @@ def class_probability(text: Column, factory, index: int = 1) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = _predictor(factory)
         for s in batches:
-            texts = s.fillna("").astype(str).tolist()
-            yield pd.Series(predict(texts)[:, index] if texts else [], dtype="float64")
+            yield pd.Series(_scores(predict, s, index), dtype="float64")
     return score(text)
 
 
 def post_scores(title: Column, selftext: Column, factory, index: int = 1,
                 zero_blank_each: bool = False) -> Column:
-    """D3: three scores for a post in one batch: title, selftext (0 when blank),
+    """D3: three scores for a post in one function: title, selftext (0 when blank),
     and title + ' ' + selftext; ``zero_blank_each`` zeroes any blank text."""
     _ship()
 
@@ -103,20 +129,10 @@ def post_scores(title: Column, selftext: Column, factory, index: int = 1,
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         predict = _predictor(factory)
         for t, s in batches:
-            tt = t.fillna("").astype(str).tolist()
-            ss = s.fillna("").astype(str).tolist()
-            cc = [a + " " + b for a, b in zip(tt, ss)]
-            n = len(tt)
-            if n == 0:
-                yield pd.DataFrame({"sentiment_title": [], "sentiment_text": [], "sentiment_complex": []})
-                continue
-            p = predict(tt + ss + cc)[:, index]
-            pt, ps, pc = p[:n].copy(), p[n:2 * n].copy(), p[2 * n:].copy()
-            ps[_blank(ss)] = 0.0
-            if zero_blank_each:
-                pt[_blank(tt)] = 0.0
-                pc[_blank(cc)] = 0.0
-            yield pd.DataFrame({"sentiment_title": pt, "sentiment_text": ps, "sentiment_complex": pc})
+            both = (f"{_text(a)} {_text(b)}" for a, b in zip(t, s))
+            yield pd.DataFrame({"sentiment_title": _scores(predict, t, index, zero_blank_each),
+                                "sentiment_text": _scores(predict, s, index, True),
+                                "sentiment_complex": _scores(predict, both, index, zero_blank_each, len(t))})
     return score(title, selftext)
 
 

@@ -117,3 +117,19 @@ def test_models_are_interchangeable_in_the_score_columns(spark):
 def test_no_labelled_rows(spark):
     model, losses = CL.fit_classifier(frame(spark, [("a", None)]), "txt", F.col("y"), 2, slots=SLOTS)
     assert losses == [] and np.allclose(model()(["a", None]), 0.5)
+
+
+def test_work_is_cut_into_bounded_runs(spark, monkeypatch):
+    import pandas as pd
+    from cohortlens.operators import classifier as CL
+    from cohortlens.operators import models as MD
+    assert list(CL.runs_of([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and not list(CL.runs_of([], 6))
+    seen = []
+
+    def predict(texts):
+        seen.append(sum(map(len, texts)))
+        return MD.LengthScorer()()(texts)
+    monkeypatch.setattr(MD, "RUN_CHARS", 10)
+    texts = pd.Series(["abcdef", None, "xyz", " ", "a" * 25, "bb"])
+    got = MD._scores(predict, texts, 1)
+    assert list(got) == [0.06, 0.0, 0.03, 0.0, 0.25, 0.02] and len(seen) > 2 and sorted(seen)[-2] <= 10
