@@ -19,6 +19,7 @@ from ..functions.tags import zero_rule
 from ..functions.time import decay
 from ..params import (CommWeights, InteractionWeights, LengthScoreWeights, Lexicon, PosScoreWeights, RankWeights,
                       TimeScore, Groups)
+from ..session import materialize
 from .relational import drop_sentinel, rank_rows, top_n
 from .windows import clip_minmax, exact_quantile, minmax_expr
 
@@ -172,8 +173,10 @@ def user_month_scores(posts: DataFrame, replies: DataFrame, users: DataFrame, gr
     kind): for each group and kind, the interaction score with the reporting
     zero rule; 0 where the user has no rows (long form; see ``reshape.wide``)."""
     keys = ("author", "community_grp", "month")
-    p = posts.join(users, on="author", how="left_semi")
-    r = replies.join(users, on="author", how="left_semi")
+    # written once: the scores and the months read them
+    p = materialize(posts.select(*keys, "score", "num_comments").join(users, on="author", how="left_semi"), "month-posts")
+    r = materialize(replies.select(*keys, "parent_id", *[c for c in ("created_utc", "score", "is_submitter") if c in replies.columns])
+                    .join(users, on="author", how="left_semi"), "month-replies")
     rep = reply_interaction(r, None, w, keys=keys, rule="report").withColumn("kind", F.lit("reply"))
     pos = post_interaction(p, w, keys=keys, rule="report").withColumn("kind", F.lit("post"))
     scores = rep.unionByName(pos)
@@ -182,8 +185,11 @@ def user_month_scores(posts: DataFrame, replies: DataFrame, users: DataFrame, gr
                       for g in groups.labels for k in ("reply", "post")])
     grid = months.select("author", "month", F.explode(cells).alias("_c")) \
                  .select("author", "month", "_c.community_grp", "_c.kind")
-    return (grid.join(scores, on=["author", "community_grp", "month", "kind"], how="left")
-            .withColumn("graph", F.coalesce(F.col("graph"), F.lit(0.0))))
+    # every score has its cell in the grid but for those outside the groups or without a
+    # month: one aggregate of both stands for the join
+    scores = scores.filter(F.col("month").isNotNull() & F.col("community_grp").isin(list(groups.labels)))
+    return (grid.withColumn("graph", F.lit(0.0)).unionByName(scores.select(*grid.columns, "graph"))
+            .groupBy("author", "community_grp", "month", "kind").agg(F.coalesce(F.sum("graph"), F.lit(0.0)).alias("graph")))
 
 
 # ------------------------------------------------------------------ D17-D20: rankings

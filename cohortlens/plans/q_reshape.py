@@ -93,8 +93,8 @@ select author, count(*) n_cells, string_agg(concat(name, '=', cast(v as varchar)
 from ws group by author""")
 def wide_user_months(spark, sf):
     w = _wide(spark, sf)
-    names = F.array_sort(F.map_keys("cells"))
-    shown = F.transform(names, lambda k: F.concat(k, F.lit("="), F.round(F.element_at("cells", k) * 1000).cast("bigint").cast("string")))
+    cells = F.array_sort(F.map_entries("cells"))   # names are unique
+    shown = F.transform(cells, lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 1000).cast("bigint").cast("string")))
     return w.select("author", F.size("cells").cast("bigint").alias("n_cells"), F.array_join(shown, ",").alias("cells"))
 
 

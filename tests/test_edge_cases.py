@@ -238,3 +238,20 @@ def test_integrated_rank_cells_equal_rows(spark):
     cols, rw = {"sentiment": "s"}, RankWeights()
     a = rows(S.integrated_rank(posts, replies, cols, cols, rw))
     assert a == rows(S.integrated_rank(*cells, cols, cols, rw, row_weight="n")) and len(a) == 2
+
+
+def test_user_months_read_the_rows_once(spark):
+    from cohortlens.operators import scores as S
+    from cohortlens.params import FIXTURE_GROUPS as G
+    a, b = G.labels[:2]
+    posts = spark.createDataFrame([("u1", a, "2020-01", 4, 2), ("u1", None, "2020-02", 1, 0), ("u1", a, None, 9, 9), ("u2", a, "2020-01", 5, 5)],
+                                  "author string, community_grp string, month string, score bigint, num_comments bigint")
+    replies = spark.createDataFrame([("u1", b, "2020-01", "p", 1, 3, True), ("u1", b, "2020-01", "p", 2, 2, True)],
+                                    "author string, community_grp string, month string, parent_id string, created_utc bigint, score bigint, is_submitter boolean")
+    users = spark.createDataFrame([("u1",), (None,)], "author string")
+    out = S.user_month_scores(posts, replies, users, G)
+    got = {(r.month, r.community_grp, r.kind): r.graph for r in out.collect()}
+    assert len(got) == out.count() == 3 * 2 * len(G.labels)
+    assert {k: v for k, v in got.items() if v} == {("2020-01", a, "post"): 3.0, ("2020-01", b, "reply"): 33.0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "LogicalRDD" not in plan
