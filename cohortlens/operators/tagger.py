@@ -10,7 +10,9 @@ summed expected counts; only these sums, of the model's size, reach the driver.
 A text's tokens are cut into pieces of ``PIECE`` tokens, each tagged on its own, so
 the work and the state stay linear in the text's length.  ``hmm_tagger`` gives the best
 path (Viterbi) as an Arrow function that steps through the places of many pieces at
-once, to be passed as ``tagger`` to ``text.with_text_arrays``.
+once, to be passed as ``tagger`` to ``text.with_text_arrays``.  Both also take the
+lower-cased text itself: its tokens are then cut in the task, from the bytes, so no
+array of words is stored or sent to it.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..params import Lexicon
 from ..session import materialize, ship_package
 
 PIECE = 32
 BLOCK = 4096    # pieces that a task works on together
+RUN_BYTES = 1 << 24
 LETTERS = 26
 
 
@@ -95,6 +99,34 @@ def symbol_numbers(words: pa.Array, lex: Lexicon) -> np.ndarray:
     return np.where(listed >= 0, listed, out).astype(np.int16)
 
 
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """``text.tokens`` of an Arrow array of lower-cased texts: the runs of bytes a-z,
+    which are never part of a longer character.  A null text has no words."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    letter = (data - np.uint8(97)) < 26
+    fresh = np.zeros(len(data) + 1, bool)   # no letter before, or another text
+    fresh[0] = True
+    fresh[1:len(data)] = ~letter[:-1]
+    fresh[ends] = True
+    begin = np.flatnonzero(letter & fresh[:-1])
+    # letters before each word, the words' places in the letters alone
+    at = np.append(np.cumsum(letter)[begin] - 1 if len(begin) else np.zeros(0, np.int64), letter.sum())
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[letter]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, ends), pa.int32()), words.cast(pa.string()))
+
+
+def text_runs(col: pa.Array):
+    """Slices of an Arrow column of about ``RUN_BYTES`` bytes each, one row at least."""
+    n = max(1, min(len(col), -(-col.nbytes // RUN_BYTES)))
+    for k in range(n):
+        lo, hi = len(col) * k // n, len(col) * (k + 1) // n
+        if hi > lo:
+            yield col.slice(lo, hi - lo)
+
+
 def piece_blocks(symbols: np.ndarray, lens: np.ndarray):
     """The pieces of texts of ``lens`` symbols, the longest first, in blocks of at most
     ``BLOCK``: (places of the block's pieces x ``PIECE`` in ``symbols``, their lengths)."""
@@ -190,18 +222,20 @@ def best_tags(symbols: np.ndarray, lens: np.ndarray, m: TagModel) -> np.ndarray:
 def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior: float = 0.1,
                model: TagModel | None = None) -> tuple[TagModel, list[float]]:
     """The model after ``passes`` re-estimations over all texts of ``df`` and the log
-    likelihood before each.  ``prior`` counts are added to every cell; without them
+    likelihood before each.  ``tokens`` names the token arrays or the lower-cased texts.  ``prior`` counts are added to every cell; without them
     the log likelihood never falls."""
     ship_package(df.sparkSession)
     m = model or start_model(lex)
     t, s = len(m.tags), len(m.emit)
 
     def number(batches):
-        for b in batches:
-            sym, lens = _column_symbols(b.column(0), lex)
+        for col in (c for b in batches for c in text_runs(b.column(0))):
+            sym, lens = _column_symbols(col, lex)
             got = [(sym[at].astype(np.int16), size.astype(np.int16)) for at, size in piece_blocks(sym, lens)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1)], ["s", "n"])
-    rows = materialize(df.select(F.col(tokens)).filter(F.size(tokens) > 0).mapInArrow(number, "s binary, n binary"), "tagger-pieces")
+    of_text = isinstance(df.schema[tokens].dataType, StringType)
+    some = F.length(tokens) > 0 if of_text else F.size(tokens) > 0
+    rows = materialize(df.select(F.col(tokens)).filter(some).mapInArrow(number, "s binary, n binary"), "tagger-pieces")
     trace = []
     for _ in range(passes):
         now = m
@@ -230,21 +264,39 @@ def fit_tagger(df: DataFrame, tokens: str, lex: Lexicon, passes: int = 3, prior:
 
 
 def _column_symbols(col, lex: Lexicon):
-    """(symbols of all tokens, tokens a row) of an Arrow column of token arrays; a null is empty."""
+    """(symbols of all tokens, tokens a row) of an Arrow column of token arrays or of
+    lower-cased texts; a null is empty."""
+    if not pa.types.is_list(col.type):
+        col = words_of(col)
     lens = np.asarray(col.value_lengths().fill_null(0)).astype(np.int64)
     return symbol_numbers(col.flatten(), lex), lens
 
 
-def hmm_tagger(m: TagModel, lex: Lexicon):
-    """``tokens column -> tags column``: the best tag sequence of every piece, all
-    pieces of a batch step by step together."""
+def _ship() -> None:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship_package(spark)
 
+
+def word_cutter():
+    """``lower-cased text column -> tokens column``: ``text.tokens`` as an Arrow function,
+    for plans that tag the same text (both run in one call of the task's worker)."""
+    _ship()
+
     @F.arrow_udf("array<string>")
-    def tag(col: pa.Array) -> pa.Array:
+    def cut(col: pa.Array) -> pa.Array:
+        return pa.concat_arrays([words_of(c) for c in text_runs(col)] or [words_of(col)])
+    return cut
+
+
+def hmm_tagger(m: TagModel, lex: Lexicon):
+    """``tokens column -> tags column``: the best tag sequence of every piece, all
+    pieces of a batch step by step together.  A column of lower-cased texts is taken
+    in place of the tokens."""
+    _ship()
+
+    def tags_of(col: pa.Array) -> pa.Array:
         sym, lens = _column_symbols(col, lex)
         found = np.zeros(len(sym), np.int8)
         for at, size in piece_blocks(sym, lens):
@@ -252,4 +304,8 @@ def hmm_tagger(m: TagModel, lex: Lexicon):
             found[at[:, :size.max()][inside]] = best_tags(sym[at], size, m)[inside]
         tags = pa.DictionaryArray.from_arrays(pa.array(found), pa.array(m.tags, pa.string())).cast(pa.string())
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), tags)
+
+    @F.arrow_udf("array<string>")
+    def tag(col: pa.Array) -> pa.Array:
+        return pa.concat_arrays([tags_of(c) for c in text_runs(col)] or [tags_of(col)])
     return tag

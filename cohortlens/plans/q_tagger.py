@@ -101,16 +101,18 @@ tg as materialized (select sq.id, tok, pos, [{', '.join(f"'{t}'" for t in TAGS)}
 
 
 def _xtexts(spark, sf):
-    """Texts with their tokens."""
+    """Texts, also lower-cased: their tokens are cut where they are needed."""
     x = V.xtexts(spark, sf).withColumn("txt", T.post_text("title", "selftext"))
-    return x.select("id", "cohort", "community_grp", "txt", T.tokens("txt").alias("_toks"))
+    return x.select("id", "cohort", "community_grp", "txt", F.lower("txt").alias("_low"))
 
 
 def _tagged(spark, sf):
-    x = materialize(_xtexts(spark, sf), "tagger-texts")  # read by the training and by the tagging
-    model, _ = G.fit_tagger(x, "_toks", LEX, PASSES, PRIOR)
-    # stored, so that no feature folds the path again
-    return materialize(x.withColumn("_tags", G.hmm_tagger(model, LEX)(F.col("_toks"))), "tagger-tags")
+    x = materialize(_xtexts(spark, sf).drop("_low"), "tagger-texts")  # read by the training and by the tagging
+    x = x.withColumn("_low", F.lower("txt"))
+    model, _ = G.fit_tagger(x, "_low", LEX, PASSES, PRIOR)
+    # one projection: tokens and tags of a text come from one call of the worker
+    return x.select("id", "cohort", "community_grp", "txt", G.word_cutter()(F.col("_low")).alias("_toks"),
+                    G.hmm_tagger(model, LEX)(F.col("_low")).alias("_tags"))
 
 
 @query("hmm_model", "D6", f"""{_training_sql()}
@@ -118,7 +120,7 @@ select tag, next_tag, round(p, 6) probability from ({' union all '.join(
     f"select '{TAGS[i]}' tag, '{TAGS[j]}' next_tag, m{i}{j} p from p{PASSES}" for i in N for j in N)})""")
 def hmm_model(spark, sf):
     """Transition probabilities after the training passes over all texts."""
-    m, _ = G.fit_tagger(_xtexts(spark, sf), "_toks", LEX, PASSES, PRIOR)
+    m, _ = G.fit_tagger(_xtexts(spark, sf), "_low", LEX, PASSES, PRIOR)
     rows = [(a, b, float(m.move[i, j])) for i, a in enumerate(m.tags) for j, b in enumerate(m.tags)]
     return spark.createDataFrame(rows, "tag string, next_tag string, probability double")
 

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +140,27 @@ def test_best_path_is_no_expression_per_token(spark):
     df = spark.createDataFrame([(["it"],)], "toks array<string>")
     plan = df.select(G.hmm_tagger(G.start_model(LEX), LEX)(F.col("toks")).alias("t"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "zip_with" not in plan
+
+
+@pytest.mark.parametrize("part", [(0, None), (3, None), (5, 400), (0, 0)])
+def test_words_of_bytes_are_the_tokens(part):
+    """Words cut from the bytes of a column, sliced or not, are the pattern's."""
+    rnd = random.Random(7)
+    texts = ["", None, "abc", "a b", " a", "é a-bé", "ab", "cd", None, "x"] + [
+        "".join(rnd.choice("ab -éz\n9ж") for _ in range(rnd.randrange(30))) for _ in range(1000)]
+    col = pa.array(texts).slice(*part)
+    assert G.words_of(col).to_pylist() == [re.findall("[a-z]+", x or "") for x in col.to_pylist()]
+
+
+def test_tagger_takes_texts_for_tokens(spark):
+    """Training and best path from the lower-cased text equal those from its token arrays."""
+    texts = ["I am Here, running quickly", None, "", "é! we're  going-home", "you and they walked " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, txt string") \
+        .select("id", F.lower("txt").alias("low"), T.tokens("txt").alias("toks"))
+    of_text, trace_text = G.fit_tagger(df, "low", LEX, 2)
+    of_toks, trace_toks = G.fit_tagger(df, "toks", LEX, 2)
+    assert np.allclose(of_text.emit, of_toks.emit) and np.allclose(of_text.move, of_toks.move)
+    assert np.allclose(trace_text, trace_toks)
+    got = df.select("id", "toks", G.word_cutter()(F.col("low")).alias("cut"), G.hmm_tagger(of_toks, LEX)(F.col("low")).alias("a"),
+                    G.hmm_tagger(of_toks, LEX)(F.col("toks")).alias("b")).collect()
+    assert len(got) == len(texts) and all(r["cut"] == r["toks"] and r["a"] == r["b"] for r in got)
