@@ -105,6 +105,7 @@ def comm_scores(posts: DataFrame, replies: DataFrame, groups: Groups, w: CommWei
     g = g.withColumn("comm_score", (F.lit(w.interactions) * F.col("interactions")
                                     + F.lit(w.partners) * F.col("partners")
                                     + F.lit(w.groups) * F.col("groups")).cast("double"))
+    g = materialize(g, "comm-scores")   # the quantile, the minimum and the result read it
     q = exact_quantile(g, "comm_score", w.clip_quantile, [grp]).join(
         g.groupBy(grp).agg(F.min("comm_score").alias("_lo0")), on=grp, how="inner")
     j = g.join(F.broadcast(q), on=grp, how="inner")   # at most one row per group label
