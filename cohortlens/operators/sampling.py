@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def hash_order(cols: Sequence[str | Column], seed: str) -> Column:
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
@@ -28,14 +30,15 @@ def sample_per_group(df: DataFrame, group: Sequence[str], order_cols: Sequence[s
     """The n rows of each group with the smallest hash (ties by the hashed text)."""
     group = list(group)
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order_cols])
-    rows = df.withColumn("_h", hash_order(order_cols, seed)).withColumn("_cell", F.substring("_h", 1, HEX))
+    # written once: the counts, the whole cells and the border cell read it
+    rows = materialize(df.withColumn("_h", hash_order(order_cols, seed)).withColumn("_cell", F.substring("_h", 1, HEX)), "sample")
     cells = rows.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell"))
     cells = cells.withColumn("_before", upto - F.col("_n")).filter(F.col("_before") < n) \
         .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c"), "_before",
                 (F.col("_before") + F.col("_n") <= n).alias("_whole"))
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_cell") == F.col("_c")]
-    got = rows.join(cells, on=on, how="inner")
+    got = rows.join(F.broadcast(cells), on=on, how="inner")  # every cell holds a row: n cells a group at most
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h", text))
     border = got.filter(~F.col("_whole")).withColumn("_rank", rank).filter(F.col("_rank") + F.col("_before") <= n)
     return got.filter("_whole").select(*df.columns).unionByName(border.select(*df.columns))

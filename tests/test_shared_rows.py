@@ -1,5 +1,6 @@
 """Operators that read an intermediate in several branches store it: no branch goes back to the sources."""
 
+from cohortlens.operators import sampling as M
 from cohortlens.operators import scores as S
 from cohortlens.params import FIXTURE_GROUPS
 
@@ -19,3 +20,15 @@ def test_comm_scores_go_back_to_no_source(spark, tmp_path):
     assert not [f for f in got.inputFiles() if "/src-" in f]
     assert {x["author"]: (x["interactions"], x["partners"]) for x in got.collect()} == {
         "a0": (8, 4), "a1": (8, 4), "a2": (8, 4), "a3": (4, 0)}
+
+
+def test_sample_goes_back_to_no_source_and_moves_few_rows(spark, tmp_path):
+    df = _stored(spark, [(k % 3 or None, f"u{k}") for k in range(3000)], "g int, u string", str(tmp_path / "src-s"))
+    got = M.sample_per_group(df, ["g"], ["u"], 40, "s")
+    assert not [f for f in got.inputFiles() if "/src-" in f]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    want = {}
+    for r in df.withColumn("h", M.hash_order(["u"], "s")).orderBy("h").collect():
+        want.setdefault(r["g"], []).append(r["u"])
+    assert sorted((r["g"] or 0, r["u"]) for r in got.collect()) == sorted((g or 0, u) for g, us in want.items() for u in us[:40])
