@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 PART_BITS = 4096 * 8
 HASHES = 3
 BITS_A_ROW = 12
@@ -34,16 +36,23 @@ def _place(value: Column, k: int) -> Column:
 def build_index(spark: SparkSession, table: str, keys: Sequence[str], index: str) -> None:
     """Write the index of the Parquet ``table`` for the columns ``keys``: rows (column,
     part, parts, file, least, most, bits), partitioned by column."""
-    rows = spark.read.parquet(table).select(F.col("_metadata.file_path").alias("file"), *keys)
-    most = spark.read.parquet(table).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    files = materialize(spark.read.parquet(table).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+                        .withColumn("_f", F.monotonically_increasing_id()), "index-files")  # a row a file
+    most = files.agg(F.max("n")).first()[0]
     parts = max(1, -(-int(most or 0) * BITS_A_ROW // PART_BITS))
-    pairs = rows.select("file", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("value"))
-                                                    for k in keys])).alias("x")).select("file", "x.*").filter("value is not null")
+    # rows carry short numbers for their file and column, and a value counts once in a file
+    named = F.broadcast(files.select(F.col("file").alias("_path"), "_f"))
+    pairs = spark.read.parquet(table).select(F.col("_metadata.file_path").alias("_path"), *keys).join(named, "_path") \
+        .select("_f", F.posexplode(F.array(*[F.col(k).cast("string") for k in keys])).alias("_k", "value")) \
+        .filter("value is not null").distinct()
     v = F.col("value")
-    places = pairs.select("file", "column", _part(v, F.lit(parts)).alias("part"), "value",
-                          F.explode(F.array(*[_place(v, k) for k in range(HASHES)])).alias("p"))
-    out = places.groupBy("column", "file", "part").agg(F.min("value").alias("least"), F.max("value").alias("most"),
-                                                       F.bitmap_construct_agg("p").alias("bits"))
+    each = pairs.groupBy(_part(v, F.lit(parts)).alias("part"), "_f", "_k").agg(
+        F.min("value").alias("least"), F.max("value").alias("most"),
+        F.array(*[F.bitmap_construct_agg(_place(v, k)) for k in range(HASHES)]).alias("b"))
+    out = each.select("_f", "_k", "part", "least", "most", F.explode("b").alias("b")) \
+        .groupBy("_f", "_k", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.bitmap_or_agg("b").alias("bits")) \
+        .join(F.broadcast(files.select("_f", "file")), "_f") \
+        .select(F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("_k") + 1).alias("column"), "file", "part", "least", "most", "bits")
     out.withColumn("parts", F.lit(parts)).write.mode("overwrite").partitionBy("column").parquet(index)
 
 

@@ -1,8 +1,11 @@
 """Operators that read an intermediate in several branches store it: no branch goes back to the sources."""
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators import sampling as M
 from cohortlens.operators import scores as S
 from cohortlens.params import FIXTURE_GROUPS
+from cohortlens.sources import skipping as SX
 
 
 def _stored(spark, rows, schema, path):
@@ -32,3 +35,24 @@ def test_sample_goes_back_to_no_source_and_moves_few_rows(spark, tmp_path):
     for r in df.withColumn("h", M.hash_order(["u"], "s")).orderBy("h").collect():
         want.setdefault(r["g"], []).append(r["u"])
     assert sorted((r["g"] or 0, r["u"]) for r in got.collect()) == sorted((g or 0, u) for g, us in want.items() for u in us[:40])
+
+
+def test_index_holds_the_bits_of_every_value(spark, tmp_path):
+    """Values that repeat in a file, nulls and several files: the index has each part's least
+    and most value and the bits of its values, no others."""
+    rows = [(f"a{k % 7}", None if k % 4 == 0 else f"p{k}") for k in range(300)]
+    table, index = str(tmp_path / "t"), str(tmp_path / "i")
+    spark.createDataFrame(rows, "author string, parent string").repartition(3, "author").write.parquet(table)
+    SX.build_index(spark, table, ["author", "parent"], index)
+    got = {(r["column"], r["file"], r["part"]): (r["least"], r["most"], {8 * k + j for k, x in enumerate(r["bits"]) for j in range(8) if x >> j & 1})
+           for r in spark.read.parquet(index).collect()}
+    t = spark.read.parquet(table)
+    want = {}
+    for key in ("author", "parent"):
+        v = F.col("v")
+        seen = t.select(F.col("_metadata.file_path").alias("f"), F.col(key).alias("v")).filter("v is not null").select(
+            "f", "v", SX._part(v, F.lit(1)).alias("part"), *[SX._place(v, k).alias(f"p{k}") for k in range(SX.HASHES)])
+        for r in seen.collect():
+            least, most, bits = want.get((key, r["f"], r["part"]), (r["v"], r["v"], set()))
+            want[key, r["f"], r["part"]] = (min(least, r["v"]), max(most, r["v"]), bits | {r[f"p{k}"] for k in range(SX.HASHES)})
+    assert got == want
