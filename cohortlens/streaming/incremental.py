@@ -18,7 +18,9 @@ from typing import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, DecimalType, IntegralType, StructType
+
+BUCKETS = 1 << 12  # of keyed state, in which done keys stand
 
 
 def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
@@ -61,33 +63,45 @@ def score_unscored(spark: SparkSession, stream: DataFrame, scored_path: str, key
     q.awaitTermination()
 
 
-def first_seen(stream: DataFrame, seed: DataFrame, key: str) -> DataFrame:
+def first_seen(stream: DataFrame, seed: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``stream`` whose ``key`` neither the stream ``seed`` nor an earlier
-    row had, as a stream: one boolean of keyed state says that a key is done, so no
-    batch reads what was scored before.  Of a key's rows in one batch the smallest
-    counts.  Rows without a key are one key."""
+    row had, as a stream: keyed state holds the keys that are done, so no batch reads
+    what was scored before.  A state is a bucket of keys by their hash, not one key: a
+    Python call then handles many keys at once.  Of a key's rows in one batch the
+    smallest counts.  Rows without a key are one key, in a bucket of their own."""
     from ..session import ship_package
     ship_package(stream.sparkSession)
     rest = [c for c in stream.columns if c != key]
     fields = {f.name: f.dataType for f in stream.schema.fields}
-    known = seed.select(F.col(key).cast(fields[key]), *[F.lit(None).cast(fields[c]).alias(c) for c in rest], F.lit(True).alias("_done"))
-    both = stream.select(key, *rest, F.lit(False).alias("_done")).unionByName(known)
+    # whole numbers travel as decimals: pandas makes floats of those that share a column with a null
+    kept = {c: DecimalType(20, 0) if isinstance(fields[c], IntegralType) else fields[c] for c in rest}
+    known = seed.select(F.col(key).cast(fields[key]), *[F.lit(None).cast(kept[c]).alias(c) for c in rest], F.lit(True).alias("_done"))
+    named = F.hex(key) if isinstance(fields[key], BinaryType) else F.col(key).cast("string")
+    both = stream.select(key, *[F.col(c).cast(kept[c]).alias(c) for c in rest], F.lit(False).alias("_done")).unionByName(known) \
+        .withColumn("_id", F.coalesce(named, F.lit(""))) \
+        .withColumn("_bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int"))
 
     def step(k, frames, state):
-        done, best = state.exists, None
+        old = set(state.get[0]) if state.exists else set()
+        done, best = set(old), None
         for f in frames:
-            done = done or bool(f["_done"].any())
-            new = f[~f["_done"]]
-            if not done and len(new):
+            done.update(f.loc[f["_done"], "_id"])
+            new = f[~f["_done"] & ~f["_id"].isin(done)]
+            if len(new):
                 best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(rest, kind="stable").head(1) if rest else best.head(1)
-        state.update((True,))
-        if not done and best is not None:
+                if best["_id"].duplicated().any():
+                    best = (best.sort_values(rest, kind="stable") if rest else best).drop_duplicates("_id")
+        if best is not None:
+            best = best[~best["_id"].isin(done)]
+            done.update(best["_id"])
+        if len(done) > len(old):
+            state.update((sorted(done),))
+        if best is not None and len(best):
             yield best[[key, *rest]]
-    shape = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in [key, *rest])
-    out = both.groupBy(key).applyInPandasWithState(step, shape, "done boolean", "append", "NoTimeout")
+    shape = ", ".join(f"`{c}` {t.simpleString()}" for c, t in [(key, fields[key]), *kept.items()])
+    out = both.groupBy("_bucket").applyInPandasWithState(step, shape, "done array<string>", "append", "NoTimeout")
     # a filter that holds always: it puts the rows into the form that a pandas UDF behind it needs
-    return out.filter(F.spark_partition_id() >= 0)
+    return out.filter(F.spark_partition_id() >= 0).select(key, *[F.col(c).cast(fields[c]).alias(c) for c in rest])
 
 
 def score_first_seen(stream: DataFrame, seed: DataFrame, key: str, score: Callable[[DataFrame], DataFrame],
