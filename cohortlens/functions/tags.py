@@ -62,3 +62,20 @@ def safe_bigint(c: Column, default: int | None = None) -> Column:
 
 def safe_double(c: Column) -> Column:
     return c.cast("string").try_cast("double")
+
+
+def cell_code(day: str, cohort: str, grp: str, groups: Groups) -> Column:
+    """One long for a day, a cohort and a community group, both of ``groups``' labels."""
+    labels = F.array(*[F.lit(x) for x in groups.labels])
+    n = len(groups.labels)
+    at = [F.array_position(labels, F.col(c)) - 1 for c in (cohort, grp)]
+    return F.unix_date(F.col(day)).cast("long") * (n * n) + at[0] * n + at[1]
+
+
+def cell_parts(code: str, groups: Groups) -> tuple[Column, Column, Column]:
+    """(day, cohort, community group) of a :func:`cell_code`."""
+    labels = F.array(*[F.lit(x) for x in groups.labels])
+    n = len(groups.labels)
+    inner = F.pmod(F.col(code), F.lit(n * n)).cast("int")
+    day = F.floor((F.col(code) - inner) / F.lit(n * n)).cast("int")
+    return F.date_from_unix_date(day), F.get(labels, F.floor(inner / F.lit(n)).cast("int")), F.get(labels, F.pmod(inner, F.lit(n)))

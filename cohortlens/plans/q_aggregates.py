@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tags import cell_code, cell_parts
 from ..operators import aggregates as A
 from ..operators import relational as R
 from ..params import FIXTURE_GROUPS, FIXTURE_LEXICON as LEX
@@ -210,19 +211,22 @@ select tg.created_day, tg.cohort, tg.community_grp, tg.tag, tg.n, coalesce(tw.wo
 from tg join sc using (created_day, cohort, community_grp)
 left join tw using (created_day, cohort, community_grp)""")
 def day_group_text(spark, sf):
-    x = _xtext(spark, sf).withColumn("created_day", F.col("created_day").cast("string"))
     keys = ["created_day", "cohort", "community_grp"]
+    # day and groups as one long: what is counted and sorted by group has a short key
+    x = _xtext(spark, sf).withColumn("_cell", cell_code(*keys, FIXTURE_GROUPS))
     # tokens, tags and the per-text readability are computed once and written
     # under the checkpoint folder; the three aggregates below read them
-    x = materialize(x.select(*keys, "_toks", "_tags", T.reading_ease("txt", F.col("_toks")).alias("_ease")),
+    x = materialize(x.select("_cell", "_toks", "_tags", T.reading_ease("txt", F.col("_toks")).alias("_ease")),
                     "day-group-text")
-    tg = A.exploded_counts(x, keys, F.col("_tags"), "tag")
-    wd = A.exploded_counts(x, keys, F.col("_toks"), "word")
-    tw = A.top_item(wd, keys, "word").withColumnRenamed("n", "freq")
-    sc = x.groupBy(*keys).agg(F.sum(F.size("_toks")).cast("bigint").alias("text_length"),
-                              F.sum("_ease").alias("readability"))
-    return (tg.join(sc, on=keys, how="inner").join(tw, on=keys, how="left")
-            .select(*keys, "tag", "n", F.coalesce("word", F.lit("")).alias("word"),
+    tg = A.exploded_counts(x, ["_cell"], F.col("_tags"), "tag")
+    wd = A.exploded_counts(x, ["_cell"], F.col("_toks"), "word")
+    tw = A.top_item(wd, ["_cell"], "word").withColumnRenamed("n", "freq")
+    sc = x.groupBy("_cell").agg(F.sum(F.size("_toks")).cast("bigint").alias("text_length"),
+                                F.sum("_ease").alias("readability"))
+    day, cohort, grp = cell_parts("_cell", FIXTURE_GROUPS)
+    return (tg.join(sc, on="_cell", how="inner").join(tw, on="_cell", how="left")
+            .select(day.cast("string").alias("created_day"), cohort.alias("cohort"), grp.alias("community_grp"),
+                    "tag", "n", F.coalesce("word", F.lit("")).alias("word"),
                     F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"), "text_length", "readability"))
 
 
