@@ -146,15 +146,16 @@ def reply_interaction(replies: DataFrame, post_authors: DataFrame, w: Interactio
     s = zero_rule(F.col(score), F.lit("reply"), rule, is_submitter=F.col("is_submitter")
                   if "is_submitter" in replies.columns else None,
                   zero_reply=w.zero_reply, zero_post=w.zero_post)
-    r = replies.join(post_authors.select("author").distinct(), on="author", how="left_semi") \
-        if post_authors is not None else replies
-    r = r.withColumn("_s", s)
+    r = replies.withColumn("_s", s)
     # the ordering must determine s: time, score, then the submitter flag (report rule)
     first = F.min_by(F.col("_s"), F.struct(*[F.col(c) for c in order if c in r.columns]))
     per_parent = r.groupBy(*keys, parent).agg(F.sum("_s").alias("_sum"), first.alias("_first"))
     per_parent = per_parent.withColumn(
         "_v", F.lit(w.reply_weight) * F.col("_sum") + F.lit(w.repeat_multiplier) * (F.col("_sum") - F.col("_first")))
-    return per_parent.groupBy(*keys).agg(F.sum("_v").alias("graph"))
+    out = per_parent.groupBy(*keys).agg(F.sum("_v").alias("graph"))
+    if post_authors is None:
+        return out
+    return out.join(post_authors.select("author").distinct(), on="author", how="left_semi").select(*keys, "graph")
 
 
 def post_interaction(posts: DataFrame, w: InteractionWeights = InteractionWeights(),
