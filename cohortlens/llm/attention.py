@@ -27,6 +27,7 @@ GROUPS = 16
 MEMBERS = 16
 BATCH = 192  # windows of a scoring step
 PASS_BATCH = 128  # windows of a learning step, at most
+BLOCK = 32  # rows of one group that a product takes together
 F32 = np.float32
 TOP = F32(40)  # bound of logits: exp stays finite without a maximum per row
 TINY = F32(1e-30)  # least sum of exponentials
@@ -92,6 +93,8 @@ _REL = np.arange(SPAN)[None, :] - np.arange(SPAN)[:, None]  # key place less que
 _CAUSAL = np.where(_REL <= 0, 0, -1e9).astype(F32)
 _DIST = np.clip(-_REL, 0, SPAN - 1)
 _ONES = np.ones(max(SPAN, WIDTH, GROUPS, MEMBERS), F32)
+_TOPS = np.full((SPAN, SPAN), TOP)  # an array: the minimum with a number takes three times as long
+_TOP_BLOCK = np.full((BLOCK, GROUPS + MEMBERS), TOP)
 
 
 def start_model(codes: Codes | None = None, seed: int = 0) -> dict:
@@ -107,141 +110,197 @@ def start_model(codes: Codes | None = None, seed: int = 0) -> dict:
             "c": draw(0.1, GROUPS, WIDTH, MEMBERS), "cb": np.log(mass / mass.sum(1, keepdims=True)).astype(F32)}
 
 
-def _attend(m, q, k, v, nothing=None):
-    """Causal attention of the last places of each window over all: (weights, not
-    yet divided by their sums; one over the sums; mixed values)."""
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(s, TOP, out=s)
-    s += (m["d"][_DIST] + _CAUSAL)[-q.shape[1]:]
-    if nothing is not None:
-        s += nothing
+def _weights(m, u, turned, empty=None):
+    """Causal attention of the last places of each window over all, from their
+    queries mapped to the keys' inputs, and the inputs turned: (weights, not yet
+    divided by their sums; one over the sums).  ``empty``: windows with nothing before their second half."""
+    s = np.matmul(u, turned)
+    n = s.shape[1]
+    np.minimum(s, _TOPS[:n], out=s)
+    s += (m["d"][_DIST] + _CAUSAL)[-n:]
     np.exp(s, out=s)
-    inv = (1 / np.maximum(s.reshape(-1, SPAN) @ _ONES[:SPAN], TINY)).reshape(*s.shape[:2], 1)
-    a = np.matmul(s, v)
-    a *= inv
-    return s, inv, a
+    if empty is not None:
+        s[empty, :, :STEP] = 0
+    return s, (1 / np.maximum(s.reshape(-1, SPAN) @ _ONES[:SPAN], TINY)).reshape(*s.shape[:2], 1)
 
 
-def _by_class(h, y):
-    """Scored rows in the order of their classes: (row numbers, hidden values,
-    classes, where each group begins)."""
-    flat = y.reshape(-1)
-    rows = np.flatnonzero(flat >= 0)
-    own = flat[rows].astype(np.uint16)
-    order = np.argsort(own, kind="stable")
-    rows, own = rows[order], own[order].astype(np.int64)
-    return rows, h.reshape(-1, WIDTH).take(rows, 0), own, np.searchsorted(own, np.arange(GROUPS + 1) * MEMBERS)
+def _levels(m):
+    """Weights of both output levels side by side, for each group; their last row
+    are the biases."""
+    out = np.empty((GROUPS, WIDTH + 1, GROUPS + MEMBERS), F32)
+    out[:, :WIDTH, :GROUPS], out[:, WIDTH, :GROUPS] = m["g"], m["gb"]
+    out[:, :WIDTH, GROUPS:], out[:, WIDTH, GROUPS:] = m["c"], m["cb"]
+    return out
+
+
+def _ones_beside(t):
+    """``t`` and a last column of ones: it carries the biases, and what else is added
+    to a whole row, through the products."""
+    out = np.ones((len(t), WIDTH + 1), F32)
+    out[:, :WIDTH] = t
+    return out
+
+
+def _wide(w):
+    """A map that leaves the last column to be added."""
+    out = np.zeros((WIDTH + 1, WIDTH + 1), F32)
+    out[:WIDTH, :WIDTH] = w
+    return out
 
 
-def _exps(h, weights, bias, own):
-    """One softmax: (logits of the own classes, exponentials, their sums)."""
-    z = h @ weights
-    z += bias
-    np.minimum(z, TOP, out=z)
-    mine = z[np.arange(len(z)), own]
-    np.exp(z, out=z)
-    return mine, z, np.maximum(z @ _ONES[:z.shape[1]], TINY)
+class _Scored:
+    """Scored rows in the order of their groups, each group's filled up to whole
+    blocks of ``BLOCK`` rows: one product takes the blocks of all groups.  ``rows``
+    are the scored rows, ``slot`` their places in the blocks, ``at`` the row of each
+    place (-1: none), ``of`` the blocks' groups, ``mine`` the flat places of the two
+    own logits of each row."""
+
+    def __init__(self, y):
+        flat = y.reshape(-1)
+        group = (flat // MEMBERS).astype(np.uint8)  # 255: not scored
+        n = np.bincount(group, minlength=GROUPS)[:GROUPS]
+        self.rows = np.argsort(group, kind="stable")[:n.sum()]
+        own = flat.take(self.rows)
+        per = -(-n // BLOCK)
+        self.of = np.repeat(np.arange(GROUPS), per)
+        self.slot = np.arange(len(own)) + np.repeat((np.cumsum(per) - per) * BLOCK - (np.cumsum(n) - n), n)
+        self.at = np.full(len(self.of) * BLOCK, -1)
+        self.at[self.slot] = self.rows
+        group, begin = np.repeat(np.arange(GROUPS), n), self.slot * (GROUPS + MEMBERS)
+        self.mine = np.concatenate([begin + group, begin + (own + (GROUPS - MEMBERS * group))])
+
+    def hidden(self, h):
+        """Hidden values in blocks; a place with no row repeats the last's."""
+        return h.take(self.at, 0, mode="wrap").reshape(-1, BLOCK, WIDTH + 1)
+
+    def exps(self, h, weights):
+        """The softmaxes of both levels: (own logits of the groups, then of the
+        members; exponentials; their sums (places, 2))."""
+        z = np.matmul(h, weights[self.of])
+        np.minimum(z, _TOP_BLOCK, out=z)
+        mine = z.reshape(-1).take(self.mine)
+        np.exp(z, out=z)
+        return mine, z, np.maximum(z.reshape(-1, GROUPS) @ _ONES[:GROUPS], TINY).reshape(-1, 2)
 
 
 def class_logs(m, x, y):
     """Natural log probability of the classes ``y`` (windows, STEP; -1: not scored,
     0 there) at the second halves of the windows ``x``."""
-    symbols = np.vstack([m["t"], np.zeros((1, WIDTH), F32)])  # a last row for "nothing there"
-    queries, keys, values = (symbols @ w for w in m["w"])
+    symbols = _ones_beside(np.vstack([m["t"], np.zeros((1, WIDTH), F32)]))  # a last row for "nothing there"
+    queries, values = symbols[:, :WIDTH] @ (m["w"][0] @ m["w"][1].T), _wide(m["w"][2])[:WIDTH]
+    weights = _levels(m)
     out = np.zeros(y.size, F32)
     for a in range(0, len(x), BATCH):
         xb = x[a:a + BATCH]
-        own_x = xb[:, STEP:]
-        empty = xb[:, 0] == INPUTS
-        nothing = np.where(xb == INPUTS, F32(-1e9), F32(0))[:, None, :] if empty.any() else None
-        h = _attend(m, queries.take(own_x, 0), keys.take(xb, 0), values.take(xb, 0), nothing)[2]
-        h += symbols.take(own_x, 0)
-        rows, h, own, at = _by_class(h, y[a:a + BATCH])
-        logs, _, total = _exps(h, m["g"], m["gb"], own // MEMBERS)
-        inner = np.empty(len(rows), F32)
-        for g in np.flatnonzero(at[1:] > at[:-1]):
-            b = slice(at[g], at[g + 1])
-            mine, _, inner[b] = _exps(h[b], m["c"][g], m["cb"][g], own[b] - g * MEMBERS)
-            logs[b] += mine
-        out[a * STEP + rows] = logs - np.log(total) - np.log(inner)
+        e = symbols.take(xb, 0)
+        s, inv = _weights(m, queries.take(xb[:, STEP:], 0), e[..., :WIDTH].transpose(0, 2, 1),
+                          np.flatnonzero(xb[:, 0] == INPUTS))
+        mixed = np.matmul(s, e[..., :WIDTH])
+        mixed *= inv
+        h = mixed.reshape(-1, WIDTH) @ values
+        h += e[:, STEP:].reshape(h.shape)
+        places = _Scored(y[a:a + BATCH])
+        mine, _, total = places.exps(places.hidden(h), weights)
+        total = np.log(total)
+        n = len(places.rows)
+        out[a * STEP + places.rows] = mine[:n] + mine[n:] - (total[:, 0] + total[:, 1]).take(places.slot)
     return out.reshape(y.shape)
 
 
-def _back(h, weights, bias, own, scale):
-    """Gradients of one softmax: (of the hidden values, the weights, the bias)."""
-    _, p, total = _exps(h, weights, bias, own)
-    p[np.arange(len(p)), own] -= total
-    by = scale / total
-    dh = p @ weights.T
-    dh *= by[:, None]
-    return dh, (h * by[:, None]).T @ p, by @ p
-
-
 def gradients(m, x: np.ndarray, y: np.ndarray) -> dict:
     """Mean loss gradients on windows ``x`` (windows, SPAN) with classes ``y`` of all
-    places (-1: not scored).  That of ``t`` is (symbols of the batch, their rows)."""
-    e = m["t"].take(x.reshape(-1), 0)
-    q, k, v = ((e @ w).reshape(*x.shape, WIDTH) for w in m["w"])
-    s, inv, mixed = _attend(m, q, k, v)
-    rows, h, own, at = _by_class(mixed.reshape(-1, WIDTH) + e, y)
-    scale = F32(1 / max(1, len(rows)))
-    dr, dg, dgb = _back(h, m["g"], m["gb"], own // MEMBERS, scale)
-    dc, dcb = np.zeros_like(m["c"]), np.zeros_like(m["cb"])
-    for g in np.flatnonzero(at[1:] > at[:-1]):
-        b = slice(at[g], at[g + 1])
-        add, dc[g], dcb[g] = _back(h[b], m["c"][g], m["cb"][g], own[b] - g * MEMBERS, scale)
-        dr[b] += add
-    dh = np.zeros((x.size, WIDTH), F32)
-    dh[rows] = dr
-    part = dh.reshape(mixed.shape) * inv
-    ds = np.matmul(part, v.transpose(0, 2, 1))
-    mixed *= part
-    ds -= (mixed.reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(*x.shape, 1)
+    places (-1: not scored).  That of ``t`` is (symbols of the batch, their rows).
+    Query times key is input * (query map * key map') * input', so neither queries,
+    keys nor values are worked out for a place."""
+    rows = _ones_beside(m["t"]).take(x.reshape(-1), 0)
+    wide = rows.reshape(*x.shape, WIDTH + 1)
+    e, turned = wide[..., :WIDTH], np.ascontiguousarray(wide.transpose(0, 2, 1))
+    wq, wk, wv = m["w"]
+    pair = wq @ wk.T
+    u = (rows[:, :WIDTH] @ pair).reshape(e.shape)
+    s, inv = _weights(m, u, turned[:, :WIDTH])
+    s *= inv
+    mixed = np.matmul(s, wide).reshape(rows.shape)
+    h = mixed @ _wide(wv)
+    h += rows
+    # both output levels
+    places = _Scored(y)
+    weights = _levels(m)
+    h = places.hidden(h)
+    _, z, total = places.exps(h, weights)
+    scale = F32(1 / max(1, len(places.rows)))
+    by = scale / total
+    by[places.at < 0] = 0
+    flat = z.reshape(-1, GROUPS)
+    flat *= by.reshape(-1, 1)
+    z.reshape(-1)[places.mine] -= scale
+    dh = np.zeros((x.size + 1, WIDTH), F32)  # a last row for the places with no row
+    dh[places.at] = np.matmul(z, np.ascontiguousarray(weights[:, :WIDTH].transpose(0, 2, 1))[places.of]).reshape(-1, WIDTH)
+    dh = dh[:-1]
+    groups = (np.arange(GROUPS)[:, None] == places.of).astype(F32)  # adds up the blocks of each group
+    dw = (groups @ np.matmul(h.transpose(0, 2, 1), z).reshape(len(z), weights[0].size)).reshape(weights.shape)
+    # attention
+    part = dh @ _wide(wv.T)[:WIDTH]
+    part[:, WIDTH] = -((part * mixed) @ _ONES[:WIDTH + 1])  # the mean over the keys
+    part = part.reshape(wide.shape)
+    ds = np.matmul(part, turned)
     ds *= s
-    back = [d.reshape(-1, WIDTH) for d in (
-        np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), part))]
-    for d, w in zip(back, m["w"]):
-        dh += d @ w.T
+    dwv = np.matmul(mixed.reshape(wide.shape).transpose(0, 2, 1), dh.reshape(e.shape)).sum(0)[:WIDTH]
+    du = np.matmul(ds, e)
+    dpair = np.matmul(turned[:, :WIDTH], du).sum(0)
+    dh += du.reshape(-1, WIDTH) @ pair.T
+    dh += np.matmul(ds.transpose(0, 2, 1), u).reshape(-1, WIDTH)
+    dh += np.matmul(s.transpose(0, 2, 1), part[..., :WIDTH]).reshape(-1, WIDTH)
     flat = x.reshape(-1).astype(np.uint16)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    return {"t": (flat[begin].astype(np.int64), np.add.reduceat(dh.take(order, 0), begin, axis=0)), "w": np.stack([e.T @ d for d in back]),
+    return {"t": (flat[begin].astype(np.int64), np.add.reduceat(dh.take(order, 0), begin, axis=0)),
+            "w": np.stack([dpair @ wk, dpair.T @ wq, dwv]),
             "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), SPAN).astype(F32),
-            "g": dg, "gb": dgb, "c": dc, "cb": dcb}
+            "g": dw[:, :WIDTH, :GROUPS].sum(0), "gb": dw[:, WIDTH, :GROUPS].sum(0),
+            "c": dw[:, :WIDTH, GROUPS:], "cb": dw[:, WIDTH, GROUPS:]}
 
 
 class Adam:
     """Steps of bounded size; rows of ``t`` that a batch does not hold stay as they
-    are, their averages too."""
+    are, their averages too.  The other parameters step as one array."""
 
     def __init__(self, m):
-        self.t, self.first, self.second = 0, *({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-
-    def step(self, m, g, lr):
+        self.rest, self.t = [k for k in m if k != "t"], 0
+        flat = np.concatenate([m[k].reshape(-1) for k in self.rest])
+        ends = np.cumsum([m[k].size for k in self.rest])
+        self.parts = {"t": m["t"].copy(), "rest": flat}
+        self.m = {"t": self.parts["t"],
+                  **{k: flat[e - m[k].size:e].reshape(m[k].shape) for k, e in zip(self.rest, ends)}}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.parts.items()} for _ in range(2))
+
+    def step(self, g, lr):
         self.t += 1
         a, b = 1 - 0.9 ** self.t, 1 - 0.99 ** self.t
-        for name, d in g.items():
-            at, d = d if isinstance(d, tuple) else (slice(None), d)
+        if not g:
+            return
+        for name, at, d in (("t", *g["t"]),
+                            ("rest", slice(None), np.concatenate([g[k].reshape(-1) for k in self.rest]))):
             one, two = self.first[name][at], self.second[name][at]
             one += F32(0.1) * (d - one)
             d *= d
             two += F32(0.01) * (d - two)
-            self.first[name][at], self.second[name][at] = one, two
-            m[name][at] -= F32(lr / a) * one / (np.sqrt(two * F32(1 / b)) + F32(1e-6))
+            if name == "t":
+                self.first[name][at], self.second[name][at] = one, two
+            self.parts[name][at] -= F32(lr / a) * one / (np.sqrt(two * F32(1 / b)) + F32(1e-6))
 
 
 def go_on(m: dict, x: np.ndarray, y: np.ndarray, rate: float, seed: int, batch: int | None = None) -> dict:
     """``m`` after one pass over all windows in a seeded order, each used once; a
     short pass takes smaller steps, about a hundred of them."""
-    m = {k: v.copy() for k, v in m.items()}
     adam = Adam(m)
     batch = batch or min(PASS_BATCH, max(8, len(x) // 100))
     order = np.random.default_rng(seed).permutation(len(x))
     n = -(-len(x) // batch)
     for t, pick in enumerate(np.array_split(order, n) if n else []):
-        adam.step(m, gradients(m, x[pick], y[pick]), rate * min(1, (t + 1) / 10))
-    return m
+        adam.step(gradients(adam.m, x[pick], y[pick]), rate * min(1, (t + 1) / 10))
+    return adam.m
 
 
 def packed(m: dict) -> np.ndarray:

@@ -65,15 +65,50 @@ def read_vocabulary(path: str | None = None) -> bytes:
 
 
 def encoder(raw: bytes):
-    """The byte-pair encoder of a vocabulary file's bytes, once per process."""
+    """The byte-pair encoder of a vocabulary file's bytes and the byte length of
+    each id, once per process.  A piece is a space and what follows up to the next."""
     key = zlib.crc32(raw)
     if key not in _ENCODER:
         import tiktoken
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-        _ENCODER[key] = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        _ENCODER[key] = tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={}), \
+            np.bincount(list(ranks.values()), [len(b) for b in ranks], IDS).astype(np.int64)
     return _ENCODER[key]
 
 
+def word_ids(encode: tuple, body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(number of ids of each word, all ids in turn) of words of ``body`` with no
+    space in them.  The words go to the encoder as one text; ids have known byte
+    lengths, so they show where a word ends.  If one is not UTF-8, each is cut alone."""
+    enc, size = encode
+    upto = np.cumsum(ends - starts + 1)
+    begin = upto - (ends - starts + 1)
+    text = body.take(np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - 1 - begin, np.diff(upto, prepend=0)),
+                     mode="wrap") if len(body) else body.copy()
+    text[begin] = 0x20
+    text = text.tobytes()
+    try:
+        ids = enc.encode_to_numpy(text.decode(), disallowed_special=())
+    except UnicodeDecodeError:
+        cut = [enc._core_bpe.encode_single_piece(text[a:b]) for a, b in zip(begin.tolist(), upto.tolist())]
+        return np.array([len(x) for x in cut], np.int32), np.array([t for x in cut for t in x], np.uint16)
+    last = np.searchsorted(np.cumsum(size[ids]), upto)
+    return np.diff(last, prepend=-1).astype(np.int32), ids.astype(np.uint16)
+
+
+def distinct(codes: np.ndarray):
+    """As ``np.unique``: sorted values, where each stands first, the number of each
+    code's value.  Only the distinct ones are sorted."""
+    coded = pa.array(codes).dictionary_encode()
+    values, number = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    first = np.empty(len(order), np.int64)
+    first[number[::-1]] = np.arange(len(codes))[::-1]
+    return values[order], first[order], rank[number]
+
+
 def begins_word(raw: bytes) -> np.ndarray:
     out = np.zeros(IDS, bool)
     for line in raw.splitlines():
@@ -96,17 +131,14 @@ def _words(docs: DataFrame, doc_id: str, text: str, folds: int, held: int, vocab
     ``counts`` in training documents, ``lens``/``ids`` their subword ids, ``words``
     the number of each word in turn, ``first`` the documents' offsets into it."""
     def run(batches):
-        enc = encoder(vocabulary.value)
+        encode = encoder(vocabulary.value)
         for cid, doc_ids, off, body, _ in C.chunk_rows(batches):
             low = C.LOWER[body]
             starts, ends, first = C.word_spans(low, off)
-            keys, index, back = np.unique(C.word_codes(low, starts, ends), return_index=True, return_inverse=True)
+            keys, index, back = distinct(C.word_codes(low, starts, ends))
             train = np.array([_learned(i, folds, held) for i in doc_ids], bool)
             counts = np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(keys)).astype(np.int32)
-            raw = low.tobytes()
-            cut = [enc._core_bpe.encode_single_piece(b" " + raw[starts[i]:ends[i]]) for i in index]
-            lens = np.array([len(x) for x in cut], np.int32)
-            ids = np.array([t for x in cut for t in x], np.uint16)
+            lens, ids = word_ids(encode, low, starts[index], ends[index])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cid], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
                  *(pa.array([x.tobytes()], pa.binary()) for x in
