@@ -25,7 +25,7 @@ HASHED = 512
 INPUTS = ALONE + HASHED
 GROUPS = 16
 MEMBERS = 16
-BATCH = 192  # windows of a scoring step
+BATCH = 512  # windows of a scoring step
 PASS_BATCH = 128  # windows of a learning step, at most
 BLOCK = 32  # rows of one group that a product takes together
 F32 = np.float32
@@ -151,8 +151,7 @@ def _wide(w):
 class _Scored:
     """Scored rows in the order of their groups, each group's filled up to whole
     blocks of ``BLOCK`` rows: one product takes the blocks of all groups.  ``rows``
-    are the scored rows, ``slot`` their places in the blocks, ``at`` the row of each
-    place (-1: none), ``of`` the blocks' groups, ``mine`` the flat places of the two
+    are the scored rows, ``slot`` their places in the blocks, ``of`` the blocks' groups, ``mine`` the flat places of the two
     own logits of each row."""
 
     def __init__(self, y):
@@ -164,14 +163,20 @@ class _Scored:
         per = -(-n // BLOCK)
         self.of = np.repeat(np.arange(GROUPS), per)
         self.slot = np.arange(len(own)) + np.repeat((np.cumsum(per) - per) * BLOCK - (np.cumsum(n) - n), n)
-        self.at = np.full(len(self.of) * BLOCK, -1)
-        self.at[self.slot] = self.rows
         group, begin = np.repeat(np.arange(GROUPS), n), self.slot * (GROUPS + MEMBERS)
         self.mine = np.concatenate([begin + group, begin + (own + (GROUPS - MEMBERS * group))])
 
+    def free(self):
+        """Places with no row."""
+        out = np.ones(len(self.of) * BLOCK, bool)
+        out[self.slot] = False
+        return out
+
     def hidden(self, h):
         """Hidden values in blocks; a place with no row repeats the last's."""
-        return h.take(self.at, 0, mode="wrap").reshape(-1, BLOCK, WIDTH + 1)
+        at = np.full(len(self.of) * BLOCK, -1)
+        at[self.slot] = self.rows
+        return h.take(at, 0, mode="wrap").reshape(-1, BLOCK, WIDTH + 1)
 
     def exps(self, h, weights):
         """The softmaxes of both levels: (own logits of the groups, then of the
@@ -230,13 +235,16 @@ def gradients(m, x: np.ndarray, y: np.ndarray) -> dict:
     _, z, total = places.exps(h, weights)
     scale = F32(1 / max(1, len(places.rows)))
     by = scale / total
-    by[places.at < 0] = 0
+    by[places.free()] = 0
     flat = z.reshape(-1, GROUPS)
     flat *= by.reshape(-1, 1)
     z.reshape(-1)[places.mine] -= scale
-    dh = np.zeros((x.size + 1, WIDTH), F32)  # a last row for the places with no row
-    dh[places.at] = np.matmul(z, np.ascontiguousarray(weights[:, :WIDTH].transpose(0, 2, 1))[places.of]).reshape(-1, WIDTH)
-    dh = dh[:-1]
+    dh = np.zeros((len(by) + 1, WIDTH), F32)  # a last row for what is not scored
+    np.matmul(z, np.ascontiguousarray(weights[:, :WIDTH].transpose(0, 2, 1))[places.of],
+              out=dh[:-1].reshape(-1, BLOCK, WIDTH))
+    at = np.full(x.size, -1)
+    at[places.rows] = places.slot
+    dh = dh.take(at, 0, mode="wrap")
     groups = (np.arange(GROUPS)[:, None] == places.of).astype(F32)  # adds up the blocks of each group
     dw = (groups @ np.matmul(h.transpose(0, 2, 1), z).reshape(len(z), weights[0].size)).reshape(weights.shape)
     # attention
@@ -245,17 +253,19 @@ def gradients(m, x: np.ndarray, y: np.ndarray) -> dict:
     part = part.reshape(wide.shape)
     ds = np.matmul(part, turned)
     ds *= s
-    dwv = np.matmul(mixed.reshape(wide.shape).transpose(0, 2, 1), dh.reshape(e.shape)).sum(0)[:WIDTH]
-    du = np.matmul(ds, e)
-    dpair = np.matmul(turned[:, :WIDTH], du).sum(0)
-    dh += du.reshape(-1, WIDTH) @ pair.T
+    dwv = mixed[:, :WIDTH].T @ dh
+    du = np.matmul(ds, e).reshape(-1, WIDTH)
+    dpair = rows[:, :WIDTH].T @ du
+    dh += du @ pair.T
     dh += np.matmul(ds.transpose(0, 2, 1), u).reshape(-1, WIDTH)
     dh += np.matmul(s.transpose(0, 2, 1), part[..., :WIDTH]).reshape(-1, WIDTH)
     flat = x.reshape(-1).astype(np.uint16)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    return {"t": (flat[begin].astype(np.int64), np.add.reduceat(dh.take(order, 0), begin, axis=0)),
+    # pairs of columns as complex numbers: half as many sums to go through
+    sums = np.add.reduceat(dh.take(order, 0).view(np.complex64), begin, axis=0).view(F32)
+    return {"t": (flat[begin].astype(np.int64), sums),
             "w": np.stack([dpair @ wk, dpair.T @ wq, dwv]),
             "d": np.bincount(_DIST.reshape(-1), ds.sum(0).reshape(-1), SPAN).astype(F32),
             "g": dw[:, :WIDTH, :GROUPS].sum(0), "gb": dw[:, WIDTH, :GROUPS].sum(0),
@@ -341,8 +351,5 @@ def inputs(codes: Codes, ids: np.ndarray, first: np.ndarray, start: int) -> np.n
 
 def _group_logs(m, codes, ids, first, start):
     x, place = views(inputs(codes, ids, first, start), first, codes.symbol[start])
-    cls, out = codes.cls[ids], codes.inside[ids]
-    y = np.where(place >= 0, cls[np.maximum(place, 0)], -1)
-    ok = place >= 0
-    out[place[ok]] += class_logs(m, x, y)[ok]
-    return out
+    y = np.append(codes.cls[ids], -1).take(place, mode="wrap")
+    return codes.inside[ids] + class_logs(m, x, y)[place >= 0]  # scored places stand in the order of the ids

@@ -66,20 +66,24 @@ def read_vocabulary(path: str | None = None) -> bytes:
 
 def encoder(raw: bytes):
     """The byte-pair encoder of a vocabulary file's bytes and the byte length of
-    each id, once per process.  A piece is a space and what follows up to the next."""
+    each id, once per process.  A piece is a space and what follows up to the next.
+    The special token stands in no text of words and is never made: without any, the
+    encoder looks for an empty one at every byte."""
     key = zlib.crc32(raw)
     if key not in _ENCODER:
         import tiktoken
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-        _ENCODER[key] = tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={}), \
+        _ENCODER[key] = tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks,
+                                           special_tokens={" \n ": END}), \
             np.bincount(list(ranks.values()), [len(b) for b in ranks], IDS).astype(np.int64)
     return _ENCODER[key]
 
 
 def word_ids(encode: tuple, body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(number of ids of each word, all ids in turn) of words of ``body`` with no
-    space in them.  The words go to the encoder as one text; ids have known byte
-    lengths, so they show where a word ends.  If one is not UTF-8, each is cut alone."""
+    """(number of ids of each word, all ids in turn) of words of ``body``, none of
+    which holds white space.  The words go to the encoder as one text; ids have known
+    byte lengths, so they show where a word ends.  If one is not UTF-8, each is cut
+    alone."""
     enc, size = encode
     upto = np.cumsum(ends - starts + 1)
     begin = upto - (ends - starts + 1)
@@ -161,7 +165,8 @@ def _rows(batches):
 
 def _documents_ids(a, docs=None):
     """Subword ids with the end id after each document, and their offsets; with
-    the word (or end) that each id belongs to."""
+    the word (or -1: end) of each token, each token's first id and the documents'
+    offsets into the tokens."""
     first = a["first"]
     if docs is None:
         docs = np.arange(len(first) - 1)
@@ -178,11 +183,10 @@ def _documents_ids(a, docs=None):
     begin = np.cumsum(lens) - lens
     pool = np.append(a["ids"], END).astype(np.int32)
     size = lens[word]  # -1 is the end's entry
-    owner = np.repeat(np.arange(total), size)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    ids = pool[begin[word][owner] + within]
     upto = np.concatenate([[0], np.cumsum(size)])
-    return ids, upto[np.concatenate([[0], ends])], word, owner, np.concatenate([[0], ends])
+    ids = pool.take(np.arange(upto[-1]) + np.repeat(begin[word] - upto[:-1], size))
+    ends = np.concatenate([[0], ends])
+    return ids, upto[ends], word, upto[:-1], ends
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2,
@@ -239,9 +243,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
         for row, a in _rows(batches):
             doc_ids = row["doc_ids"].as_py()
             c = np.append(C.reply_values(row, np.int64), learned)
-            ids, upto, word, owner, first = _documents_ids(a)
+            ids, upto, word, begin, first = _documents_ids(a)
             logs = A.token_logs(model, codes, ids, upto, END)
-            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
             att = np.add.reduceat(logs.astype(float), begin)
             c = c[word]
             base = np.log10((c + 1) / (tokens + kinds + 1))
@@ -262,7 +265,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
 def _windows(codes, ids, first):
     """Learning windows of documents that stand in a row, and their classes."""
     x, place = A.spans(A.inputs(codes, ids, first, END), first, codes.symbol[END])
-    return x, np.where(place >= 0, codes.cls[ids][np.maximum(place, 0)], -1)
+    return x, np.append(codes.cls[ids], -1).take(place, mode="wrap")
 
 
 SUM_SCHEMA = "task int, ids long, windows long, total binary"

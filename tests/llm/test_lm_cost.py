@@ -5,9 +5,7 @@ import sys
 
 import numpy as np
 
-from cohortlens.llm import attention, lm
-
-F32 = np.float32
+from cohortlens.llm import attention, common, lm
 
 
 def calls(f):
@@ -129,3 +127,21 @@ def test_windows_with_nothing_scored():
     assert not attention.class_logs(m, x, np.full((3, 16), -1)).any()
     assert not any(np.any(d[1] if isinstance(d, tuple) else d)
                    for d in attention.gradients(m, x, np.full((3, 32), -1)).values())
+
+
+def test_word_hashes_do_not_depend_on_the_block():
+    body, starts, ends = words_of([(f"w{i * 7919 % 100}" * (1 + i % 5)).encode() for i in range(300)])
+    whole = common.word_codes(body, starts, ends)
+    assert all(np.array_equal(common.word_codes(body, starts, ends, n), whole) for n in (1, 7, 299))
+    assert len(np.unique(whole)) == len({body[a:b].tobytes() for a, b in zip(starts, ends)})
+
+
+def test_ids_of_picked_documents_stand_in_turn():
+    a = {"first": np.array([0, 2, 2, 5]), "words": np.array([1, 0, 2, 2, 1]), "lens": np.array([1, 3, 2]),
+         "ids": np.array([9, 4, 5, 6, 7, 8])}
+    ids, upto, word, begin, first = lm._documents_ids(a)
+    e = lm.END
+    assert ids.tolist() == [4, 5, 6, 9, e, e, 7, 8, 7, 8, 4, 5, 6, e] and upto.tolist() == [0, 5, 6, 14]
+    assert word.tolist() == [1, 0, -1, -1, 2, 2, 1, -1] and begin.tolist() == [0, 3, 4, 5, 6, 8, 10, 13]
+    assert first.tolist() == [0, 3, 4, 8]
+    assert lm._documents_ids(a, np.array([0]))[0].tolist() == [4, 5, 6, 9, e]
