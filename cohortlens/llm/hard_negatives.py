@@ -14,14 +14,17 @@ inside the window ``low`` * p <= 100 * score <= ``high`` * p.
 3. The interval product of an anchor and a zone map bounds all scores of the block.
    Anchors first read the blocks of their own label whose upper bound reaches the
    fifth best score inside their own block; then the blocks of other labels whose
-   bounds meet one of their windows.  The zone maps are read alone; the weights of a
-   block go only to the anchors that chose it.
-4. What a block gives an anchor is cut to the best few of each window before rows of
+   bounds meet one of their windows.  The zone maps are read alone; what comes out is a
+   row an (anchor group, block), with a bit an anchor.
+4. Blocks are dealt into cells of bounded size, anchor groups into slices.  A task holds
+   one cell and one slice and scores what chose each other; blocks travel once a slice,
+   an anchor group once a cell that holds a block it chose.
+5. What a cell gives an anchor is cut to the best few of each window before rows of
    one anchor meet.
 
-Bounds, scores and windows are whole numbers, so nothing is lost to rounding.  Anchors
-against zone maps is a grid of (anchor group, zone bundle) rows, dealt by both; no side
-is broadcast and none is collected.
+Bounds, scores and windows are whole numbers, so nothing is lost to rounding.  Nothing
+that grows with the table is broadcast or collected: joins name the sort-merge form, since
+a stored table looks small to the planner (compressed, and before ``explode``).
 
 Edge cases: rows with a null id or label, or a vector that is null or holds null or
 non-finite components, take no part.  Vectors may differ in length (missing terms
@@ -50,6 +53,8 @@ BLOCK = 512
 BLOCKS_A_GROUP = 32       # anchors of so many neighbouring blocks make a group
 ZONES = 256               # zone maps in a bundle
 BUNDLES_A_CELL = 4
+MOST_BYTES = 32 << 20     # blocks of a cell, anchors of a slice
+CELL_BYTES = 2 << 20      # blocks of a cell while anchors, sent to every cell, weigh at most twice the blocks
 _TOP = float(1 << 40)
 _NONE = -np.iinfo(np.int64).max  # can be negated
 
@@ -124,6 +129,13 @@ def window_of(p: np.ndarray, low: int, high: int):
     return -floor(low, -p), floor(high, p)
 
 
+def grid(row_bytes: int, anchor_bytes: int) -> tuple[int, int]:
+    """(cells of blocks, slices of anchors).  Neither passes ``MOST_BYTES``; below that, more
+    cells keep more tasks busy as long as the anchors sent to all of them stay about twice the blocks."""
+    few = min(-(-row_bytes // CELL_BYTES), -(-2 * row_bytes // max(1, anchor_bytes)))
+    return max(1, few, -(-row_bytes // MOST_BYTES)), max(1, -(-anchor_bytes // MOST_BYTES))
+
+
 def best_of(ids, scores, ok, k):
     """(row, place) pairs of the best ``k`` places of every row of ``scores`` among
     those that are ``ok``, ties to smaller ids."""
@@ -256,58 +268,82 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, vec_id:
             yield out()
     zones = C.store(blocks.select("block", "label", "lo", "hi")
                     .mapInArrow(bundle, "bundle long, blocks array<long>, zlabels array<string>, lo binary, hi binary"), "op11-zones")
-    groups = anchors.select("grp").withColumn("all", F.lit(0))
-    cells = max(1, -(-zones.count() // BUNDLES_A_CELL))
-    dealt = zones.withColumn("cell", F.pmod(F.xxhash64("bundle"), F.lit(cells)).cast("int")).withColumn("all", F.lit(0))
+    # what there is: blocks, bytes of their rows, bytes of the anchors
+    there = blocks.agg(F.count("block").alias("n"), F.sum(F.octet_length("ids")).alias("rows"), F.sum(F.octet_length("aids")).alias("own")).first()
+    width = dim * np.dtype(kind).itemsize + 8
+    row_bytes, anchor_bytes = (there["rows"] or 0) // 8 * width, (there["own"] or 0) // 8 * (width + 16 * positives)
+    cells, slices = grid(row_bytes, anchor_bytes)
+    zone_cells = max(1, -(-there["n"] // (ZONES * BUNDLES_A_CELL)))
+    dealt = zones.withColumn("cell", F.pmod(F.xxhash64("bundle"), F.lit(zone_cells)).cast("int"))
 
     def chosen(table: DataFrame, choose, extra: str) -> DataFrame:
-        """Rows (block, label-free anchor data) of every (anchor, block) that ``choose`` takes."""
-        where = table.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        """(block, grp, own): a bit for every anchor of the group, set where ``choose`` takes the block."""
+        where = table.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(zone_cells - 1))))
         per_cell = dealt.groupBy("cell").agg(F.collect_list(F.struct("blocks", "zlabels", "lo", "hi")).alias("z"))
 
         def run(batches):
             for b in batches:
                 for k in range(b.num_rows):
                     row = {c: b.column(c)[k] for c in b.schema.names}
-                    ids, a = _ints(row["aids"]), _ints(row["aw"], kind).reshape(-1, dim).astype(np.int64)
                     mine = np.array(row["labels"].as_py(), object)
-                    more = _ints(row[extra])
+                    a, more = _ints(row["aw"], kind).reshape(len(mine), dim).astype(np.int64), _ints(row[extra])
                     for z in row["z"]:
-                        lo = _ints(z["lo"], kind).reshape(-1, dim).astype(np.int64)
-                        hi = _ints(z["hi"], kind).reshape(-1, dim).astype(np.int64)
+                        names = np.array(z["blocks"].as_py(), np.int64)
+                        lo, hi = (_ints(z[c], kind).reshape(len(names), dim).astype(np.int64) for c in ("lo", "hi"))
                         same = mine[:, None] == np.array(z["zlabels"].as_py(), object)[None, :]
                         take = choose(*bounds(a, lo, hi, small), same, more)
-                        for j, block in enumerate(z["blocks"].as_py()):
-                            own = np.flatnonzero(take[:, j])
-                            if len(own):
-                                per = more.reshape(len(ids), -1)[own]
-                                yield pa.RecordBatch.from_arrays(
-                                    [pa.array([block], pa.int64()), pa.array([row["grp"].as_py()], pa.int64()),
-                                     *_binary(own.astype(np.int64), ids[own], a[own].astype(kind), per)],
-                                    ["block", "grp", "nos", "aids", "aw", "more"])
-        got = where.join(per_cell, "cell").select("grp", "labels", "aids", "aw", extra, "z") \
-            .mapInArrow(run, "block long, grp long, nos binary, aids binary, aw binary, more binary")
-        return got.join(blocks.select("block", "ids", "w"), "block")
-
-    def scored(row):
-        aids, nos = _ints(row["aids"]), _ints(row["nos"])
-        a, x = (_ints(row[c], kind).reshape(-1, dim).astype(np.int64) for c in ("aw", "w"))
-        ids = _ints(row["ids"])
-        return aids, nos, ids, products(a, x, small), aids[:, None] != ids[None, :]
-
-    # positives: the best of each block, then the best of all
-    def positive(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {c: b.column(c)[k] for c in b.schema.names}
-                aids, nos, ids, s, other = scored(row)
-                at, place = best_of(ids, s, other, positives)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), row["grp"].as_py())), pa.array(nos[at]), pa.array(ids[place]), pa.array(s[at, place])],
-                    ["grp", "no", "positive_id", "positive_score"])
+                        some = np.flatnonzero(take.any(axis=0))
+                        own = [r.tobytes() for r in np.packbits(take[:, some], axis=0).T]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(names[some]), pa.array(np.full(len(some), row["grp"].as_py(), np.int64)), pa.array(own, pa.binary())],
+                            ["block", "grp", "own"])
+        return where.join(per_cell.hint("merge"), "cell").select("grp", "labels", "aw", extra, "z") \
+            .mapInArrow(run, "block long, grp long, own binary")
+
+    def scored(table: DataFrame, pairs: DataFrame, extra: str, best, keep: int) -> DataFrame:
+        """(grp, no, nth, aid, id, score): of every anchor and list ``nth``, the best ``keep`` rows
+        of each cell.  ``best``: (nth, row, place) arrays of the scores of a block."""
+        cell = F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("cell")
+        sent = pairs.groupBy(cell, "grp").agg(F.collect_list(F.struct("block", "own")).alias("picks")) \
+            .join(table.select("grp", "aids", "aw", extra).hint("merge"), "grp") \
+            .withColumn("slice", F.pmod(F.xxhash64("grp"), F.lit(slices)).cast("int"))
+        held = blocks.select("block", "ids", "w", cell, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+
+        def run(groups: pa.Table, held: pa.Table) -> pa.Table:
+            place_of = {b: k for k, b in enumerate(held.column("block").to_pylist())}
+            out = []
+            for k in range(groups.num_rows):
+                row = {c: groups.column(c)[k] for c in groups.schema.names}
+                aids = _ints(row["aids"])
+                a = _ints(row["aw"], kind).reshape(len(aids), dim).astype(np.int64)
+                more, found = _ints(row[extra]).reshape(len(aids), -1), []
+                for pick in row["picks"].as_py():
+                    own = np.flatnonzero(np.unpackbits(np.frombuffer(pick["own"], np.uint8), count=len(aids)))
+                    at = place_of[pick["block"]]
+                    ids = _ints(held.column("ids")[at])
+                    s = products(a[own], _ints(held.column("w")[at], kind).reshape(len(ids), dim).astype(np.int64), small)
+                    found += [(own[r], np.full(len(r), nth), ids[place], s[r, place])
+                              for nth, r, place in best(ids, s, aids[own][:, None] != ids[None, :], more[own])]
+                if not found:
+                    continue
+                no, nth, ids, s = (np.concatenate(x) for x in zip(*found))
+                by = np.lexsort((ids, -s, nth, no))
+                key = (no * (positives + 1) + nth)[by]
+                by = by[np.arange(len(by)) - np.searchsorted(key, key) < keep]
+                out.append((np.full(len(by), row["grp"].as_py()), no[by], nth[by], aids[no[by]], ids[by], s[by]))
+            merged = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 6
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int64)
+            return pa.table([pa.array(x.astype(t)) for x, t in zip(merged, kinds)], names=["grp", "no", "nth", "aid", "id", "score"])
+        return sent.groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")) \
+            .applyInArrow(run, "grp long, no long, nth int, aid long, id long, score long")
+
+    # positives: the best of each cell, then the best of all
+    def positive(ids, s, other, seeds):
+        yield 0, *best_of(ids, s, other, positives)
     reads = chosen(anchors, lambda lb, ub, same, seeds: same & (ub >= seeds[:, None]), "seeds")
     order = Window.partitionBy("grp", "no").orderBy(F.desc("positive_score"), "positive_id")
-    pos = C.store(reads.mapInArrow(positive, "grp long, no long, positive_id long, positive_score long")
+    pos = C.store(scored(anchors, reads, "seeds", positive, positives)
+                  .select("grp", "no", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
                   .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= positives), "op11-positives")
 
     # windows of an anchor: ``positives`` pairs of limits, empty ones where it has fewer
@@ -326,7 +362,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, vec_id:
             for k in range(b.num_rows):
                 yield from windows(pa.table(b.slice(k, 1))).to_batches()
     listed = pos.groupBy("grp").agg(F.collect_list(F.struct("no", "nth", "positive_score")).alias("p"))
-    open_ = C.store(anchors.join(listed, "grp").select("grp", "labels", "aids", "aw", "p")
+    open_ = C.store(anchors.join(listed.hint("merge"), "grp").select("grp", "labels", "aids", "aw", "p")
                     .mapInArrow(with_windows, "grp long, labels array<string>, aids binary, aw binary, windows binary"),
                     "op11-windows")
 
@@ -338,24 +374,15 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, vec_id:
             take |= (lo <= hi) & (ub >= lo) & (lb <= hi)
         return take & ~same
 
-    def negative(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {c: b.column(c)[k] for c in b.schema.names}
-                aids, nos, ids, s, other = scored(row)
-                lim = _ints(row["more"]).reshape(len(aids), positives, 2)
-                for p in range(positives):
-                    at, place = best_of(ids, s, other & (s >= lim[:, p, :1]) & (s <= lim[:, p, 1:]), negatives)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), row["grp"].as_py())), pa.array(nos[at]),
-                             pa.array(np.full(len(at), p + 1, np.int32)), pa.array(aids[at]), pa.array(ids[place]), pa.array(s[at, place])],
-                            ["grp", "no", "nth", "anchor_id", "negative_id", "negative_score"])
+    def negative(ids, s, other, lim):
+        lim = lim.reshape(len(s), positives, 2)
+        for p in range(positives):
+            yield p + 1, *best_of(ids, s, other & (s >= lim[:, p, :1]) & (s <= lim[:, p, 1:]), negatives)
     order = Window.partitionBy("grp", "no", "nth").orderBy(F.desc("negative_score"), "negative_id")
-    neg = chosen(open_, meets, "windows") \
-        .mapInArrow(negative, "grp long, no long, nth int, anchor_id long, negative_id long, negative_score long") \
+    neg = scored(open_, chosen(open_, meets, "windows"), "windows", negative, negatives) \
+        .select("grp", "no", "nth", F.col("aid").alias("anchor_id"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score")) \
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
-    return neg.join(pos, ["grp", "no", "nth"]) \
+    return neg.join(pos.hint("merge"), ["grp", "no", "nth"]) \
         .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 

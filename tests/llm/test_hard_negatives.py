@@ -103,3 +103,24 @@ def test_empty_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(50, 1, [1.0])]) == []
     assert run(spark, [(1, 1, [1.0]), (2, 2, [1.0])]) == []
+
+
+@pytest.mark.parametrize("cell,most", [(2000, 1 << 25), (1 << 21, 3000)])
+def test_many_cells_and_slices(spark, monkeypatch, cell, most):
+    for name, value in (("BLOCK", 7), ("ZONES", 5), ("BLOCKS_A_GROUP", 1), ("CELL_BYTES", cell), ("MOST_BYTES", most)):
+        monkeypatch.setattr(H, name, value)
+    rows = smallest(spark)[:300]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_nothing_of_the_tables_size_is_broadcast(spark):
+    out = H.hard_negatives(C.table(spark, SF, "embeddings"), F.col("vec_id") % 50 == 0, F.col("label"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_grid_is_bounded():
+    for row_bytes, anchor_bytes in ((0, 0), (10 ** 7, 10 ** 5), (10 ** 9, 10 ** 7), (10 ** 11, 10 ** 9), (10 ** 9, 10 ** 11)):
+        cells, slices = H.grid(row_bytes, anchor_bytes)
+        assert row_bytes / cells <= H.MOST_BYTES and anchor_bytes / slices <= H.MOST_BYTES
+        assert cells * anchor_bytes <= 2 * row_bytes + anchor_bytes or cells == max(1, math.ceil(row_bytes / H.MOST_BYTES))
