@@ -175,23 +175,23 @@ def user_month_scores(posts: DataFrame, replies: DataFrame, users: DataFrame, gr
     kind): for each group and kind, the interaction score with the reporting
     zero rule; 0 where the user has no rows (long form; see ``reshape.wide``)."""
     keys = ("author", "community_grp", "month")
-    # written once: the scores and the months read them
+    # stored, so that the shuffles behind them are gone before those of the scores
     p = materialize(posts.select(*keys, "score", "num_comments").join(users, on="author", how="left_semi"), "month-posts")
     r = materialize(replies.select(*keys, "parent_id", *[c for c in ("created_utc", "score", "is_submitter") if c in replies.columns])
                     .join(users, on="author", how="left_semi"), "month-replies")
     rep = reply_interaction(r, None, w, keys=keys, rule="report").withColumn("kind", F.lit("reply"))
     pos = post_interaction(p, w, keys=keys, rule="report").withColumn("kind", F.lit("post"))
-    scores = rep.unionByName(pos)
-    months = p.select("author", "month").union(r.select("author", "month")).distinct()
-    cells = F.array(*[F.struct(F.lit(g).alias("community_grp"), F.lit(k).alias("kind"))
-                      for g in groups.labels for k in ("reply", "post")])
-    grid = months.select("author", "month", F.explode(cells).alias("_c")) \
-                 .select("author", "month", "_c.community_grp", "_c.kind")
-    # every score has its cell in the grid but for those outside the groups or without a
-    # month: one aggregate of both stands for the join
-    scores = scores.filter(F.col("month").isNotNull() & F.col("community_grp").isin(list(groups.labels)))
-    return (grid.withColumn("graph", F.lit(0.0)).unionByName(scores.select(*grid.columns, "graph"))
-            .groupBy("author", "community_grp", "month", "kind").agg(F.coalesce(F.sum("graph"), F.lit(0.0)).alias("graph")))
+    # every month of a user has a score of some group, so one aggregate has the months and the
+    # cells' sums; scores outside the groups or without a month fill no cell
+    cells = [(g, k) for g in groups.labels for k in ("reply", "post")]
+    sums = rep.unionByName(pos).groupBy("author", "month").agg(*[
+        F.sum(F.when(F.col("month").isNotNull() & (F.col("community_grp") == g) & (F.col("kind") == k), F.col("graph"))).alias(f"_{i}")
+        for i, (g, k) in enumerate(cells)])
+    # a row a month is dealt by author: what is grouped by author behind it needs no shuffle of the cells
+    filled = F.array(*[F.struct(F.lit(g).alias("community_grp"), F.lit(k).alias("kind"), F.coalesce(f"_{i}", F.lit(0.0)).alias("graph"))
+                       for i, (g, k) in enumerate(cells)])
+    return sums.repartition("author").select("author", "month", F.explode(filled).alias("_c")) \
+        .select("author", "_c.community_grp", "month", "_c.kind", "_c.graph")
 
 
 # ------------------------------------------------------------------ D17-D20: rankings

@@ -56,3 +56,29 @@ def test_index_holds_the_bits_of_every_value(spark, tmp_path):
             least, most, bits = want.get((key, r["f"], r["part"]), (r["v"], r["v"], set()))
             want[key, r["f"], r["part"]] = (min(least, r["v"]), max(most, r["v"]), bits | {r[f"p{k}"] for k in range(SX.HASHES)})
     assert got == want
+
+
+def test_cells_of_a_user_are_not_shuffled(spark):
+    from cohortlens.plans import q_reshape as QR
+    sf = "/root/testdata/sf0.001"
+    plan = QR._wide(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate explode")]  # the tree's upper part: what is done with the cells
+    assert above.count("Aggregate") >= 2 and "Exchange" not in above
+
+
+def test_months_without_a_cell(spark):
+    from cohortlens.operators import scores as S
+    from cohortlens.params import FIXTURE_GROUPS as G
+    posts = spark.createDataFrame([("u", G.labels[0], "2020-01", 2, 4), ("u", "other", "2020-02", 1, 1), ("u", G.labels[0], None, 1, 1),
+                                   ("v", None, "2020-03", 1, 1), ("w", G.labels[0], "2020-04", 1, 1)],
+                                  "author string, community_grp string, month string, score long, num_comments long")
+    replies = spark.createDataFrame([("v", G.labels[1], "2020-05", "a", 1, 5, False), ("x", G.labels[1], "2020-05", "a", 1, 5, False),
+                                     ("v", G.labels[1], "2020-05", "a", 1, 5, False)],
+                                    "author string, community_grp string, month string, parent_id string, created_utc long, score long, is_submitter boolean")
+    users = spark.createDataFrame([("u",), ("v",)], "author string")
+    out = S.user_month_scores(posts, replies, users, G)
+    assert out.columns == ["author", "community_grp", "month", "kind", "graph"]
+    got = {(r.author, r.month, r.community_grp, r.kind): r.graph for r in out.collect()}
+    months = {("u", "2020-01"), ("u", "2020-02"), ("u", None), ("v", "2020-03"), ("v", "2020-05")}
+    assert got.keys() == {(a, m, g, k) for a, m in months for g in G.labels for k in ("reply", "post")}
+    assert {k: v for k, v in got.items() if v} == {("u", "2020-01", G.labels[0], "post"): 3.0, ("v", "2020-05", G.labels[1], "reply"): 75.0}
