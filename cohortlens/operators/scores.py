@@ -62,7 +62,8 @@ def activity_score(rows: DataFrame, key: str = "author", day: str = "created_day
     """Per (author, day) count · exp(-rate · days before the latest day),
     min-max scaled over all (author, day) rows of this input (one global pass).
     Returns (author, day, activity_count, days_ago, time_based)."""
-    counts = rows.groupBy(key, day).agg(F.count(F.lit(1)).alias("activity_count"))
+    # stored: the latest day, the limits and the result read it
+    counts = materialize(rows.groupBy(key, day).agg(F.count(F.lit(1)).alias("activity_count")), "activity-counts")
     scal = counts.agg(F.max(day).alias("_max_day"))
     j = counts.join(F.broadcast(scal), how="inner")  # one-row scalar
     j = j.withColumn("days_ago", F.datediff(F.col("_max_day"), F.col(day)).cast("bigint")) \

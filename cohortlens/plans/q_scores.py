@@ -8,7 +8,7 @@ from ..operators import models as MD
 from ..operators import scores as S
 from ..params import RankWeights
 from . import views as V
-from ..session import materialize
+from ..session import materialize, remove
 from .catalog import query
 
 RANK = RankWeights()          # study defaults: N = 500, lowest first
@@ -188,10 +188,12 @@ def comm_score(spark, sf):
 
 
 def _time_scored(rows, kind, d11, d12):
-    """D13 of one kind: the threshold is that of its own rows."""
+    """D13 of one kind: the threshold is that of its own rows.  Each join is stored, so its
+    shuffles go before those of the next, and what it was made of goes too."""
     own = d11.filter(F.col("kind") == kind).select("author", "created_day", "time_based")
-    x = rows.join(own, on=["author", "created_day"], how="left").join(d12, on=["author", "community_grp", "month"],
-                                                                      how="left")
+    days = materialize(rows.join(own, on=["author", "created_day"], how="left"), f"{kind}-days")
+    x = materialize(days.join(d12, on=["author", "community_grp", "month"], how="left"), f"{kind}-scores")
+    remove(rows.sparkSession, days.stored_at)
     return S.time_score(x).withColumn("kind", F.lit(kind))
 
 
@@ -281,13 +283,19 @@ def integrated_rank_weighted(spark, sf):
     """D18 with a non-zero weight for each of its four components."""
     keys = ["author", "community_grp", "month"]
     tp, tr = _tagged(spark, sf, shared=True)
-    pos, d11 = _pos_by_id(spark, sf), _d11(spark, sf, tp, tr)
-    d12 = _d12(spark, sf, tp, tr).select(*keys, "comm_score")
-    p = _time_scored(_day_cells(tp, "sentiment_complex", "id", pos), "post", d11, d12)
-    r = _time_scored(_day_cells(tr, "sentiment", "parent_id", pos), "reply", d11, d12)
+    pos, d11 = materialize(_pos_by_id(spark, sf), "pos"), _d11(spark, sf, tp, tr)
+    d12 = materialize(_d12(spark, sf, tp, tr).select(*keys, "comm_score"), "comm")
+    d14, d15 = materialize(_d14(spark, sf, tp, tr), "reply-graph"), _d15(spark, sf, tp)
+    sides = []
+    for kind, rows, sentiment, text_id, graph in (("reply", tr, "sentiment", "parent_id", d14), ("post", tp, "sentiment_complex", "id", d15)):
+        cells = materialize(_day_cells(rows, sentiment, text_id, pos), f"{kind}-cells")
+        if kind == "reply":
+            remove(spark, tr.stored_at)  # all that reads it is stored
+        scored = _time_scored(cells, kind, d11, d12)
+        remove(spark, cells.stored_at)
+        sides.append(scored.join(graph, on=keys, how="left"))
     cols = {"sentiment": "sentiment", "pos": "pos", "graph": "graph", "time_based": "time_based_score"}
-    return S.integrated_rank(p.join(_d15(spark, sf, tp), on=keys, how="left"),
-                             r.join(_d14(spark, sf, tp, tr), on=keys, how="left"), cols, cols, FOUR, row_weight="_n")
+    return S.integrated_rank(sides[1], sides[0], cols, cols, FOUR, row_weight="_n")
 
 
 MULTI = RankWeights(descending=True, components=(("sentiment", 2.0), ("pos", 1.0), ("graph", -1.0),

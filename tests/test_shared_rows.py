@@ -82,3 +82,10 @@ def test_months_without_a_cell(spark):
     months = {("u", "2020-01"), ("u", "2020-02"), ("u", None), ("v", "2020-03"), ("v", "2020-05")}
     assert got.keys() == {(a, m, g, k) for a, m in months for g in G.labels for k in ("reply", "post")}
     assert {k: v for k, v in got.items() if v} == {("u", "2020-01", G.labels[0], "post"): 3.0, ("v", "2020-05", G.labels[1], "reply"): 75.0}
+
+
+def test_weighted_rank_reads_stored_joins_only(spark):
+    from cohortlens.plans import q_scores as QS
+    files = QS.integrated_rank_weighted(spark, "/root/testdata/sf0.001").inputFiles()
+    assert any("/reply-scores-" in f for f in files) and any("/post-scores-" in f for f in files)
+    assert not [f for f in files if "/treplies-" in f or "sf0.001" in f]  # no join of an earlier step is open
